@@ -58,7 +58,8 @@ def tokenize(text: Column) -> Column:
 
 def lexical_score(query_tokens: Column, doc_tokens: Column) -> Column:
     """Share of the query's tokens that the document holds; 0 without any."""
-    shared = F.size(F.array_intersect(query_tokens, doc_tokens)).cast("double")
+    # Spark hashes the second array, so the short one goes there.
+    shared = F.size(F.array_intersect(doc_tokens, query_tokens)).cast("double")
     return F.when(F.size(query_tokens) > 0, shared / F.size(query_tokens)).otherwise(F.lit(0.0))
 
 

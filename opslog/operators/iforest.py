@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from opslog.operators.ranking import quantiles
+from opslog.session import by_key
 
 # Settings of the forest.
 TREES = 250
@@ -95,7 +96,7 @@ def tree_samples(features: DataFrame, n_rows: int, trees: int, sample: int, seed
         "*", F.inline(F.filter(draws, lambda d: d["draw"] <= F.lit(limit)))
     )
     order = W.partitionBy("tree").orderBy("draw", "block_id")
-    return picked.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample).drop("_rn", "draw")
+    return by_key(picked, "tree").withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample).drop("_rn", "draw")
 
 
 def iforest_fit(features: DataFrame, n_features: int, n_rows: int | None = None, trees: int = TREES,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opslog.functions import text
 from opslog.operators.ranking import top_k_per_query
-from opslog.operators.skew import SPLIT_ROWS, skew_join
+from opslog.operators.skew import SPLIT_ROWS, hot_keys, skew_join
 from opslog.operators.vectors import DIGITS, hashed_bag, knn_l2
 from opslog.session import stage
 
@@ -14,13 +14,14 @@ TOP_K = 3
 WIDEN = 5
 
 
-def attach_runbooks(candidates: DataFrame, runbooks: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def attach_runbooks(candidates: DataFrame, runbooks: DataFrame, split_rows: int = SPLIT_ROWS,
+                    hot: DataFrame | None = None) -> DataFrame:
     """Join candidates to their runbooks; candidates without one are dropped.
 
     Few runbooks may answer most incidents, so popular ones are split.
     """
     books = runbooks.withColumnRenamed("id", "runbook_id")
-    return skew_join(candidates, books, "runbook_id", "query_id", "inner", split_rows)
+    return skew_join(candidates, books, "runbook_id", "query_id", "inner", split_rows, hot)
 
 
 def rerank(candidates: DataFrame, top_k: int = TOP_K) -> DataFrame:
@@ -38,33 +39,37 @@ def search_runbooks(queries: DataFrame, runbooks: DataFrame, vectors: DataFrame,
     """Best runbooks of every incident: query_id, runbook_id, distance, score, rank.
 
     ``queries`` holds query_id, sequence and raw_message, and may bring its own
-    embedding. Equal embeddings are searched once. The candidates meet only the
-    token sets of the runbooks; their texts are attached to the few winners.
+    embedding. Incidents repeat messages, so each different pair of words and
+    embedding is searched and ranked once. The candidates meet only the token
+    sets of the runbooks; their texts are never shuffled here.
     """
     queries = queries.withColumn("_query", text.query_text(F.col("sequence"), F.col("raw_message")))
     if "embedding" not in queries.columns:
         queries = queries.withColumn("embedding", encoder(F.col("_query")))
     asked = stage(
-        queries.select(
-            "query_id", text.tokenize(F.col("_query")).alias("query_tokens"), "embedding",
-            F.xxhash64("embedding").alias("_vector"),
+        queries.withColumn("query_tokens", F.array_sort(text.tokenize(F.col("_query")))).select(
+            "query_id", "query_tokens", "embedding", F.xxhash64("query_tokens", "embedding").alias("_key")
         ),
         "queries",
     )
-    distinct = asked.groupBy("_vector", "embedding").agg(F.min("query_id").alias("point"))
-    near = knn_l2(distinct.select("point", "embedding"), vectors, WIDEN * top_k, "point").drop("rank")
-    lists = near.groupBy("point").agg(
-        F.collect_list(F.struct("runbook_id", "distance")).alias("near")  # at most 5 * top_k entries
+    points = stage(
+        asked.groupBy("_key", "query_tokens", "embedding").agg(F.min("query_id").alias("point")), "points"
     )
-    found = distinct.select("_vector", "embedding", "point").join(lists, "point")
-    joined = skew_join(
-        asked, found.select("_vector", F.col("embedding").alias("_embedding"), "near"),
-        "_vector", "query_id", "inner", split_rows,
-    ).where(F.col("embedding") == F.col("_embedding"))
-    candidates = joined.select("query_id", "query_tokens", F.inline("near"))
+    near = stage(knn_l2(points.select("point", "embedding"), vectors, WIDEN * top_k, "point").drop("rank"), "near")
+    candidates = near.join(points.select("point", "query_tokens"), "point").withColumnRenamed("point", "query_id")
     tokens = runbooks.select(
         "id",
         text.tokenize(text.runbook_text(F.col("title"), F.col("category"), F.col("content"))).alias("tokens"),
     )
-    ranked = rerank(attach_runbooks(candidates, tokens, split_rows), top_k)
-    return ranked.select("query_id", "runbook_id", "distance", "score", "rank")
+    hot = hot_keys(near, "runbook_id", split_rows)
+    best = rerank(attach_runbooks(candidates, tokens, split_rows, hot), top_k)
+    lists = best.groupBy("query_id").agg(
+        F.collect_list(F.struct("runbook_id", "distance", "score", "rank")).alias("best")  # top_k entries
+    ).withColumnRenamed("query_id", "point")
+    answers = points.join(lists, "point").select(
+        "_key", F.col("query_tokens").alias("_tokens"), F.col("embedding").alias("_embedding"), "best"
+    )
+    joined = skew_join(asked, answers, "_key", "query_id", "inner", split_rows).where(
+        (F.col("query_tokens") == F.col("_tokens")) & (F.col("embedding") == F.col("_embedding"))
+    )
+    return joined.select("query_id", F.inline("best"))

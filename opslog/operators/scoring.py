@@ -117,7 +117,7 @@ def _score_shared(df: DataFrame, model: Model) -> DataFrame:
         distinct = [np.frombuffer(k, dtype=np.int64) for k in keys]
         return pd.Series(shared.value.score(distinct)[codes] if len(codes) else np.empty(0))
 
-    ids = F.transform(seq.clean_tokens(F.col("tokens")), lambda t: F.substring(t, 2, 20).cast("long"))
+    ids = F.when(F.size("templates") > 0, F.col("templates")).otherwise(F.array(F.lit(0).cast("long")))
     return df.withColumn("score_sample", score(ids))
 
 
@@ -141,15 +141,18 @@ def _score_joined(df: DataFrame, model: Model, n_terms: int) -> DataFrame:
 
 
 def score_histories(df: DataFrame, model: Model, max_shared_terms: int = MAX_SHARED_TERMS) -> DataFrame:
-    """Score rows that carry ``tokens``: sequence, its counts, score and flag."""
+    """Score rows that carry their history: sequence, its counts, score and flag."""
     n_terms = model.vocabulary.count()
     scored = _score_shared(df, model) if n_terms <= max_shared_terms else _score_joined(df, model, n_terms)
     offset = model.forest.agg(F.max("offset")).first()[0]
-    return (
-        scored.withColumn("score", F.col("score_sample") - F.lit(offset))
-        .withColumn("is_anomaly", F.col("score") < 0)
-        .withColumn("_stats", seq.sequence_stats(F.col("tokens")))
-        .select("*", "_stats.*").drop("_stats", "tokens", "score_sample")
+    empty = F.size("tokens") == 0
+    return scored.select(
+        *[c for c in df.columns if c not in ("tokens", "templates")],
+        F.when(empty, seq.EMPTY_TOKEN).otherwise(F.array_join("tokens", " ")).alias("sequence"),
+        F.greatest(F.size("tokens"), F.lit(1)).alias("seq_len"),
+        F.greatest(F.size(F.array_distinct("templates")), F.lit(1)).alias("unique_templates"),
+        (F.col("score_sample") - F.lit(offset)).alias("score"),
+        (F.col("score_sample") < F.lit(offset)).alias("is_anomaly"),
     )
 
 

@@ -16,25 +16,46 @@ PART_TOKENS = 1000
 def first_templates(logs: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     """Per block, its earliest ``cap`` templated mentions as one sorted array."""
     seen = mentions(logs.where(F.col("template_id").isNotNull())).select(
-        "block_id", "timestamp", "id", "template_id"
+        "block_id", "timestamp", "id", "template_id", seq.template_token(F.col("template_id")).alias("token")
     )
     return (
         first_per_key(seen, ["block_id"], ["timestamp", "id"], cap)
         .groupBy("block_id")
-        .agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", "template_id"))).alias("first"))
+        .agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", "template_id", "token"))).alias("first"))
     )
 
 
-def history_tokens(first, ts, log_id, own):
-    """Tokens of the earlier entries of ``first``, then the log's own token."""
-    entry = F.struct(ts.alias("timestamp"), log_id.alias("id"))
-    earlier = F.filter(
-        F.coalesce(first, F.array().cast("array<struct<timestamp:timestamp,id:bigint,template_id:bigint>>")),
-        lambda x: F.struct(x["timestamp"].alias("timestamp"), x["id"].alias("id")) < entry,
-    )
-    return F.concat(
-        F.transform(earlier, lambda x: seq.template_token(x["template_id"])),
-        F.when(own.isNotNull(), F.array(seq.template_token(own))).otherwise(F.array().cast("array<string>")),
+def with_history(rows: DataFrame) -> DataFrame:
+    """Turn ``first``, the sorted earliest mentions of a row's block, into its history.
+
+    Adds ``templates`` and ``tokens``: the entries earlier than the row, then
+    its own. Nearly every row is one of the entries or later than all of them,
+    so its history is a slice; only a latecomer or a row without a template is
+    compared entry by entry.
+    """
+    first, own = F.col("first"), F.struct("timestamp", "id")
+    size = F.coalesce(F.size(first), F.lit(0))
+    last = F.element_at(first, -1)
+    place = F.array_position(first["id"], F.col("id"))
+    count = (
+        F.when(first.isNull() | (size == 0), 0)
+        .when(F.struct(last["timestamp"].alias("timestamp"), last["id"].alias("id")) < own, size)
+        .when(place > 0, place - 1)
+        .otherwise(F.size(F.filter(
+            first, lambda x: F.struct(x["timestamp"].alias("timestamp"), x["id"].alias("id")) < own
+        )))
+    ).cast("int")
+    counted = rows.withColumn("_count", count)
+
+    def upto(field: str, kind: str, mine):
+        none = F.array().cast(f"array<{kind}>")
+        before = F.coalesce(F.slice(first[field], F.lit(1), F.col("_count")), none)
+        return F.concat(before, F.when(F.col("template_id").isNotNull(), F.array(mine)).otherwise(none))
+
+    return (
+        counted.withColumn("templates", upto("template_id", "bigint", F.col("template_id")))
+        .withColumn("tokens", upto("token", "string", seq.template_token(F.col("template_id"))))
+        .drop("first", "_count")
     )
 
 
@@ -47,9 +68,9 @@ def block_history(logs: DataFrame, cap: int = HISTORY_CAP, split_rows: int = SPL
     logs of a hot block are split over tasks.
     """
     owned = with_block(logs)
-    joined = skew_join(owned, first_templates(logs, cap), "block_id", "id", "left", split_rows)
-    tokens = history_tokens(F.col("first"), F.col("timestamp"), F.col("id"), F.col("template_id"))
-    return joined.withColumn("tokens", tokens).drop("first")
+    return with_history(
+        skew_join(owned, first_templates(logs, cap), "block_id", "id", "left", split_rows)
+    )
 
 
 def block_tokens(logs: DataFrame) -> DataFrame:

@@ -9,19 +9,24 @@ MAX_HOT = 10_000
 NULL_SPREAD = 1024
 
 
-def hot_keys(df: DataFrame, key: str, split_rows: int = SPLIT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
-    """Keys with more than ``split_rows`` rows and into how many parts to split them.
+def hot_of(counts: DataFrame, key: str, n: str, split_rows: int = SPLIT_ROWS,
+           max_hot: int = MAX_HOT) -> DataFrame:
+    """Keys counted at more than ``split_rows`` rows and into how many parts to split them.
 
     At most ``max_hot`` rows, the largest keys first, so the table may be broadcast.
     """
     return (
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > split_rows)
-        .orderBy(F.desc("_n"), key).limit(max_hot)
-        .select(key, F.ceil(F.col("_n") / split_rows).cast("int").alias("_splits"))
+        counts.where(F.col(n) > split_rows).orderBy(F.desc(n), key).limit(max_hot)
+        .select(key, F.ceil(F.col(n) / split_rows).cast("int").alias("_splits"))
     )
 
 
+def hot_keys(df: DataFrame, key: str, split_rows: int = SPLIT_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+    """The hot keys of ``df``; counting combines on the map side."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return hot_of(counts, key, "_n", split_rows, max_hot)
+
+
 def skew_join(big: DataFrame, small: DataFrame, key: str, row_id: str, how: str = "left",
               split_rows: int = SPLIT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Join ``big`` to ``small``, which holds few rows per key.

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from opslog.functions.text import WILDCARD, mask_template
 from opslog.operators.ranking import ranked
-from opslog.operators.skew import SPLIT_ROWS, skew_join
-from opslog.session import stage
+from opslog.operators.skew import SPLIT_ROWS, hot_of, skew_join
+from opslog.session import by_key, stage
 
 DEPTH = 4
 SIM_THRESHOLD = 0.4
@@ -110,36 +110,22 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
     whole message needs no clustering, since its key is its template. So no
     task sees an unbounded leaf and no message is left out.
     """
-    first_level = max(depth - 2, 1)
-    pool = stage(
-        masked_counts(logs).select(
-            "masked",
-            F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id"),
-            F.split("masked", "[ \t]+").alias("tokens"),
-        ),
-        "masked",
+    pending = masked_counts(logs).select(
+        "masked", F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id"),
+        F.split("masked", "[ \t]+").alias("tokens"),
     )
-    longest = pool.agg(F.max(F.size("tokens"))).first()[0] or 1
-    levels = [first_level]
-    pending, groups = pool, []
+    columns, level, leaves = pending.columns, max(depth - 2, 1), None
     while True:
-        level = levels[-1]
         keyed = pending.withColumn("leaf", _leaf_key(F.col("tokens"), level))
-        large = keyed.groupBy("leaf").agg(F.count("*").alias("_n")).where(F.col("_n") > max_leaf)
-        if level >= longest:
-            groups.append(keyed.withColumn("covered", F.lit(True)))
-            break
-        if large.isEmpty():
-            groups.append(keyed.withColumn("covered", F.lit(False)))
+        sizes = keyed.groupBy("leaf").agg(F.count("*").alias("n"))
+        joined = skew_join(keyed, sizes, "leaf", "masked", "inner", hot=hot_of(sizes, "leaf", "n"))
+        sized = stage(joined.withColumn("covered", F.size("tokens") <= level), "leaves")
+        large = (F.col("n") > max_leaf) & ~F.col("covered")
+        done = sized.where(~large)
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if sized.where(large).isEmpty():
             break
-        # Leaves too large to cluster are few: each holds more than max_leaf messages.
-        groups.append(keyed.join(large.select("leaf"), "leaf", "left_anti").withColumn("covered", F.lit(False)))
-        pending = stage(keyed.join(large.select("leaf"), "leaf", "left_semi").select(*pool.columns), "leaf")
-        levels.append(level * 2)
-
-    leaves = groups[0]
-    for more in groups[1:]:
-        leaves = leaves.unionByName(more)
+        pending, level = sized.where(large).select(*columns), level * 2
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first_ts", "first_id"])
@@ -148,24 +134,29 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
         return pd.DataFrame({
             "masked": pdf["masked"].to_numpy(),
             "template": [templates[m] for m in member],
-            "template_ts": firsts["first_ts"].to_numpy(),
-            "template_first": firsts["first_id"].to_numpy(),
+            "first_ts": firsts["first_ts"].to_numpy(),
+            "first_id": firsts["first_id"].to_numpy(),
         })
 
-    shape = "masked string, template string, template_ts timestamp, template_first long"
-    clustered = leaves.where(~F.col("covered")).groupBy("leaf").applyInPandas(cluster, shape)
-    catalog = clustered
-    if levels[-1] >= longest:
-        covered = leaves.where("covered")
-        heads = covered.groupBy("leaf").agg(F.min(F.struct("first_ts", "first_id")).alias("head"))
-        template = F.regexp_replace("leaf", "^[0-9]+ ", "")
-        catalog = catalog.unionByName(
-            covered.join(heads, "leaf").select(
-                "masked", template.alias("template"),
-                F.col("head.first_ts").alias("template_ts"), F.col("head.first_id").alias("template_first"),
-            )
-        )
-    catalog = stage(catalog, "templates")
-    ids = ranked(catalog.select("template_ts", "template_first").distinct(), [],
-                 ["template_ts", "template_first"], "template_id")
-    return catalog.join(ids, ["template_ts", "template_first"]).select("masked", "template_id", "template")
+    shape = "masked string, template string, first_ts timestamp, first_id long"
+    several = (F.col("n") > 1) & ~F.col("covered")
+    clustered = by_key(leaves.where(several), "leaf").groupBy("leaf").applyInPandas(cluster, shape)
+    alone = leaves.where((F.col("n") == 1) & ~F.col("covered")).select(
+        "masked", F.array_join("tokens", " ").alias("template"), "first_ts", "first_id"
+    )
+    covered = leaves.where("covered").select("masked", "leaf", "first_ts", "first_id")
+    heads = covered.groupBy("leaf").agg(F.min(F.struct("first_ts", "first_id")).alias("head"))
+    whole = skew_join(covered.select("masked", "leaf"), heads, "leaf", "masked", "inner").select(
+        "masked", F.regexp_replace("leaf", "^[0-9]+ ", "").alias("template"), "head.*"
+    )
+    catalog = stage(
+        clustered.unionByName(alone).unionByName(whole).select(
+            "masked", "template", F.struct("first_ts", "first_id").alias("head")
+        ),
+        "templates",
+    )
+    heads = catalog.select("head").distinct().select("head.*")
+    ids = ranked(heads, [], ["first_ts", "first_id"], "template_id").select(
+        F.struct("first_ts", "first_id").alias("head"), "template_id"
+    )
+    return skew_join(catalog, ids, "head", "masked", "inner").select("masked", "template_id", "template")

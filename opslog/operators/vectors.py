@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opslog.functions.text import runbook_search_text, tokenize
 from opslog.operators.ranking import top_k_per_query
 from opslog.schema import EMBEDDING_DIM
+from opslog.session import by_key
 
 BLOCK_VECTORS = 4096
 QUERY_BATCH = 512
@@ -54,7 +55,8 @@ def index_runbooks(runbooks: DataFrame, encoder: Callable[[Column], Column] = ha
 def _packed(df: DataFrame, key: str, groups: Column, group: str, prefix: str) -> DataFrame:
     """Bundle vectors into rows of a bounded number: ids and one flat array of values."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("embedding").alias("v"))))
-    bundle = df.select(key, "embedding").withColumn(group, F.pmod(F.xxhash64(key), groups)).groupBy(group).agg(
+    keyed = df.select(key, "embedding").withColumn(group, F.pmod(F.xxhash64(key), groups))
+    bundle = by_key(keyed, group).groupBy(group).agg(
         rows.alias("_rows"),
         F.min(F.size("embedding")).alias("_low"), F.max(F.size("embedding")).alias(f"{prefix}_dim"),
     )
@@ -68,6 +70,16 @@ def _packed(df: DataFrame, key: str, groups: Column, group: str, prefix: str) ->
     )
 
 
+def nearest_columns(distances: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` smallest rounded distances per row, equal ones by column."""
+    width = distances.shape[1]
+    if width > k and distances.max() * 10 ** DIGITS * width < 2 ** 62:
+        # Distance and column in one integer: partitioning it cannot mix up ties.
+        keys = np.rint(distances * 10 ** DIGITS).astype(np.int64) * width + np.arange(width)
+        return np.sort(np.partition(keys, k - 1, axis=1)[:, :k], axis=1) % width
+    return np.argsort(distances, axis=1, kind="stable")[:, :k]
+
+
 def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id",
            vector: str = "runbook_id", block_vectors: int = BLOCK_VECTORS,
            query_batch: int = QUERY_BATCH) -> DataFrame:
@@ -99,8 +111,7 @@ def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_i
                 ids = np.asarray(row.v_ids)
                 d = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2.0 * (q @ v.T)
                 d = np.round(np.maximum(d, 0.0), DIGITS) + 0.0
-                # ids are sorted, so a stable sort breaks ties by id
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                best = nearest_columns(d, k)
                 width = best.shape[1]
                 yield pd.DataFrame({
                     query: np.repeat(np.asarray(row.q_ids), width),

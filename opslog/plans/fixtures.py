@@ -1,6 +1,7 @@
 """Test tables: logs, incidents, runbooks and others made from the given tables.
 
 Each has a DataFrame form, built with the operators, and a SQL form for the check.
+The larger ones are written once per session, as the stored tables they stand for.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslog.functions import rules
+from opslog.operators import templates as tpl
+from opslog.session import stage
 
 NOW = datetime(2024, 1, 30, 12, 30)
 
@@ -18,6 +21,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(make):
+    """Keep what ``make`` returns as a table in the shared folder, once per session.
+
+    The given files may hold a single row group; a table that came from fewer
+    partitions than there are cores is spread over them.
+    """
+    def load(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _stored:
+            df = make(spark, sf_dir)
+            cores = spark.sparkContext.defaultParallelism
+            if df.rdd.getNumPartitions() < cores:
+                df = df.repartition(cores, df.columns[0])
+            _stored[key] = stage(df, make.__name__)
+        return _stored[key]
+
+    return load
+
+
+@stored
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log per event. Users divisible by 5 share block 0, which makes it hot."""
     e = table(spark, sf_dir, "events")
@@ -68,6 +94,7 @@ logs AS (SELECT id, timestamp, source_host,
     WHEN upper(raw_message) LIKE '%WARN%' THEN 'WARN' ELSE 'INFO' END AS log_level, raw_message FROM m)"""
 
 
+@stored
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One incident per error and per seventh warning, five seconds after its log."""
     raised = logs(spark, sf_dir).where(
@@ -97,6 +124,7 @@ incidents AS (SELECT id, timestamp + INTERVAL '5' SECOND AS created_at, timestam
   FROM logs WHERE log_level='ERROR' OR (log_level='WARN' AND id % 7 = 0))"""
 
 
+@stored
 def runbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.substring("text", 1, 60).alias("title"),
@@ -141,6 +169,7 @@ requests AS (SELECT id, timestamp, CASE WHEN id % 97 = 0 THEN '' ELSE source_hos
   CASE WHEN id % 83 = 0 THEN '' ELSE raw_message END AS raw_message FROM logs)"""
 
 
+@stored
 def status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every incident is taken up after a minute; open ones are resolved after two. One is unknown."""
     inc = incidents(spark, sf_dir)
@@ -164,6 +193,7 @@ updates AS (SELECT id AS incident_id, 'INVESTIGATING' AS status, created_at + IN
   UNION ALL SELECT cast(-1 AS bigint), 'RESOLVED', max(created_at) FROM incidents)"""
 
 
+@stored
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents: file, block_start (the document), line_no and value."""
     return table(spark, sf_dir, "documents").select(
@@ -175,3 +205,14 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = """
 lines AS (SELECT source AS file, doc_id AS block_start, unnest(range(len(parts))) AS line_no, unnest(parts) AS value
   FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents))"""
+
+
+@stored
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tpl.template_catalog(logs(spark, sf_dir))
+
+
+@stored
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs with their templates."""
+    return tpl.assign_templates(logs(spark, sf_dir), catalog(spark, sf_dir))

@@ -16,6 +16,7 @@ from opslog.operators.ranking import ranked
 from opslog.plans import fixtures as fx
 from opslog.session import new_path, stage
 from opslog.sources import lines as ln, models, tables
+from opslog.streaming import history, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -214,17 +215,12 @@ catalog AS (SELECT masked, first_ts, first_id, n, row_number() OVER (ORDER BY fi
 tlogs AS (SELECT m.*, c.template_id, c.masked AS parsed_template FROM masked m JOIN catalog c USING (masked))"""
 
 
-def enriched(spark, d):
-    base = fx.logs(spark, d)
-    return tpl.assign_templates(base, stage(tpl.template_catalog(base), "catalog"))
-
-
 @query(f"""WITH {CATALOG_SQL}, page AS (SELECT * FROM tlogs WHERE log_level = 'ERROR' AND source_host = 'host-3'
   AND (raw_message ILIKE '%disk full%' OR parsed_template ILIKE '%disk full%')
   ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 5) {PAGE_SQL}""")
 def explore_logs(spark, d):
     return explore.explore_logs(
-        enriched(spark, d), level="ERROR", source="host-3", search="disk full", limit=50, offset=5
+        fx.enriched(spark, d), level="ERROR", source="host-3", search="disk full", limit=50, offset=5
     ).withColumn("timestamp", ts("timestamp"))
 
 
@@ -232,7 +228,7 @@ def explore_logs(spark, d):
   ORDER BY timestamp DESC, id DESC LIMIT 500) {PAGE_SQL}""")
 def explore_logs_wildcard(spark, d):
     """A wildcard in the search text that only the template can match."""
-    return explore.explore_logs(enriched(spark, d), search="block <_>", limit=500).withColumn(
+    return explore.explore_logs(fx.enriched(spark, d), search="block <_>", limit=500).withColumn(
         "timestamp", ts("timestamp")
     )
 
@@ -317,7 +313,7 @@ labelled AS (SELECT s.block_id, seq_len, unique_templates, cast(toxic AS bigint)
 
 
 def tokens_of(spark, d):
-    return stage(sq.block_tokens(enriched(spark, d)), "tokens")
+    return sq.block_tokens(fx.enriched(spark, d))
 
 
 def labels_for(blocks, spark, d):
@@ -527,7 +523,7 @@ history AS (SELECT o.id, o.block_id, concat_ws(' ', string_agg('E' || e.template
 
 @query(f"WITH {HISTORY_SQL} SELECT id, block_id, sequence, seq_len FROM history")
 def block_history(spark, d):
-    return sq.block_history(stage(enriched(spark, d), "enriched")).select(
+    return sq.block_history(fx.enriched(spark, d)).select(
         "id", "block_id", F.array_join("tokens", " ").alias("sequence"), big(F.size("tokens"), "seq_len")
     )
 
@@ -535,7 +531,7 @@ def block_history(spark, d):
 @query(f"""WITH {HISTORY_SQL} SELECT id, sequence, seq_len,
   cast(len(list_distinct(string_split(sequence, ' '))) AS bigint) AS unique_templates FROM history""")
 def sequence_stats(spark, d):
-    rows = sq.block_history(stage(enriched(spark, d), "enriched"))
+    rows = sq.block_history(fx.enriched(spark, d))
     return rows.select("id", seq.sequence_stats(F.col("tokens")).alias("s")).select(
         "id", "s.sequence", big("s.seq_len", "seq_len"), big("s.unique_templates", "unique_templates")
     )
@@ -572,7 +568,7 @@ TOKENS_SQL = "list_distinct(list_filter(regexp_extract_all(lower({0}), '([a-z0-9
 
 @query(f"SELECT doc_id, array_to_string(list_sort({TOKENS_SQL.format('text')}), ' ') AS tokens, cast(len({TOKENS_SQL.format('text')}) AS bigint) AS n FROM documents")
 def tokenize(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", text.tokenize(F.col("text")).alias("t"))
+    docs = fx.runbooks(spark, d).select(F.col("id").alias("doc_id"), text.tokenize(F.col("content")).alias("t"))
     return docs.select("doc_id", F.array_join(F.array_sort("t"), " ").alias("tokens"), big(F.size("t"), "n"))
 
 
@@ -602,7 +598,7 @@ def runbook_texts(spark, d):
   'Template sequence: E' || template_id || chr(10) || 'Problem message: ' || raw_message AS query FROM tlogs""")
 def query_text(spark, d):
     token = seq.template_token(F.col("template_id"))
-    return enriched(spark, d).select(
+    return fx.enriched(spark, d).select(
         "id", token.alias("token"), text.query_text(token, F.col("raw_message")).alias("query")
     )
 
@@ -618,7 +614,7 @@ SNIPPET_SQL = "CASE WHEN length({0}) > 220 THEN substr({0}, 1, 220) || '...' ELS
 
 @query(f"WITH f AS (SELECT doc_id, {flat_sql('text')} AS flat FROM documents) SELECT doc_id, {SNIPPET_SQL.format('flat')} AS snippet FROM f")
 def snippet(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+    return fx.runbooks(spark, d).select(F.col("id").alias("doc_id"), text.snippet(F.col("content")).alias("snippet"))
 
 
 @query("""SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S') AS label,
@@ -672,7 +668,7 @@ def ngrams(spark, d):
   || '3. Attach the relevant runbook once FAISS-backed RAG retrieval is enabled.' || chr(10) || chr(10)
   || '_Generated placeholder RCA at 2024-01-30T12:30:00+00:00._' AS report FROM tlogs""")
 def rca_signal_markdown(spark, d):
-    return enriched(spark, d).select("id", report.rca_signal_markdown(
+    return fx.enriched(spark, d).select("id", report.rca_signal_markdown(
         F.col("log_level"), F.col("source_host"), F.col("timestamp"), F.col("raw_message"),
         F.col("parsed_template"), F.lit(fx.NOW),
     ).alias("report"))
@@ -705,7 +701,8 @@ def template_catalog_lines(spark, d):
 
 @query(f"WITH {CATALOG_SQL} SELECT id, template_id, parsed_template FROM tlogs")
 def assign_templates(spark, d):
-    return enriched(spark, d).select("id", "template_id", "parsed_template")
+    made = tpl.assign_templates(fx.logs(spark, d), fx.catalog(spark, d))
+    return made.select("id", "template_id", "parsed_template")
 
 
 @query()
@@ -783,7 +780,7 @@ def one_class_svm(spark, d):
 
 def trained(spark, d):
     base = fx.logs(spark, d)
-    return base, training.train_model(base, catalog=stage(tpl.template_catalog(base), "catalog"))
+    return base, training.train_model(base, catalog=fx.catalog(spark, d))
 
 
 @query()
@@ -810,9 +807,7 @@ def grid_search(spark, d):
 
 @query()
 def embed_texts(spark, d):
-    return vec.embed_texts(fx.table(spark, d, "documents").select("doc_id", "text"), "text").select(
-        "doc_id", "embedding"
-    )
+    return vec.embed_texts(fx.runbooks(spark, d), "content").select(F.col("id").alias("doc_id"), "embedding")
 
 
 @query()
@@ -824,7 +819,7 @@ def index_runbooks(spark, d):
 def search_runbooks_encoded(spark, d):
     """Search with the default encoder on both sides."""
     books = fx.runbooks(spark, d)
-    queries = rca.incident_queries(fx.incidents(spark, d), enriched(spark, d))
+    queries = rca.incident_queries(fx.incidents(spark, d), fx.enriched(spark, d))
     return retrieve.search_runbooks(queries, books, stage(vec.index_runbooks(books), "vectors"))
 
 
@@ -835,7 +830,7 @@ def given_queries(spark, d, needed=False):
     given = fx.vectors(spark, d)
     numbered = numbered.withColumn("vec_id", (F.col("number") - 1) % given.agg(F.count("*")).scalar())
     chosen = inc.needs_rca(found) if needed else found
-    return rca.incident_queries(chosen, enriched(spark, d)).join(numbered, "query_id").join(
+    return rca.incident_queries(chosen, fx.enriched(spark, d)).join(numbered, "query_id").join(
         given.withColumnRenamed("runbook_id", "vec_id"), "vec_id"
     ).select("query_id", "sequence", "raw_message", "embedding")
 
@@ -904,3 +899,102 @@ def backfill_rca(spark, d):
     return inc.replace_reports(
         found, made.select(F.col("query_id").alias("id"), F.col("text").alias("rca_markdown"))
     ).select("id", "status", "rca_markdown")
+
+
+# --- streams ----------------------------------------------------------------------
+
+def feed(df: DataFrame, folder: str, slices: int, start: Callable, fmt: str = "parquet") -> None:
+    """Write ``df`` in time slices and run the stream after each, as data would arrive."""
+    spark = df.sparkSession
+    edges = df.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    step = (edges["b"] - edges["a"]) / slices
+    for i in range(slices):
+        part = df
+        if i > 0:
+            part = part.where(F.col("timestamp") >= F.lit(edges["a"] + step * i))
+        if i < slices - 1:
+            part = part.where(F.col("timestamp") < F.lit(edges["a"] + step * (i + 1)))
+        part = part.select("value") if fmt == "text" else part
+        part.write.mode("append").format(fmt).save(folder)
+        start(spark.readStream.schema(part.schema).format(fmt).load(folder)).awaitTermination()
+
+
+def _paths(spark, name, *parts):
+    root = new_path(spark, name)
+    return [f"{root}/{part}" for part in parts]
+
+
+@query(SQL["validate_logs"])
+def ingest_stream(spark, d):
+    source, valid, rejected, checkpoint = _paths(spark, "ingest", "in", "valid", "rejected", "checkpoint")
+    requests = fx.ingest_requests(spark, d)
+    feed(requests, source, 2, lambda stream: jobs.ingest_stream(stream, valid, rejected, checkpoint))
+    return spark.read.parquet(valid).select("id", "source_host", "log_level", "raw_message")
+
+
+@query(f"""WITH {fx.LOGS_SQL} SELECT 'hdfs-datanode-01' AS source_host,
+  log_level, raw_message, count(*) AS n FROM logs GROUP BY ALL""")
+def replay(spark, d):
+    source, out, checkpoint = _paths(spark, "replay", "in", "out", "checkpoint")
+    lines = fx.logs(spark, d).select("timestamp", F.col("raw_message").alias("value"))
+
+    def start(_):
+        stream = ln.replay(spark, source, files_per_trigger=4)
+        return stream.writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start()
+
+    feed(lines, source, 2, start, "text")
+    return spark.read.parquet(out).groupBy("source_host", "log_level", "raw_message").agg(F.count("*").alias("n"))
+
+
+@query(SQL["block_history"])
+def stream_block_state(spark, d):
+    source, out, state, checkpoint = _paths(spark, "history", "in", "out", "state", "checkpoint")
+    logs = fx.enriched(spark, d)
+    feed(logs, source, 3, lambda stream: history.stream_block_state(stream, out, state, checkpoint))
+    return spark.read.parquet(out).select(
+        "id", "block_id", F.array_join("tokens", " ").alias("sequence"), big(F.size("tokens"), "seq_len")
+    )
+
+
+@query()
+def stream_incidents(spark, d):
+    source, out, state, checkpoint = _paths(spark, "raised", "in", "out", "state", "checkpoint")
+    _, model = trained(spark, d)
+    logs = fx.enriched(spark, d)
+    feed(logs, source, 2, lambda stream: jobs.stream_incidents(stream, model, out, state, checkpoint))
+    return spark.read.parquet(out).select("id", "severity", "title", "status", "trigger_log_id", "rca_markdown")
+
+
+@query(f"""WITH {fx.LOGS_SQL} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S.%f') AS bucket, count(*) AS n FROM logs
+  GROUP BY date_trunc('hour', timestamp)
+  HAVING date_trunc('hour', timestamp) + INTERVAL '1' HOUR <= (SELECT max(timestamp) FROM logs) - INTERVAL '10' MINUTE""")
+def stream_volume(spark, d):
+    """Hours that the watermark has closed."""
+    source, out, checkpoint = _paths(spark, "volume", "in", "out", "checkpoint")
+    logs = fx.logs(spark, d)
+    feed(logs, source, 2, lambda stream: jobs.stream_volume(
+        stream, "hour", "10 minutes", out, checkpoint))
+    return spark.read.parquet(out).select(ts("bucket"), "n")
+
+
+@query(SQL["assign_templates"])
+def stream_templates(spark, d):
+    source, catalog, out, checkpoint = _paths(spark, "learn", "in", "catalog", "out", "checkpoint")
+    logs = fx.logs(spark, d)
+    feed(logs, source, 2, lambda stream: jobs.stream_templates(stream, catalog, out, checkpoint))
+    return spark.read.parquet(out).select("id", "template_id", "parsed_template")
+
+
+@query(SQL["update_status"])
+def stream_status(spark, d):
+    source, out, checkpoint = _paths(spark, "status", "in", "out", "checkpoint")
+    updates = fx.status_updates(spark, d)
+    feed(
+        updates.withColumn("timestamp", F.col("ts")), source, 2,
+        lambda stream: jobs.stream_status(stream, out, checkpoint),
+    )
+    return jobs.current_incidents(fx.incidents(spark, d), out).select(
+        "id", "severity", "status", ts("updated_at")
+    )

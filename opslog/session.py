@@ -60,3 +60,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys before costly Python work on each group or bundle.
+
+    A named number of partitions keeps adaptive execution from merging them:
+    it goes by bytes, while this work goes by groups.
+    """
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)

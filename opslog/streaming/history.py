@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opslog.operators.explore import with_block
-from opslog.functions import rules
-from opslog.operators.sequences import history_tokens
+from opslog.functions import rules, sequence as seq
+from opslog.operators.sequences import with_history
 from opslog.operators.skew import SPLIT_ROWS, skew_join
 from opslog.schema import HISTORY_CAP
 from opslog.sources.tables import write_batch
@@ -88,16 +88,14 @@ def history_batches(logs: DataFrame, on_history: Callable[[DataFrame, int], None
             F.arrays_zip("micros", "ids", "templates"),
             lambda e: F.struct(
                 F.timestamp_micros(e["micros"]).alias("timestamp"), e["ids"].alias("id"),
-                e["templates"].alias("template_id"),
+                e["templates"].alias("template_id"), seq.template_token(e["templates"]).alias("token"),
             ),
         )
         firsts = stored.where(F.col("first_block").isNotNull()).select(
             F.col("first_block").alias("block_id"), entries.alias("first")
         )
         rows = with_block(stored.where(F.col("first_block").isNull()).select(*logs.columns))
-        joined = skew_join(rows, firsts, "block_id", "id", "left", split_rows)
-        tokens = history_tokens(F.col("first"), F.col("timestamp"), F.col("id"), F.col("template_id"))
-        on_history(joined.withColumn("tokens", tokens).drop("first"), batch_id)
+        on_history(with_history(skew_join(rows, firsts, "block_id", "id", "left", split_rows)), batch_id)
 
     return (
         both.writeStream.foreachBatch(on_batch).outputMode("append")
