@@ -21,6 +21,7 @@ CONTAMINATION = 0.025
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, size int"
 EULER_GAMMA = 0.5772156649015329
+CONSTANT = 1e-7  # a feature that varies less is not split on
 OVERSAMPLE = 2.0
 CELLS = 4_000_000
 
@@ -49,7 +50,12 @@ def dense(indices, values, columns: np.ndarray) -> np.ndarray:
 
 
 def grow_tree(matrix: np.ndarray, features: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Random splits until a node holds one point, equal points, or is deep enough."""
+    """Random splits until a node holds one point, equal points, or is deep enough.
+
+    The matrix holds single precision, and features that vary by less than that
+    resolves count as constant, so that the order in which Spark added up a norm
+    never decides a split.
+    """
     nodes: list[tuple] = []
     todo = [(np.arange(len(matrix)), 0, -1, "")]
     links: dict[int, dict[str, int]] = {}
@@ -60,15 +66,15 @@ def grow_tree(matrix: np.ndarray, features: np.ndarray, rng: np.random.Generator
             links[parent][side] = node
         part = matrix[rows]
         low, high = part.min(axis=0), part.max(axis=0)
-        open_cols = np.flatnonzero(high > low)
+        open_cols = np.flatnonzero(high - low > CONSTANT)
         if depth >= max_depth or len(rows) <= 1 or len(open_cols) == 0:
             nodes.append((-1, 0.0, len(rows)))
             continue
         col = rng.choice(open_cols)
-        cut = rng.uniform(low[col], high[col])
+        cut = rng.uniform(float(low[col]), float(high[col]))
         goes_left = part[:, col] <= cut
         if goes_left.all():  # rounding put the cut on the maximum
-            cut = low[col]
+            cut = float(low[col])
             goes_left = part[:, col] <= cut
         nodes.append((int(features[col]), float(cut), len(rows)))
         links[node] = {}
@@ -122,7 +128,8 @@ def iforest_fit(features: DataFrame, n_features: int, n_rows: int | None = None,
         if len(columns) == 0:
             nodes = [(0, -1, 0.0, -1, -1, len(pdf))]
         else:
-            nodes = grow_tree(dense(pdf["indices"], pdf["values"], columns), columns, rng, depth)
+            matrix = dense(pdf["indices"], pdf["values"], columns).astype(np.float32)
+            nodes = grow_tree(matrix, columns, rng, depth)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size"])
         out.insert(0, "tree", tree)
         return out
@@ -176,6 +183,7 @@ class Forest:
 
     def _walk(self, matrix: np.ndarray) -> np.ndarray:
         norm = float(path_norm(self.psi)) or 1.0
+        matrix = matrix.astype(np.float32)
         if matrix.shape[1] == 0:
             matrix = np.zeros((len(matrix), 1))
         at = np.broadcast_to(self.roots, (len(matrix), len(self.roots))).copy()

@@ -106,9 +106,10 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
     Masking first reduces the logs to their different masked messages. These
     are split into leaves by token count and leading tokens, and each leaf is
     clustered on its own. A leaf with more than ``max_leaf`` messages is split
-    by twice as many leading tokens until it fits; a leaf whose key covers the
-    whole message needs no clustering, since its key is its template. So no
-    task sees an unbounded leaf and no message is left out.
+    by more leading tokens until it fits; a leaf whose key covers the whole
+    message needs no clustering, since its key is its template. So no task sees
+    an unbounded leaf and no message is left out. The number of tokens grows by
+    a quarter once it is long, which bounds the number of rounds.
     """
     pending = masked_counts(logs).select(
         "masked", F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id"),
@@ -125,7 +126,7 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
         leaves = done if leaves is None else leaves.unionByName(done)
         if sized.where(large).isEmpty():
             break
-        pending, level = sized.where(large).select(*columns), level * 2
+        pending, level = sized.where(large).select(*columns), level + max(1, level // 4)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["first_ts", "first_id"])
