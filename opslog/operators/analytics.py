@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, functions as F
 from opslog.functions.times import bucket_label, window_start
 
 
+def since(df: DataFrame, column: str, start: datetime) -> DataFrame:
+    """Rows from ``start`` on; a table stored by date reads only the dates it needs."""
+    if "dt" in df.columns:
+        df = df.where(F.col("dt") >= F.lit(start.date()))
+    return df.where(F.col(column) >= F.lit(start))
+
+
 def _volume(df: DataFrame, column: str, start: datetime, grain: str) -> DataFrame:
     return (
-        df.where(F.col(column) >= F.lit(start))
+        since(df, column, start)
         .groupBy(F.date_trunc(grain, column).alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
@@ -50,12 +57,12 @@ def open_critical_count(incidents: DataFrame) -> DataFrame:
     return incidents.agg(_open_critical().alias("open_critical_incidents"))
 
 
-def anomaly_count(incidents: DataFrame, since: datetime) -> DataFrame:
-    return incidents.agg(F.count_if(F.col("created_at") >= F.lit(since)).alias("total_anomalies"))
+def anomaly_count(incidents: DataFrame, start: datetime) -> DataFrame:
+    return since(incidents, "created_at", start).agg(F.count("*").alias("total_anomalies"))
 
 
-def log_count(logs: DataFrame, since: datetime) -> DataFrame:
-    return logs.where(F.col("timestamp") >= F.lit(since)).agg(F.count("*").alias("total_logs"))
+def log_count(logs: DataFrame, start: datetime) -> DataFrame:
+    return since(logs, "timestamp", start).agg(F.count("*").alias("total_logs"))
 
 
 def _open_critical():
@@ -69,11 +76,11 @@ def summary(logs: DataFrame, incidents: DataFrame, now: datetime, rate_divisor:
     Incidents are read once for both of their counts; the log count is a scalar
     subquery beside them. The rate rounds half to even.
     """
-    since = now - timedelta(days=1)
+    start = now - timedelta(days=1)
     counts = incidents.agg(
         _open_critical().alias("critical"),
-        F.count_if(F.col("created_at") >= F.lit(since)).alias("anomalies"),
-    ).withColumn("logs", log_count(logs, since).scalar())
+        F.count_if(F.col("created_at") >= F.lit(start)).alias("anomalies"),
+    ).withColumn("logs", log_count(logs, start).scalar())
     health = F.greatest(
         F.lit(0.0), 100.0 - F.col("critical") * critical_weight - F.col("anomalies") * anomaly_weight
     )

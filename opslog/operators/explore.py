@@ -76,9 +76,19 @@ def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def with_block(logs: DataFrame) -> DataFrame:
+    """Add the first block a log mentions, unless the table already stores it."""
+    if "block_id" in logs.columns:
+        return logs
     return logs.withColumn("block_id", rules.extract_block_id(F.col("raw_message")))
 
 
+def with_blocks(logs: DataFrame) -> DataFrame:
+    """Add all blocks a log mentions, unless the table already stores them."""
+    if "blocks" in logs.columns:
+        return logs
+    return logs.withColumn("blocks", rules.block_mentions(F.col("raw_message")))
+
+
 def mentions(logs: DataFrame) -> DataFrame:
     """One row per log and block it mentions."""
-    return logs.withColumn("block_id", F.explode(rules.block_mentions(F.col("raw_message"))))
+    return with_blocks(logs).drop("block_id").withColumn("block_id", F.explode("blocks")).drop("blocks")

@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from opslog.functions import rules
+from opslog.operators.explore import by_ids
+
+
+def trigger_logs(incidents: DataFrame, logs: DataFrame) -> DataFrame:
+    """The logs that opened an incident.
+
+    A left join would shuffle the whole log table with its messages. The
+    semi-join keeps the few needed rows first: Spark sends the ids to the scan
+    when they are small and filters by them at run time when they are not.
+    """
+    ids = incidents.where(F.col("trigger_log_id").isNotNull()).select(F.col("trigger_log_id").alias("id"))
+    return by_ids(logs, ids)
 
 
 def incident_detail(incidents: DataFrame, logs: DataFrame) -> DataFrame:
     """Each incident with its trigger log as a struct, NULL where there is none."""
-    trigger = logs.select(
+    trigger = trigger_logs(incidents, logs).select(
         F.col("id").alias("trigger_log_id"),
         F.struct("id", "raw_message", "source_host").alias("trigger_log"),
     )

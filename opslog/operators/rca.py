@@ -48,7 +48,7 @@ def prompts(queries: DataFrame, found: DataFrame, runbooks: DataFrame) -> DataFr
 
 def incident_queries(incidents: DataFrame, logs: DataFrame) -> DataFrame:
     """What each incident asks: template id and message of its trigger log, or empty texts."""
-    trigger = logs.select(
+    trigger = inc.trigger_logs(incidents, logs).select(
         F.col("id").alias("trigger_log_id"), F.col("raw_message").alias("_message"),
         F.col("template_id").cast("string").alias("_sequence"),
     )

@@ -28,7 +28,7 @@ def rerank(candidates: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """Score = 5 * word overlap + 1 / (1 + distance); best ``top_k`` per query."""
     lexical = text.lexical_score(F.col("query_tokens"), F.col("tokens"))
     score = text.combined_score(lexical, text.semantic_score(F.col("distance")))
-    scored = candidates.withColumn("score", F.round(score, DIGITS))
+    scored = candidates.select("query_id", "runbook_id", "distance", F.round(score, DIGITS).alias("score"))
     return top_k_per_query(
         scored, "query_id", [F.desc("score"), F.col("distance"), F.col("runbook_id")], top_k
     )

@@ -13,7 +13,7 @@ from opslog.operators import features as feat
 from opslog.operators.iforest import Forest, iforest_score
 from opslog.operators.sequences import block_history
 from opslog.operators.skew import SPLIT_ROWS
-from opslog.operators.templates import assign_templates
+from opslog.operators.templates import enrich_logs
 from opslog.session import stage
 from opslog.sources.models import Model
 
@@ -159,7 +159,7 @@ def score_histories(df: DataFrame, model: Model, max_shared_terms: int = MAX_SHA
 def score_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS,
                max_shared_terms: int = MAX_SHARED_TERMS) -> DataFrame:
     """Parse, look back, build features and score every log."""
-    enriched = stage(assign_templates(logs, model.templates, split_rows), "enriched")
+    enriched = stage(enrich_logs(logs, model.templates, split_rows), "enriched")
     return score_histories(block_history(enriched, split_rows=split_rows), model, max_shared_terms)
 
 

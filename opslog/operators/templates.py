@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from opslog.functions.text import WILDCARD, mask_template
+from opslog.operators.explore import with_block, with_blocks
 from opslog.operators.ranking import ranked
 from opslog.operators.skew import SPLIT_ROWS, hot_of, skew_join
 from opslog.session import by_key, stage
@@ -19,6 +20,7 @@ CATALOG = T.StructType([
     T.StructField("masked", T.StringType()),
     T.StructField("template_id", T.LongType()),
     T.StructField("template", T.StringType()),
+    T.StructField("n", T.LongType()),
 ])
 
 
@@ -40,14 +42,16 @@ def template_catalog(logs: DataFrame) -> DataFrame:
 def assign_templates(logs: DataFrame, catalog: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Set template_id and parsed_template; unseen messages keep their own text.
 
-    The catalogue has one row per masked message. A message that fills a large
-    share of the logs is split over tasks.
+    The catalogue has one row per masked message, with its count: that tells
+    which messages are hot without reading the logs once more. They are split
+    over tasks where the catalogue is too large for Spark to broadcast.
     """
     known = catalog.select(
         "masked", F.col("template_id").alias("_template_id"), F.col("template").alias("_template")
     )
     masked = logs.withColumn("masked", mask_template(F.col("raw_message")))
-    joined = skew_join(masked, known, "masked", "id", "left", split_rows)
+    hot = hot_of(catalog, "masked", "n", split_rows)
+    joined = skew_join(masked, known, "masked", "id", "left", split_rows, hot)
     kept = [c for c in logs.columns if c not in ("template_id", "parsed_template")]
     return joined.select(
         *kept,
@@ -56,6 +60,11 @@ def assign_templates(logs: DataFrame, catalog: DataFrame, split_rows: int = SPLI
     )
 
 
+def enrich_logs(logs: DataFrame, catalog: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Templates and block ids as columns, so that later steps need not read the messages."""
+    return with_blocks(with_block(assign_templates(logs, catalog, split_rows)))
+
+
 def _leaf_key(tokens, depth):
     """Token count and the first tokens; tokens with a digit or wildcard stand for any token."""
     head = F.transform(
@@ -113,7 +122,7 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
     """
     pending = masked_counts(logs).select(
         "masked", F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id"),
-        F.split("masked", "[ \t]+").alias("tokens"),
+        F.split("masked", "[ \t]+").alias("tokens"), F.col("n").alias("logs"),
     )
     columns, level, leaves = pending.columns, max(depth - 2, 1), None
     while True:
@@ -134,25 +143,26 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
         firsts = pdf.groupby(member)[["first_ts", "first_id"]].transform("first")
         return pd.DataFrame({
             "masked": pdf["masked"].to_numpy(),
+            "logs": pdf["logs"].to_numpy(),
             "template": [templates[m] for m in member],
             "first_ts": firsts["first_ts"].to_numpy(),
             "first_id": firsts["first_id"].to_numpy(),
         })
 
-    shape = "masked string, template string, first_ts timestamp, first_id long"
+    shape = "masked string, logs long, template string, first_ts timestamp, first_id long"
     several = (F.col("n") > 1) & ~F.col("covered")
     clustered = by_key(leaves.where(several), "leaf").groupBy("leaf").applyInPandas(cluster, shape)
     alone = leaves.where((F.col("n") == 1) & ~F.col("covered")).select(
-        "masked", F.array_join("tokens", " ").alias("template"), "first_ts", "first_id"
+        "masked", "logs", F.array_join("tokens", " ").alias("template"), "first_ts", "first_id"
     )
-    covered = leaves.where("covered").select("masked", "leaf", "first_ts", "first_id")
+    covered = leaves.where("covered").select("masked", "logs", "leaf", "first_ts", "first_id")
     heads = covered.groupBy("leaf").agg(F.min(F.struct("first_ts", "first_id")).alias("head"))
-    whole = skew_join(covered.select("masked", "leaf"), heads, "leaf", "masked", "inner").select(
-        "masked", F.regexp_replace("leaf", "^[0-9]+ ", "").alias("template"), "head.*"
+    whole = skew_join(covered.select("masked", "logs", "leaf"), heads, "leaf", "masked", "inner").select(
+        "masked", "logs", F.regexp_replace("leaf", "^[0-9]+ ", "").alias("template"), "head.*"
     )
     catalog = stage(
         clustered.unionByName(alone).unionByName(whole).select(
-            "masked", "template", F.struct("first_ts", "first_id").alias("head")
+            "masked", "template", F.col("logs").alias("n"), F.struct("first_ts", "first_id").alias("head")
         ),
         "templates",
     )
@@ -160,4 +170,4 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
     ids = ranked(heads, [], ["first_ts", "first_id"], "template_id").select(
         F.struct("first_ts", "first_id").alias("head"), "template_id"
     )
-    return skew_join(catalog, ids, "head", "masked", "inner").select("masked", "template_id", "template")
+    return skew_join(catalog, ids, "head", "masked", "inner").select("masked", "template_id", "template", "n")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from opslog.operators import evaluate, features as feat, iforest, ocsvm, sequences as sq
-from opslog.operators.templates import assign_templates, mine_templates
+from opslog.operators.templates import enrich_logs, mine_templates
 from opslog.session import stage
 from opslog.sources.models import Model
 
@@ -26,10 +29,19 @@ class Fitted:
     n_features: int
 
 
-def fit_features(tokens: DataFrame, ngram_max: int = 1) -> Fitted:
-    """Vocabulary, scaler and feature vectors of the blocks in ``tokens``."""
-    stats = stage(sq.block_stats(tokens), "stats")
-    terms = stage(sq.block_terms(tokens, ngram_max), "terms")
+def fit_features(tokens: DataFrame, ngram_max: int = 1, terms: DataFrame | None = None,
+                 stats: DataFrame | None = None) -> Fitted:
+    """Vocabulary, scaler and feature vectors of the blocks in ``tokens``.
+
+    ``terms`` may hold longer n-grams than wanted, and ``stats`` be at hand, so
+    that several vectorizers share one pass over the tokens.
+    """
+    if stats is None:
+        stats = stage(sq.block_stats(tokens), "stats")
+    if terms is None:
+        terms = stage(sq.block_terms(tokens, ngram_max), "terms")
+    else:
+        terms = terms.where(F.size(F.split("term", " ")) <= ngram_max)
     vocabulary = stage(feat.tfidf_fit(terms, stats), "vocabulary")
     scaler = stage(feat.scaler_fit(stats), "scaler")
     n_terms = vocabulary.count()
@@ -49,7 +61,7 @@ def train_model(logs: DataFrame, contamination: float = iforest.CONTAMINATION, n
                 catalog: DataFrame | None = None, seed: int = iforest.SEED) -> Model:
     """Mine templates, build block features and fit the forest. No labels are used."""
     catalog = stage(mine_templates(logs), "catalog") if catalog is None else catalog
-    tokens = stage(sq.block_tokens(assign_templates(logs, catalog)), "tokens")
+    tokens = stage(sq.block_tokens(enrich_logs(logs, catalog)), "tokens")
     fitted = fit_features(tokens, ngram_max)
     nodes, scores = fit_forest(fitted, seed)
     offset = iforest.iforest_offsets(scores, [contamination])[0]
@@ -78,41 +90,49 @@ def grid_search(tokens: DataFrame, labels: DataFrame, catalog: DataFrame | None
     """Fit every setting on the labelled blocks and score it on the same blocks.
 
     The contamination only moves the threshold, so there is one forest per
-    vectorizer; all one-class models of a vectorizer share their passes. All
-    predictions are scored by one aggregation.
+    vectorizer; all one-class models of a vectorizer share their passes. The
+    vectorizers share one count of terms and run side by side, so that the
+    small steps of one fill the gaps of another. All predictions are scored by
+    one aggregation.
     """
+    spark = tokens.sparkSession
     population = stage(tokens.join(labels.select("block_id").distinct(), "block_id", "left_semi"), "population")
-    predictions, names, models = None, [], {}
-    for vectorizer, ngram_max in vectorizers:
-        fitted = fit_features(population, ngram_max)
+    stats = stage(sq.block_stats(population), "stats")
+    terms = stage(sq.block_terms(population, max(n for _, n in vectorizers)), "terms")
+    per_vectorizer = len(contaminations) + len(nus) * len(kernels)
+
+    def fit(place: int):
+        vectorizer, ngram_max = vectorizers[place]
+        config = place * per_vectorizer
+        fitted = fit_features(population, ngram_max, terms, stats)
         nodes, scores = fit_forest(fitted)
-        offsets = iforest.iforest_offsets(scores, list(contaminations))
-        entries = []
-        for contamination, offset in zip(contaminations, offsets):
-            config = len(names)
+        names, fits, thresholds, machines = [], {}, [], []
+        for contamination, offset in zip(contaminations, iforest.iforest_offsets(scores, list(contaminations))):
             names.append((config, "IsolationForest", vectorizer, f"cont={contamination}"))
-            models[config] = Model(catalog, fitted.vocabulary, fitted.scaler, nodes.withColumn("offset", F.lit(offset)))
-            entries.append(F.struct(F.lit(config).alias("config"), F.lit(offset).alias("offset")))
-        made = scores.select("block_id", "score_sample", F.inline(F.array(*entries))).select(
+            fits[config] = Model(catalog, fitted.vocabulary, fitted.scaler, nodes.withColumn("offset", F.lit(offset)))
+            thresholds.append(F.struct(F.lit(config).alias("config"), F.lit(offset).alias("offset")))
+            config += 1
+        made = scores.select("block_id", "score_sample", F.inline(F.array(*thresholds))).select(
             "config", "block_id", (F.col("score_sample") < F.col("offset")).cast("int").alias("pred")
         )
         if nus and kernels:
             machine = ocsvm.ocsvm_fit(fitted.features, fitted.n_features, nus, kernels)
-            lookup = []
             for nu in nus:
                 for kernel in kernels:
-                    config = len(names)
                     names.append((config, f"OC-SVM ({kernel})", vectorizer, f"nu={nu}"))
-                    models[config] = {"kernel": kernel, "nu": nu, **machine}
-                    lookup.append((config, kernel, nu))
-            which = F.coalesce(*[
-                F.when((F.col("kernel") == k) & (F.col("nu") == nu), c) for c, k, nu in lookup
-            ])
-            made = made.unionByName(
-                ocsvm.ocsvm_predict(fitted.features, machine).select(which.alias("config"), "block_id", "pred")
-            )
-        predictions = made if predictions is None else predictions.unionByName(made)
+                    fits[config] = {"kernel": kernel, "nu": nu, **machine}
+                    machines.append(F.when((F.col("kernel") == kernel) & (F.col("nu") == nu), config))
+                    config += 1
+            predicted = ocsvm.ocsvm_predict(fitted.features, machine)
+            made = made.unionByName(predicted.select(F.coalesce(*machines).alias("config"), "block_id", "pred"))
+        return names, fits, made
+
+    with ThreadPool(len(vectorizers)) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(fit), range(len(vectorizers)))
+    predictions = reduce(DataFrame.unionByName, [made for _, _, made in parts])
     judged = sq.label_blocks(predictions, labels.select("block_id", "true_label"))
     metrics = stage(evaluate.classification_metrics(judged, ["config"]), "metrics")
-    settings = tokens.sparkSession.createDataFrame(names, "config int, model string, vectorizer string, param string")
-    return GridResult(settings.join(metrics, "config"), models)
+    settings = spark.createDataFrame(
+        [name for names, _, _ in parts for name in names], "config int, model string, vectorizer string, param string"
+    )
+    return GridResult(settings.join(metrics, "config"), {c: m for _, fits, _ in parts for c, m in fits.items()})

@@ -21,6 +21,8 @@ DIGITS = 6
 def hashed_bag(text: Column, dim: int = EMBEDDING_DIM) -> Column:
     """Default encoder: signed hashed bag of tokens of unit length.
 
+    A token's hash is the first 15 hex digits of its md5, which any engine can
+    repeat: its lowest bit is the sign, the rest modulo ``dim`` the place.
     Tokens are hashed in the JVM; only the small hash arrays reach Python.
     """
     @F.pandas_udf("array<float>")
@@ -34,7 +36,7 @@ def hashed_bag(text: Column, dim: int = EMBEDDING_DIM) -> Column:
             out.append((bag / norm if norm else bag).astype(np.float32))
         return pd.Series(out)
 
-    return pack(F.transform(tokenize(text), lambda t: F.xxhash64(t)))
+    return pack(F.transform(tokenize(text), lambda t: F.conv(F.substring(F.md5(t), 1, 15), 16, 10).cast("long")))
 
 
 def embed_texts(df: DataFrame, text: str, out: str = "embedding",

@@ -214,5 +214,5 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stored
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The logs with their templates."""
-    return tpl.assign_templates(logs(spark, sf_dir), catalog(spark, sf_dir))
+    """The logs with their templates and blocks."""
+    return tpl.enrich_logs(logs(spark, sf_dir), catalog(spark, sf_dir))

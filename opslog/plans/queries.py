@@ -805,14 +805,33 @@ def grid_search(spark, d):
     return training.grid_search(tokens, labels_for(tokens, spark, d)).leaderboard()
 
 
-@query()
+def embed_sql(source: str, key: str, col: str) -> str:
+    """Unit vectors of the default encoder in long form: key, place, value."""
+    return f"""h AS (SELECT {key}, cast('0x' || substr(md5(w), 1, 15) AS bigint) AS h FROM
+  (SELECT {key}, unnest({TOKENS_SQL.format(col)}) AS w FROM {source})),
+bag AS (SELECT {key}, (h >> 1) % 384 AS place, sum(CASE WHEN h & 1 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM h GROUP BY ALL),
+unit AS (SELECT {key}, place, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM bag QUALIFY v <> 0)"""
+
+
+def long_vectors(df, key):
+    return df.select(key, F.posexplode("embedding").alias("place", "value")).where(F.col("value") != 0).select(
+        key, big("place", "place"), F.round(F.col("value").cast("double"), 4).alias("value")
+    )
+
+
+@query(f"WITH {embed_sql('documents', 'doc_id', 'text')} SELECT doc_id, place, round(cast(cast(value AS float) AS double), 4) AS value FROM unit")
 def embed_texts(spark, d):
-    return vec.embed_texts(fx.runbooks(spark, d), "content").select(F.col("id").alias("doc_id"), "embedding")
+    books = fx.runbooks(spark, d).select(F.col("id").alias("doc_id"), "content")
+    return long_vectors(vec.embed_texts(books, "content"), "doc_id")
 
 
-@query()
+BOOK_TEXT_SQL = "concat('Title: ', title, chr(10), 'Category: ', category, chr(10), content)"
+
+
+@query(f"""WITH {fx.RUNBOOKS_SQL}, {embed_sql('runbooks', 'id', BOOK_TEXT_SQL)}
+  SELECT id AS runbook_id, place, round(cast(cast(value AS float) AS double), 4) AS value FROM unit""")
 def index_runbooks(spark, d):
-    return vec.index_runbooks(fx.runbooks(spark, d))
+    return long_vectors(vec.index_runbooks(fx.runbooks(spark, d)), "runbook_id")
 
 
 @query()

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from opslog.operators.explore import with_block
-from opslog.functions import rules, sequence as seq
+from opslog.operators.explore import mentions, with_block
+from opslog.functions import sequence as seq
 from opslog.operators.sequences import with_history
 from opslog.operators.skew import SPLIT_ROWS, skew_join
 from opslog.schema import HISTORY_CAP
@@ -27,16 +27,16 @@ def _earliest(frame: pd.DataFrame, cap: int) -> pd.DataFrame:
     return frame.sort_values(["micros", "id"]).groupby("block_id", sort=False).head(cap)
 
 
-def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
+def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP, idle_ms: int | None = None) -> DataFrame:
     """Stream of each touched block with its earliest ``cap`` templated mentions so far.
 
     Only the earliest ``cap`` mentions of a batch can enter the state, so each
     Arrow batch is cut to them before the shuffle, and a hot block's task holds
-    no more than the cap at a time. A full state is frozen.
+    no more than the cap at a time. A full state is frozen. With ``idle_ms``, a
+    block without news for so long is forgotten; by default none ever is.
     """
-    seen = logs.select(
-        F.explode(rules.block_mentions(F.col("raw_message"))).alias("block_id"),
-        F.unix_micros("timestamp").alias("micros"), "id",
+    seen = mentions(logs).select(
+        "block_id", F.unix_micros("timestamp").alias("micros"), "id",
         F.coalesce("template_id", F.lit(NO_TEMPLATE)).alias("template_id"),
     )
 
@@ -48,6 +48,9 @@ def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
             yield pd.concat([_earliest(pdf[known], cap), bare])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         old = [np.asarray(a, dtype=np.int64) for a in state.get] if state.exists else [np.empty(0, np.int64)] * 3
         room = cap - len(old[0])
         fresh = pd.DataFrame({"micros": [], "id": [], "template_id": []}, dtype="int64")
@@ -63,23 +66,27 @@ def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
         order = np.lexsort((merged[1], merged[0]))
         lists = tuple(a[order].tolist() for a in merged)
         state.update(lists)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({
             "first_block": [key[0]], "micros": [lists[0]], "ids": [lists[1]], "templates": [lists[2]],
         })
 
     return seen.mapInPandas(reduce, SEEN).groupBy("block_id").applyInPandasWithState(
-        update, FIRSTS, STATE, "append", GroupStateTimeout.NoTimeout
+        update, FIRSTS, STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
 
 
 def history_batches(logs: DataFrame, on_history: Callable[[DataFrame, int], None], state: str,
-                    checkpoint: str, cap: int = HISTORY_CAP, split_rows: int = SPLIT_ROWS) -> StreamingQuery:
+                    checkpoint: str, cap: int = HISTORY_CAP, split_rows: int = SPLIT_ROWS,
+                    idle_ms: int | None = None) -> StreamingQuery:
     """Give every log its block's earlier templates and hand each batch to ``on_history``.
 
     The logs themselves do not pass through the keyed state; they travel beside
     it and meet the touched blocks in the batch, where hot blocks are split.
     """
-    both = logs.unionByName(block_firsts(logs, cap), allowMissingColumns=True)
+    both = logs.unionByName(block_firsts(logs, cap, idle_ms), allowMissingColumns=True)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, state, batch_id)

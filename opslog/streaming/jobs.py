@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from opslog.functions import report, rules
 from opslog.operators import incidents as inc
 from opslog.operators.scoring import incident_gate, score_histories
-from opslog.operators.templates import CATALOG, assign_templates, masked_counts
+from opslog.operators.templates import CATALOG, enrich_logs, masked_counts
 from opslog.operators.ranking import ranked
 from opslog.operators.validate import validate_logs
 from opslog.schema import STATUS_UPDATES
@@ -87,15 +87,15 @@ def stream_templates(logs: DataFrame, catalog_path: str, enriched_path: str, che
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         known = read_catalog(batch.sparkSession, catalog_path, batch_id)
         unseen = masked_counts(batch).join(known.select("masked"), "masked", "left_anti").select(
-            "masked", F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id")
+            "masked", F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id"), "n"
         )
         top = known.agg(F.coalesce(F.max("template_id"), F.lit(0))).first()[0]
         fresh = ranked(unseen, [], ["first_ts", "first_id"], "_new").select(
-            "masked", (F.col("_new") + top).alias("template_id"), F.col("masked").alias("template")
+            "masked", (F.col("_new") + top).alias("template_id"), F.col("masked").alias("template"), "n"
         )
         write_batch(fresh, catalog_path, batch_id)
         catalog = read_catalog(batch.sparkSession, catalog_path, batch_id + 1)
-        write_batch(assign_templates(batch, catalog), enriched_path, batch_id)
+        write_batch(enrich_logs(batch, catalog), enriched_path, batch_id)
 
     return _start(logs, on_batch, checkpoint)
 
