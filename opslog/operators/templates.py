@@ -126,8 +126,10 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
     )
     columns, level, leaves = pending.columns, max(depth - 2, 1), None
     while True:
-        keyed = pending.withColumn("leaf", _leaf_key(F.col("tokens"), level))
-        sizes = keyed.groupBy("leaf").agg(F.count("*").alias("n"))
+        keyed = stage(pending.withColumn("leaf", _leaf_key(F.col("tokens"), level)), "keyed")
+        sizes = keyed.groupBy("leaf").agg(
+            F.count("*").alias("n"), F.min(F.struct("first_ts", "first_id")).alias("head")
+        )
         joined = skew_join(keyed, sizes, "leaf", "masked", "inner", hot=hot_of(sizes, "leaf", "n"))
         sized = stage(joined.withColumn("covered", F.size("tokens") <= level), "leaves")
         large = (F.col("n") > max_leaf) & ~F.col("covered")
@@ -138,16 +140,15 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
         pending, level = sized.where(large).select(*columns), level + max(1, level // 4)
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_ts", "first_id"])
-        member, templates = merge_leaf([list(t) for t in pdf["tokens"]], sim_threshold)
-        firsts = pdf.groupby(member)[["first_ts", "first_id"]].transform("first")
-        return pd.DataFrame({
-            "masked": pdf["masked"].to_numpy(),
-            "logs": pdf["logs"].to_numpy(),
-            "template": [templates[m] for m in member],
-            "first_ts": firsts["first_ts"].to_numpy(),
-            "first_id": firsts["first_id"].to_numpy(),
-        })
+        order = np.lexsort((pdf["first_id"].to_numpy(), pdf["first_ts"].to_numpy()))
+        tokens = pdf["tokens"].to_numpy()[order]
+        member, templates = merge_leaf([list(t) for t in tokens], sim_threshold)
+        head = order[np.unique(member, return_index=True)[1]][member]  # first message of each template
+        out = pdf.take(order)[["masked", "logs"]]
+        out["template"] = np.array(templates, dtype=object)[member]
+        out["first_ts"] = pdf["first_ts"].to_numpy()[head]
+        out["first_id"] = pdf["first_id"].to_numpy()[head]
+        return out
 
     shape = "masked string, logs long, template string, first_ts timestamp, first_id long"
     several = (F.col("n") > 1) & ~F.col("covered")
@@ -155,9 +156,7 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
     alone = leaves.where((F.col("n") == 1) & ~F.col("covered")).select(
         "masked", "logs", F.array_join("tokens", " ").alias("template"), "first_ts", "first_id"
     )
-    covered = leaves.where("covered").select("masked", "logs", "leaf", "first_ts", "first_id")
-    heads = covered.groupBy("leaf").agg(F.min(F.struct("first_ts", "first_id")).alias("head"))
-    whole = skew_join(covered.select("masked", "logs", "leaf"), heads, "leaf", "masked", "inner").select(
+    whole = leaves.where("covered").select(
         "masked", "logs", F.regexp_replace("leaf", "^[0-9]+ ", "").alias("template"), "head.*"
     )
     catalog = stage(
