@@ -85,13 +85,18 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("token").isNotNull()).groupBy("block_id", "token").agg(F.count("*").alias("tf"))
 
 
-def block_stats(tokens: DataFrame) -> DataFrame:
-    """Length and number of different templates of each block's sequence."""
-    return token_counts(tokens).groupBy("block_id").agg(
+def stats_of(terms: DataFrame) -> DataFrame:
+    """Length and number of different templates of each block, from its term counts."""
+    return terms.where(~F.col("term").contains(" ")).groupBy("block_id").agg(
         F.sum("tf").alias("seq_len"), F.count("*").alias("unique_templates")
     )
 
 
+def block_stats(tokens: DataFrame) -> DataFrame:
+    """Length and number of different templates of each block's sequence."""
+    return stats_of(block_terms(tokens))
+
+
 def _parts(tokens: DataFrame, length: int, overlap: int) -> DataFrame:
     """Consecutive parts of each block's sequence, as sorted arrays of tokens.
 

@@ -29,19 +29,13 @@ class Fitted:
     n_features: int
 
 
-def fit_features(tokens: DataFrame, ngram_max: int = 1, terms: DataFrame | None = None,
-                 stats: DataFrame | None = None) -> Fitted:
-    """Vocabulary, scaler and feature vectors of the blocks in ``tokens``.
+def fit_features(terms: DataFrame, stats: DataFrame, ngram_max: int = 1) -> Fitted:
+    """Vocabulary, scaler and feature vectors of the blocks that ``terms`` counts.
 
-    ``terms`` may hold longer n-grams than wanted, and ``stats`` be at hand, so
-    that several vectorizers share one pass over the tokens.
+    ``terms`` may hold longer n-grams than wanted, so that several vectorizers
+    share one pass over the logs.
     """
-    if stats is None:
-        stats = stage(sq.block_stats(tokens), "stats")
-    if terms is None:
-        terms = stage(sq.block_terms(tokens, ngram_max), "terms")
-    else:
-        terms = terms.where(F.size(F.split("term", " ")) <= ngram_max)
+    terms = terms.where(F.size(F.split("term", " ")) <= ngram_max)
     vocabulary = stage(feat.tfidf_fit(terms, stats), "vocabulary")
     scaler = stage(feat.scaler_fit(stats), "scaler")
     n_terms = vocabulary.count()
@@ -51,6 +45,12 @@ def fit_features(tokens: DataFrame, ngram_max: int = 1, terms: DataFrame | None
     return Fitted(vocabulary, scaler, stage(vectors, "features"), n_terms + len(feat.META))
 
 
+def count_terms(tokens: DataFrame, ngram_max: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Terms per block, stored, and the block statistics that follow from them."""
+    terms = stage(sq.block_terms(tokens, ngram_max), "terms")
+    return terms, stage(sq.stats_of(terms), "stats")
+
+
 def fit_forest(fitted: Fitted, seed: int = iforest.SEED) -> tuple[DataFrame, DataFrame]:
     """Forest nodes and the scores of the training rows."""
     nodes = stage(iforest.iforest_fit(fitted.features, fitted.n_features, seed=seed), "forest")
@@ -61,8 +61,8 @@ def train_model(logs: DataFrame, contamination: float = iforest.CONTAMINATION, n
                 catalog: DataFrame | None = None, seed: int = iforest.SEED) -> Model:
     """Mine templates, build block features and fit the forest. No labels are used."""
     catalog = stage(mine_templates(logs), "catalog") if catalog is None else catalog
-    tokens = stage(sq.block_tokens(enrich_logs(logs, catalog)), "tokens")
-    fitted = fit_features(tokens, ngram_max)
+    tokens = sq.block_tokens(enrich_logs(logs, catalog))
+    fitted = fit_features(*count_terms(tokens, ngram_max), ngram_max)
     nodes, scores = fit_forest(fitted, seed)
     offset = iforest.iforest_offsets(scores, [contamination])[0]
     return Model(catalog, fitted.vocabulary, fitted.scaler, nodes.withColumn("offset", F.lit(offset)))
@@ -96,15 +96,14 @@ def grid_search(tokens: DataFrame, labels: DataFrame, catalog: DataFrame | None
     one aggregation.
     """
     spark = tokens.sparkSession
-    population = stage(tokens.join(labels.select("block_id").distinct(), "block_id", "left_semi"), "population")
-    stats = stage(sq.block_stats(population), "stats")
-    terms = stage(sq.block_terms(population, max(n for _, n in vectorizers)), "terms")
+    population = tokens.join(labels.select("block_id").distinct(), "block_id", "left_semi")
+    terms, stats = count_terms(population, max(n for _, n in vectorizers))
     per_vectorizer = len(contaminations) + len(nus) * len(kernels)
 
     def fit(place: int):
         vectorizer, ngram_max = vectorizers[place]
         config = place * per_vectorizer
-        fitted = fit_features(population, ngram_max, terms, stats)
+        fitted = fit_features(terms, stats, ngram_max)
         nodes, scores = fit_forest(fitted)
         names, fits, thresholds, machines = [], {}, [], []
         for contamination, offset in zip(contaminations, iforest.iforest_offsets(scores, list(contaminations))):

@@ -757,7 +757,7 @@ f AS (SELECT block_id, idx, value FROM w
   UNION ALL SELECT block_id, (SELECT count(*) FROM v) + 1, (unique_templates - um) / CASE WHEN us > 0 THEN us ELSE 1 END FROM stats, s)
 SELECT block_id, cast(idx AS bigint) AS idx, round(value, 6) + 0.0 AS value FROM f""")
 def assemble_features(spark, d):
-    fitted = training.fit_features(tokens_of(spark, d))
+    fitted = training.fit_features(*training.count_terms(tokens_of(spark, d)))
     return fitted.features.select("block_id", F.explode(F.arrays_zip("indices", "values")).alias("e")).select(
         "block_id", big("e.indices", "idx"), (F.round("e.values", 6) + 0.0).alias("value")
     )
@@ -765,7 +765,7 @@ def assemble_features(spark, d):
 
 @query()
 def isolation_forest(spark, d):
-    fitted = training.fit_features(tokens_of(spark, d))
+    fitted = training.fit_features(*training.count_terms(tokens_of(spark, d)))
     _, scores = training.fit_forest(fitted)
     offset = iforest.iforest_offsets(scores, [iforest.CONTAMINATION])[0]
     return iforest.predict(scores, offset)
@@ -773,7 +773,7 @@ def isolation_forest(spark, d):
 
 @query()
 def one_class_svm(spark, d):
-    fitted = training.fit_features(tokens_of(spark, d))
+    fitted = training.fit_features(*training.count_terms(tokens_of(spark, d)))
     model = ocsvm.ocsvm_fit(fitted.features, fitted.n_features)
     return ocsvm.ocsvm_predict(fitted.features, model)
 
@@ -971,7 +971,7 @@ def replay(spark, d):
 def stream_block_state(spark, d):
     source, out, state, checkpoint = _paths(spark, "history", "in", "out", "state", "checkpoint")
     logs = fx.enriched(spark, d)
-    feed(logs, source, 3, lambda stream: history.stream_block_state(stream, out, state, checkpoint))
+    feed(logs, source, 2, lambda stream: history.stream_block_state(stream, out, state, checkpoint))
     return spark.read.parquet(out).select(
         "id", "block_id", F.array_join("tokens", " ").alias("sequence"), big(F.size("tokens"), "seq_len")
     )

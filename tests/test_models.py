@@ -200,7 +200,7 @@ def test_both_scoring_paths_agree(spark, corpus, ngram_max):
 def test_training_finds_odd_blocks(spark, corpus):
     catalog = tpl.template_catalog(corpus)
     tokens = sq.block_tokens(tpl.assign_templates(corpus, catalog))
-    fitted = training.fit_features(tokens)
+    fitted = training.fit_features(*training.count_terms(tokens))
     _, scores = training.fit_forest(fitted)
     lowest = {r["block_id"] for r in scores.orderBy("score_sample").limit(3).collect()}
     assert lowest == {"blk_0", "blk_40", "blk_80"}
