@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,8 @@ from opslog.session import by_key
 
 BLOCK_VECTORS = 4096
 QUERY_BATCH = 512
+BATCHES_PER_TASK = 64
+SHARED_BYTES = 256 * 1024 * 1024
 DIGITS = 6
 
 
@@ -54,10 +57,10 @@ def index_runbooks(runbooks: DataFrame, encoder: Callable[[Column], Column] = ha
     return embed_texts(texts, "_text", encoder=encoder).drop("_text")
 
 
-def _packed(df: DataFrame, key: str, groups: Column, group: str, prefix: str) -> DataFrame:
+def _packed(df: DataFrame, key: str, groups: int, group: str, prefix: str) -> DataFrame:
     """Bundle vectors into rows of a bounded number: ids and one flat array of values."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("embedding").alias("v"))))
-    keyed = df.select(key, "embedding").withColumn(group, F.pmod(F.xxhash64(key), groups))
+    keyed = df.select(key, "embedding").withColumn(group, F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
     bundle = by_key(keyed, group).groupBy(group).agg(
         rows.alias("_rows"),
         F.min(F.size("embedding")).alias("_low"), F.max(F.size("embedding")).alias(f"{prefix}_dim"),
@@ -83,25 +86,33 @@ def nearest_columns(distances: np.ndarray, k: int) -> np.ndarray:
 
 
 def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id",
-           vector: str = "runbook_id", block_vectors: int = BLOCK_VECTORS,
-           query_batch: int = QUERY_BATCH) -> DataFrame:
+           vector: str = "runbook_id", block_vectors: int = BLOCK_VECTORS, query_batch: int = QUERY_BATCH,
+           shared_bytes: int = SHARED_BYTES, batches_per_task: int = BATCHES_PER_TASK) -> DataFrame:
     """The ``k`` nearest vectors of each query by squared L2 distance, exactly.
 
     Vectors are bundled into blocks and queries into batches, by a hash of
     their unique ids. Each batch meets each block once through an equi-join on
     the block number and keeps only its ``k`` best per query, so pairs are never
-    written out and no side has to fit one machine. With a small index there is
-    one block, which Spark broadcasts by its own size check. Distances are
-    rounded before ranking; equal ones go by id.
+    written out and no side has to fit one machine. The size of the index is
+    checked: up to ``shared_bytes`` its blocks are broadcast and the queries
+    stay where they are; beyond, blocks are repeated per group of batches, so
+    that the number of tasks grows with the queries. Distances are rounded
+    before ranking; equal ones go by id.
     """
-    def bundles(df, size):
-        return F.greatest(df.agg(F.ceil(F.count("*") / size)).scalar(), F.lit(1)).cast("int")
-
-    n_blocks, n_batches = bundles(vectors, block_vectors), bundles(queries, query_batch)
-    blocks = _packed(vectors, vector, n_blocks, "_block", "v").withColumn("_block", F.col("_block").cast("int"))
+    size = vectors.agg(F.count("*"), F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()
+    n_blocks = max(1, math.ceil(size[0] / block_vectors))
+    n_batches = max(1, math.ceil(queries.count() / query_batch))
+    blocks = _packed(vectors, vector, n_blocks, "_block", "v")
     batches = _packed(queries, query, n_batches, "_batch", "q").withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), n_blocks - 1))
+        "_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     )
+    if size[1] * 4 <= shared_bytes:
+        pairs = batches.join(F.broadcast(blocks), "_block")
+    else:
+        groups = math.ceil(n_batches / batches_per_task)
+        blocks = blocks.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        batches = batches.withColumn("_group", F.pmod("_batch", F.lit(groups)))
+        pairs = batches.join(blocks, ["_block", "_group"])
 
     def nearest(parts):
         for pdf in parts:
@@ -123,7 +134,5 @@ def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_i
 
     types = {f.name: f.dataType.simpleString() for f in [queries.schema[query], vectors.schema[vector]]}
     shape = f"{query} {types[query]}, {vector} {types[vector]}, distance double"
-    near = batches.join(blocks, "_block").select(
-        "q_ids", "q_values", "q_dim", "v_ids", "v_values", "v_dim"
-    ).mapInPandas(nearest, shape)
+    near = pairs.select("q_ids", "q_values", "q_dim", "v_ids", "v_values", "v_dim").mapInPandas(nearest, shape)
     return top_k_per_query(near, query, [F.col("distance"), F.col(vector)], k)

@@ -19,10 +19,13 @@ def points(spark):
     return data, spark.createDataFrame(rows, "runbook_id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("block,batch,k", [(4096, 512, 5), (7, 9, 5), (7, 9, 200)])
-def test_knn_against_brute_force(spark, points, block, batch, k):
+@pytest.mark.parametrize("block,batch,k,shared", [(4096, 512, 5, 10 ** 6), (7, 9, 5, 10 ** 6), (7, 9, 200, 0), (7, 9, 5, 0)])
+def test_knn_against_brute_force(spark, points, block, batch, k, shared):
     data, df = points
-    got = vec.knn_l2(df.withColumnRenamed("runbook_id", "query_id"), df, k, block_vectors=block, query_batch=batch)
+    got = vec.knn_l2(
+        df.withColumnRenamed("runbook_id", "query_id"), df, k, block_vectors=block, query_batch=batch,
+        shared_bytes=shared, batches_per_task=3,
+    )
     rows = sorted((r["query_id"], r["rank"], r["runbook_id"]) for r in got.collect())
     small = data.astype(np.float32).astype(float)
     d = np.round(((small[:, None] - small[None]) ** 2).sum(axis=2), 6)
