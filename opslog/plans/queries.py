@@ -705,6 +705,15 @@ def assign_templates(spark, d):
     return made.select("id", "template_id", "parsed_template")
 
 
+@query(f"""WITH {CATALOG_SQL} SELECT id, template_id, parsed_template, {BLOCK_SQL} AS block_id,
+  array_to_string(list_sort(list_distinct(regexp_extract_all(raw_message, '(blk_-?[0-9]+)', 1))), ' ') AS blocks FROM tlogs""")
+def enrich_logs(spark, d):
+    made = tpl.enrich_logs(fx.logs(spark, d), fx.catalog(spark, d))
+    return made.select(
+        "id", "template_id", "parsed_template", "block_id", F.array_join(F.array_sort("blocks"), " ").alias("blocks")
+    )
+
+
 @query()
 def mine_templates(spark, d):
     return tpl.mine_templates(fx.logs(spark, d))
@@ -805,12 +814,12 @@ def grid_search(spark, d):
     return training.grid_search(tokens, labels_for(tokens, spark, d)).leaderboard()
 
 
-def embed_sql(source: str, key: str, col: str) -> str:
+def embed_sql(source: str, key: str, col: str, out: str = "unit") -> str:
     """Unit vectors of the default encoder in long form: key, place, value."""
-    return f"""h AS (SELECT {key}, cast('0x' || substr(md5(w), 1, 15) AS bigint) AS h FROM
+    return f"""{out}_h AS (SELECT {key}, cast('0x' || substr(md5(w), 1, 15) AS bigint) AS h FROM
   (SELECT {key}, unnest({TOKENS_SQL.format(col)}) AS w FROM {source})),
-bag AS (SELECT {key}, (h >> 1) % 384 AS place, sum(CASE WHEN h & 1 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM h GROUP BY ALL),
-unit AS (SELECT {key}, place, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS value FROM bag QUALIFY v <> 0)"""
+{out}_bag AS (SELECT {key}, (h >> 1) % 384 AS place, sum(CASE WHEN h & 1 = 1 THEN 1.0 ELSE -1.0 END) AS v FROM {out}_h GROUP BY ALL),
+{out} AS (SELECT {key}, place, cast(cast(v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS float) AS double) AS value FROM {out}_bag QUALIFY v <> 0)"""
 
 
 def long_vectors(df, key):
@@ -819,7 +828,7 @@ def long_vectors(df, key):
     )
 
 
-@query(f"WITH {embed_sql('documents', 'doc_id', 'text')} SELECT doc_id, place, round(cast(cast(value AS float) AS double), 4) AS value FROM unit")
+@query(f"WITH {embed_sql('documents', 'doc_id', 'text')} SELECT doc_id, place, round(value, 4) AS value FROM unit")
 def embed_texts(spark, d):
     books = fx.runbooks(spark, d).select(F.col("id").alias("doc_id"), "content")
     return long_vectors(vec.embed_texts(books, "content"), "doc_id")
@@ -829,19 +838,11 @@ BOOK_TEXT_SQL = "concat('Title: ', title, chr(10), 'Category: ', category, chr(1
 
 
 @query(f"""WITH {fx.RUNBOOKS_SQL}, {embed_sql('runbooks', 'id', BOOK_TEXT_SQL)}
-  SELECT id AS runbook_id, place, round(cast(cast(value AS float) AS double), 4) AS value FROM unit""")
+  SELECT id AS runbook_id, place, round(value, 4) AS value FROM unit""")
 def index_runbooks(spark, d):
     return long_vectors(vec.index_runbooks(fx.runbooks(spark, d)), "runbook_id")
 
 
-@query()
-def search_runbooks_encoded(spark, d):
-    """Search with the default encoder on both sides."""
-    books = fx.runbooks(spark, d)
-    queries = rca.incident_queries(fx.incidents(spark, d), fx.enriched(spark, d))
-    return retrieve.search_runbooks(queries, books, stage(vec.index_runbooks(books), "vectors"))
-
-
 def given_queries(spark, d, needed=False):
     """Incidents as queries, incident number i with the given vector i modulo their number."""
     found = fx.incidents(spark, d)
@@ -874,6 +875,36 @@ def search_runbooks(spark, d):
     )
 
 
+ENCODED_SQL = CATALOG_SQL + fx.INCIDENTS_SQL[len(fx.LOGS_SQL):] + "," + fx.RUNBOOKS_SQL + f""",
+queries AS (SELECT i.id AS incident_id, 'Template sequence: ' || coalesce(cast(t.template_id AS varchar), '') || chr(10)
+  || 'Problem message: ' || coalesce(t.raw_message, '') AS query FROM incidents i LEFT JOIN tlogs t ON t.id = i.trigger_log_id),
+{embed_sql('queries', 'incident_id', 'query', 'qv')}, {embed_sql('runbooks', 'id', BOOK_TEXT_SQL, 'bv')},
+qn AS (SELECT incident_id, sum(value * value) AS norm FROM qv GROUP BY 1), bn AS (SELECT id, sum(value * value) AS norm FROM bv GROUP BY 1),
+dots AS (SELECT incident_id, id, sum(qv.value * bv.value) AS dot FROM qv JOIN bv USING (place) GROUP BY 1, 2),
+far AS (SELECT a.incident_id, r.id, round(greatest(coalesce(qn.norm, 0) + coalesce(bn.norm, 0) - 2 * coalesce(dot, 0), 0), 6) AS distance
+  FROM queries a CROSS JOIN runbooks r LEFT JOIN dots ON dots.incident_id = a.incident_id AND dots.id = r.id
+  LEFT JOIN qn ON qn.incident_id = a.incident_id LEFT JOIN bn ON bn.id = r.id),
+near AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY distance, id) <= 15),
+asked AS (SELECT incident_id, {TOKENS_SQL.format('query')} AS w FROM queries),
+books AS (SELECT id, {TOKENS_SQL.format("concat_ws(' ', nullif(title, ''), nullif(category, ''), nullif(content, ''))")} AS w FROM runbooks),
+scored AS (SELECT n.incident_id, n.id AS runbook_id, n.distance,
+  round(5.0 * (cast(len(list_intersect(a.w, k.w)) AS double) / len(a.w)) + 1.0 / (1.0 + n.distance), 6) AS score
+  FROM near n JOIN asked a USING (incident_id) JOIN books k USING (id))
+SELECT incident_id, runbook_id, distance, score, row_number() OVER (PARTITION BY incident_id ORDER BY score DESC, distance, runbook_id) AS rank
+FROM scored QUALIFY rank <= 3"""
+
+
+@query(f"WITH {ENCODED_SQL}")
+def search_runbooks_encoded(spark, d):
+    """Search with the default encoder on both sides."""
+    books = fx.runbooks(spark, d)
+    queries = rca.incident_queries(fx.incidents(spark, d), fx.enriched(spark, d))
+    found = retrieve.search_runbooks(queries, books, stage(vec.index_runbooks(books), "vectors"))
+    return found.select(
+        F.col("query_id").alias("incident_id"), "runbook_id", "distance", "score", big("rank", "rank")
+    )
+
+
 REPORT_SQL = SEARCH_SQL + f""",
 shown AS (SELECT f.incident_id, f.rank, r.title, r.category, r.content, {flat_sql('r.content')} AS flat
   FROM found f JOIN runbooks r ON r.id = f.runbook_id),
