@@ -163,10 +163,25 @@ def score_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS,
     return score_histories(block_history(enriched, split_rows=split_rows), model, max_shared_terms)
 
 
+def flag_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The anomalous logs with their scores.
+
+    Few logs are flagged, so only what scoring needs is shuffled by block; the
+    messages are attached to the flagged logs afterwards.
+    """
+    enriched = stage(enrich_logs(logs, model.templates, split_rows), "enriched")
+    narrow = enriched.select("id", "timestamp", "template_id", "block_id", "blocks")
+    scored = score_histories(block_history(narrow, split_rows=split_rows), model)
+    flagged = scored.where("is_anomaly").select(
+        "id", "sequence", "seq_len", "unique_templates", "score", "is_anomaly"
+    )
+    return enriched.join(flagged, "id")
+
+
 def incident_gate(scored: DataFrame, model: Model | None = None) -> DataFrame:
     """Logs that open an incident; logs without a score are scored first."""
-    if "is_anomaly" not in scored.columns:
-        if model is None:
-            raise ValueError("logs without a score need a model")
-        scored = score_logs(scored, model)
-    return scored.where("is_anomaly")
+    if "is_anomaly" in scored.columns:
+        return scored.where("is_anomaly")
+    if model is None:
+        raise ValueError("logs without a score need a model")
+    return flag_logs(scored, model)

@@ -74,6 +74,14 @@ def head_lines(spark, d):
     return ln.head_lines(lines, 5000).select("file", "block_start", big("line_no", "line_no"), "value", "pos")
 
 
+@query(f"""WITH {CLEAN_SQL} SELECT row_number() OVER (ORDER BY file, block_start, line_no) AS id, 'hdfs-datanode-01' AS source_host,
+  CASE WHEN upper(value) LIKE '%ERROR%' OR upper(value) LIKE '%FATAL%' THEN 'ERROR'
+    WHEN upper(value) LIKE '%WARN%' THEN 'WARN' ELSE 'INFO' END AS log_level, value AS raw_message FROM clean""")
+def lines_as_logs(spark, d):
+    lines = ln.clean_lines(fx.log_lines(spark, d), keep_blank=True)
+    return ln.lines_as_logs(lines, fx.NOW).select("id", "source_host", "log_level", "raw_message")
+
+
 @query(f"""WITH {CLEAN_SQL} SELECT 'app-server-01' AS source_host, 'app' AS service,
   CASE WHEN upper(value) LIKE '%ERROR%' OR upper(value) LIKE '%FAIL%' OR upper(value) LIKE '%EXCEPTION%' THEN 'ERROR'
     WHEN upper(value) LIKE '%WARN%' OR upper(value) LIKE '%SLOW%' THEN 'WARN' ELSE 'INFO' END AS log_level,

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opslog.functions import rules, text
 from opslog.operators.ranking import ranked
 from opslog.schema import LABELS
 
-# What a tailed line is tagged with.
+# What tailed and replayed lines are tagged with.
 SOURCE_HOST = "app-server-01"
 SERVICE = "app"
+REPLAY_HOST = "hdfs-datanode-01"
 
 
 def clean_line(value: Column) -> Column:
@@ -44,6 +47,20 @@ def head_lines(lines: DataFrame, n: int, order: tuple[str, ...] = ("file", "bloc
     return ranked(lines, [], list(order), "pos").where(F.col("pos") <= n)
 
 
+def lines_as_logs(lines: DataFrame, at: datetime, source_host: str = REPLAY_HOST,
+                  order: tuple[str, ...] = ("file", "block_start", "line_no")) -> DataFrame:
+    """Stored lines as logs for training: the id is the place in file order.
+
+    All share the time ``at``, so ordering by time and id is file order.
+    """
+    message = F.col("value")
+    return ranked(lines, [], list(order), "id").select(
+        "id", F.lit(at).cast("timestamp").alias("timestamp"), F.lit(source_host).alias("source_host"),
+        rules.level_strict(message).alias("log_level"), message.alias("raw_message"),
+        F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("parsed_template"),
+    )
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Label file with header ``BlockId,Label`` as block_id, label, true_label."""
     raw = spark.read.csv(path, header=True, schema=LABELS)
@@ -67,7 +84,7 @@ def tail_logs(spark: SparkSession, directory: str, source_host: str = SOURCE_HOS
     return tag_lines(clean_lines(spark.readStream.text(directory)), source_host, service)
 
 
-def replay(spark: SparkSession, directory: str, source_host: str = "hdfs-datanode-01",
+def replay(spark: SparkSession, directory: str, source_host: str = REPLAY_HOST,
            files_per_trigger: int = 1) -> DataFrame:
     """Stream stored lines in small batches as ingest requests."""
     lines = clean_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(directory))

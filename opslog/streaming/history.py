@@ -78,19 +78,21 @@ def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP, idle_ms: int | None =
     )
 
 
-def history_batches(logs: DataFrame, on_history: Callable[[DataFrame, int], None], state: str,
+def history_batches(logs: DataFrame, on_history: Callable[[DataFrame, int], None], scratch: str,
                     checkpoint: str, cap: int = HISTORY_CAP, split_rows: int = SPLIT_ROWS,
                     idle_ms: int | None = None) -> StreamingQuery:
     """Give every log its block's earlier templates and hand each batch to ``on_history``.
 
     The logs themselves do not pass through the keyed state; they travel beside
     it and meet the touched blocks in the batch, where hot blocks are split.
+    ``scratch`` holds each batch while it is worked on; old batches there may be
+    deleted.
     """
     both = logs.unionByName(block_firsts(logs, cap, idle_ms), allowMissingColumns=True)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, state, batch_id)
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{state}/batch_id={batch_id}")
+        write_batch(batch, scratch, batch_id)
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{scratch}/batch_id={batch_id}")
         entries = F.transform(
             F.arrays_zip("micros", "ids", "templates"),
             lambda e: F.struct(
@@ -110,7 +112,7 @@ def history_batches(logs: DataFrame, on_history: Callable[[DataFrame, int], None
     )
 
 
-def stream_block_state(logs: DataFrame, path: str, state: str, checkpoint: str,
+def stream_block_state(logs: DataFrame, path: str, scratch: str, checkpoint: str,
                        cap: int = HISTORY_CAP) -> StreamingQuery:
     """Store each log with the tokens of its history."""
-    return history_batches(logs, lambda rows, batch_id: write_batch(rows, path, batch_id), state, checkpoint, cap)
+    return history_batches(logs, lambda rows, batch_id: write_batch(rows, path, batch_id), scratch, checkpoint, cap)

@@ -55,12 +55,12 @@ def incident_rows(scored: DataFrame, created_at) -> DataFrame:
     )
 
 
-def stream_incidents(logs: DataFrame, model: Model, path: str, state: str, checkpoint: str) -> StreamingQuery:
+def stream_incidents(logs: DataFrame, model: Model, path: str, scratch: str, checkpoint: str) -> StreamingQuery:
     """Score enriched logs against their block's history and open incidents."""
     def on_history(rows: DataFrame, batch_id: int) -> None:
         write_batch(incident_rows(score_histories(rows, model), F.col("timestamp")), path, batch_id)
 
-    return history_batches(logs, on_history, state, checkpoint)
+    return history_batches(logs, on_history, scratch, checkpoint)
 
 
 def stream_volume(logs: DataFrame, grain: str, delay: str, path: str, checkpoint: str) -> StreamingQuery:

@@ -193,8 +193,12 @@ def test_both_scoring_paths_agree(spark, corpus, ngram_max):
         assert abs(row["score"] - joined[i]["score"]) < 1e-9
         assert row["seq_len"] == len(row["sequence"].split(" "))
         assert row["unique_templates"] == len(set(row["sequence"].split(" ")))
-    gated = scoring.incident_gate(scoring.score_logs(corpus, model))
-    assert {r["id"] for r in gated.collect()} == {i for i, r in shared.items() if r["is_anomaly"]}
+    flagged = {i for i, r in shared.items() if r["is_anomaly"]}
+    for gated in (scoring.incident_gate(scoring.score_logs(corpus, model)), scoring.incident_gate(corpus, model)):
+        rows = gated.select("id", "raw_message", "sequence").collect()
+        assert {r["id"] for r in rows} == flagged and len(rows) == len(flagged)
+    with pytest.raises(ValueError):
+        scoring.incident_gate(corpus)
 
 
 def test_training_finds_odd_blocks(spark, corpus):

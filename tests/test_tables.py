@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from opslog.operators import analytics, explore, incidents as inc, validate
+from opslog.operators import analytics, explore, incidents as inc, sequences, templates, training, validate
 from opslog.schema import INCIDENTS, LOGS, RUNBOOKS, STATUS_UPDATES
 from opslog.sources import lines, models, tables
 
@@ -121,6 +121,28 @@ def test_log_lines(spark, tmp_path):
     assert len(everything) == 54 and everything[-1]["value"] == "small"
 
 
+def test_training_from_stored_lines(spark, tmp_path):
+    """File to model: lines, blocks, labels and the best of a small grid."""
+    rows = [f"{verb} blk_{b}" for b in range(30) for verb in (["panic", "drop"] if b % 10 == 0 else ["open", "close"])]
+    (tmp_path / "node.log").write_text("\n".join(rows) + "\n")
+    (tmp_path / "labels.csv").write_text(
+        "BlockId,Label\n" + "".join(f"blk_{b},{'Anomaly' if b % 10 == 0 else 'Normal'}\n" for b in range(30))
+    )
+    found = lines.head_lines(lines.read_log_lines(spark, str(tmp_path / "node.log")), 58).drop("pos")
+    logs = lines.lines_as_logs(found, T0)
+    assert [r["raw_message"] for r in logs.orderBy("timestamp", "id").collect()] == rows[:58]
+    catalog = templates.mine_templates(logs)
+    tokens = sequences.block_tokens(templates.enrich_logs(logs, catalog))
+    result = training.grid_search(
+        tokens, lines.read_labels(spark, str(tmp_path / "labels.csv")), catalog,
+        vectorizers=training.VECTORIZERS[:1], contaminations=(0.1, 0.2), nus=(), kernels=(),
+    )
+    best, model = result.best()
+    assert best["model"] == "IsolationForest"
+    models.save_model(model, str(tmp_path / "model"))
+    assert models.load_model(spark, str(tmp_path / "model")).forest.count() > 0
+
+
 def test_labels(spark, tmp_path):
     (tmp_path / "labels.csv").write_text("BlockId,Label\nblk_1,Anomaly\nblk_2,Normal\n")
     got = lines.read_labels(spark, str(tmp_path / "labels.csv")).orderBy("block_id").collect()
