@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslog.llm import bpe
+from opslog.llm import bpe, neardup
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -27,7 +27,12 @@ def digest_tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, similar=85)
+
+
 QUERIES = {
+    "op7_minhash": op7_minhash,
     "op3_byte_bpe": op3_byte_bpe,
 }
 
