@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslog.llm import bpe, neardup
+from opslog.llm import bpe, neardup, substrings
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -27,11 +27,17 @@ def digest_tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, similar=85)
 
 
 QUERIES = {
+    "op6_recompression": op6_recompression,
     "op7_minhash": op7_minhash,
     "op3_byte_bpe": op3_byte_bpe,
 }
