@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslog.llm import bpe, neardup, substrings
+from opslog.llm import bpe, fitting, language, neardup, quality, substrings, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -27,6 +27,36 @@ def digest_tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+def held_out(parts: int, part: int):
+    return F.coalesce(fitting.fold("doc_id", parts) == part, F.lit(False))
+
+
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out(5, 0)))
+    return quality.grade(docs, model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), F.col("expected").alias("expected_grade"),
+        F.col("tail").alias("tail_probability"))
+
+
+def op2_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~held_out(5, 0)))
+    return language.identify(docs, model).select(
+        "doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+TOXIC = 0.3
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"))
+
+
 def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -37,6 +67,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ordinal_quality": op1_ordinal_quality,
+    "op2_centroid_language": op2_centroid_language,
+    "op5_toxicity": op5_toxicity,
     "op6_recompression": op6_recompression,
     "op7_minhash": op7_minhash,
     "op3_byte_bpe": op3_byte_bpe,
