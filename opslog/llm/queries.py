@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslog.llm import bpe, fitting, language, neardup, quality, substrings, toxicity
+from opslog.llm import bpe, decontaminate, fitting, language, neardup, neighbours, quality, substrings, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -66,12 +66,23 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, similar=85)
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, 10, vectors.where("vec_id % 100 = 0"))
+
+
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_centroid_language": op2_centroid_language,
     "op5_toxicity": op5_toxicity,
     "op6_recompression": op6_recompression,
     "op7_minhash": op7_minhash,
+    "op9_kmeans_tree": op9_kmeans_tree,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
 }
 
