@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslog.llm import bpe, decontaminate, fitting, language, neardup, neighbours, quality, substrings, toxicity
+from opslog.llm import bpe, decontaminate, fitting, language, neardup, neighbours, pages, quality, substrings, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -66,6 +66,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=3, similar=85)
 
 
+def op8_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, 10, vectors.where("vec_id % 100 = 0"))
@@ -81,6 +85,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_recompression": op6_recompression,
     "op7_minhash": op7_minhash,
+    "op8_host_suffix_array": op8_host_suffix_array,
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_cgk_decontamination": op10_cgk_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
