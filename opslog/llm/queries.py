@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslog.llm import bpe, decontaminate, fitting, language, neardup, neighbours, pages, quality, substrings, toxicity
+from opslog.llm import bpe, decontaminate, fitting, language, lm, neardup, neighbours, pages, quality, substrings, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -46,6 +46,11 @@ def op2_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.learn(docs.select("text")))
+
+
 TOXIC = 0.3
 
 
@@ -82,6 +87,7 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_centroid_language": op2_centroid_language,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_toxicity": op5_toxicity,
     "op6_recompression": op6_recompression,
     "op7_minhash": op7_minhash,
