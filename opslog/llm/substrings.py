@@ -286,11 +286,13 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", window: i
     ).union(later.select("doc", "start", (F.col("start") + window).cast("int")))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: ``key``, ``n_words``, ``n_removed`` and ``kept``, the words that stay, one space between.
 
     Words are what spaces and the controls 9 to 13 leave, unchanged. A word goes if a window of
-    ``window`` words covers it that also starts earlier; windows are judged on the input.
+    ``window`` words covers it that also starts earlier; windows are judged on the input. Columns named
+    in ``carry`` are kept as the fields of a column ``row``, whatever their names.
 
     Edge cases: a null text, or one without words, has no words and an empty ``kept``; texts of fewer
     words than a window stay whole; rows that repeat a key are one document and get the same ranges;
@@ -300,9 +302,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     kind = docs.schema[key].dataType.simpleString()
     ranges = repeated(docs, key, text, window).groupBy(F.col(key).alias("_doc")).agg(
         F.collect_list(F.struct("start", "end")).alias("_ranges"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    extra = ["row"] if carry else []
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"),
+                       *([F.struct(*carry).alias("row")] if carry else []))
     joined = rows.join(ranges, F.col("key") == F.col("_doc"), "left").select(
-        "key", "text", F.col("_ranges.start").alias("a"), F.col("_ranges.end").alias("b"))
+        "key", "text", F.col("_ranges.start").alias("a"), F.col("_ranges.end").alias("b"), *extra)
 
     def run(batch: pa.RecordBatch):
         data, at = arrays.buffers(batch.column(1))
@@ -334,8 +338,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             offsets = np.concatenate([[0], np.cumsum(count - full)]).astype(np.int32)
             kept = pa.Array.from_buffers(pa.string(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(removed), kept],
-                names=["key", "n_words", "n_removed", "kept"])
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(removed), kept,
+                 *(c.slice(a, b - a) for c in batch.columns[4:])], names=["key", "n_words", "n_removed", "kept", *extra])
 
-    return arrays.map_batches(joined, run, f"key {kind}, n_words long, n_removed long, kept string").withColumnRenamed(
-        "key", key)
+    schema = f"key {kind}, n_words long, n_removed long, kept string"
+    if carry:
+        schema += f", row {rows.schema['row'].dataType.simpleString()}"
+    return arrays.map_batches(joined, run, schema).withColumnRenamed("key", key)

@@ -290,11 +290,13 @@ def _sequences(rows, marking, cues: int, wide: int):
     return seen, label, live
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
+          carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``score`` and ``spans``: byte offsets and chance of every token found offending.
 
     One narrow pass over whole texts; the model has a fixed size and is sent once. A null or empty
     text has no spans and the score of a text without cues; rows are independent of each other.
+    Columns named in ``carry`` are kept as the fields of a column ``row``, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(
         (model.cues, model.weights, model.bias, model.moves, model.scale))
@@ -317,14 +319,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             ], names=["start", "end", "chance"])
             spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(found, cut).astype(np.int32)), span)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(own.score(chance, cut, length)), spans],
-                names=["key", "score", "spans"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    out = arrays.map_batches(
-        docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run,
-        f"key {kind}, score double, spans array<struct<start: bigint, end: bigint, chance: double>>")
-    return out.withColumnRenamed("key", key)
+                [batch.column(0).slice(a, b - a), pa.array(own.score(chance, cut, length)), spans,
+                 *(c.slice(a, b - a) for c in batch.columns[2:])], names=["key", "score", "spans", "row"][:3 + bool(carry)])
+
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"),
+                         *([F.struct(*carry).alias("row")] if carry else []))
+    schema = f"key {docs.schema[key].dataType.simpleString()}, score double, spans array<struct<start: bigint, end: bigint, chance: double>>"
+    if carry:
+        schema += f", row {source.schema['row'].dataType.simpleString()}"
+    return arrays.map_batches(source, run, schema).withColumnRenamed("key", key)
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
