@@ -1,23 +1,24 @@
 """Near duplicates by MinHash, with odd sketches to check candidates and full sets to confirm them.
 
 A document is the set of its distinct word shingles. Equal sets are one representative. The bands
-of a MinHash signature put sets into buckets; the signature is also folded into a bitmap of parities,
-and the population count of two bitmaps' XOR estimates their Jaccard similarity closely where it is
-high. Candidates that the estimate does not rule out are confirmed on the full sets.
-
-Two rounds find the components without listing the pairs of a bucket. In the first, every member of
-a bucket is compared with the bucket's smallest member only. In the second, buckets that still hold
-more than one component compare the members of different components, in blocks; no pair that
-could join two components is left out.
+of a MinHash signature put sets into buckets. The signature's samples are folded into a bitmap of
+parities, and the population count of two bitmaps' XOR estimates their Jaccard similarity closely
+where it is high; a second, larger bitmap takes in every shingle and bounds the difference of two
+sets still more closely. Candidates that neither rules out are confirmed on the full sets.
+
+Components are found without listing the pairs of a bucket. First every member of a bucket is
+compared with the bucket's smallest member only. Then, in rounds, buckets that still hold more than
+one component compare the bitmaps of members of different components, in blocks, and every member
+proposes its best untested partner in each other component. The rounds end when no plausible pair
+across two components is left untested, so no link that could join two components is lost.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from opslog.llm import arrays
 from opslog.llm.components import components
@@ -28,14 +29,14 @@ SHINGLE = 5
 SIMILAR = 80
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
-BITS = 512
-#: A candidate may fall short of the threshold by so much in the estimate: about six deviations.
-SLACK = 0.17
-BLOCK = 512
+BITS, FINE = 512, 2048
+#: A candidate may fall short of the threshold by so much in the estimate from samples: about six
+#: deviations; and by so many deviations in the distance of the larger bitmaps.
+SLACK, DEVIATIONS = 0.17, 7.0
+BLOCK = 4096
 
 _MULTIPLY = (arrays.seeded(HASHES, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _TURN = (arrays.seeded(HASHES, 12) >> np.uint64(32)).astype(np.uint32)
-WORDS = [f"s{i}" for i in range(BITS // 64)]
 
 
 def shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,24 +70,49 @@ def signatures(prints: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low, keys
 
 
+def fold(values: np.ndarray, row: np.ndarray, rows: int, bits: int) -> np.ndarray:
+    """A bitmap for each row: a bit is the parity of the values that fall on it."""
+    spot = (arrays.mix(values) % np.uint64(bits)).astype(np.int64) + row * bits
+    return np.packbits((np.bincount(spot, minlength=rows * bits) & 1).astype(bool).reshape(rows, bits), axis=1)
+
+
 def odd_sketch(low: np.ndarray) -> np.ndarray:
-    """Fold every signature into a bitmap: a bit is the parity of the samples that fall on it."""
-    spot = (arrays.mix(low + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))) % np.uint64(BITS)).astype(np.int64)
-    flat = np.bincount((spot + np.arange(len(low))[:, None] * BITS).ravel(), minlength=len(low) * BITS)
-    return np.packbits((flat & 1).astype(bool).reshape(-1, BITS), axis=1).view(np.int64)
+    """Fold the samples of every signature."""
+    tagged = low + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32))
+    return fold(tagged.ravel(), np.repeat(np.arange(len(low)), HASHES), len(low), BITS)
 
 
-def estimate(distance):
-    """Jaccard similarity from the Hamming distance of two odd sketches (numbers or a column)."""
-    if isinstance(distance, Column):
-        rest = F.greatest(1 - 2 * distance / F.lit(BITS), F.lit(1e-9))
-        return 1 + F.log(rest) * (BITS / (4 * HASHES))
+def estimate(distance: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the Hamming distance of two odd sketches of samples."""
     rest = np.maximum(1 - 2 * np.asarray(distance) / BITS, 1e-9)
     return 1 + np.log(rest) * (BITS / (4 * HASHES))
 
 
+def farthest(sizes: np.ndarray, similar: int) -> np.ndarray:
+    """The greatest plausible distance of the larger bitmaps for two sets of ``sizes`` elements in all.
+
+    At the threshold the sets differ in a known number of elements; the distance that so many random
+    places give has this mean and variance.
+    """
+    differ = sizes * (100 - similar) / (100 + similar)
+    one = (1 - 2 / FINE) ** differ
+    two = (1 - 4 / FINE) ** differ
+    variance = FINE / 4 * (1 - one ** 2) + FINE * (FINE - 1) / 4 * (two - one ** 2)
+    return FINE / 2 * (1 - one) + DEVIATIONS * np.sqrt(np.maximum(variance, 0)) + 2
+
+
+def bits_of(column) -> np.ndarray:
+    """Bitmaps of a binary column without nulls, as rows of 64-bit values."""
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, np.uint64).reshape(len(column), -1)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
 def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Per row: the key, the size of its set, a fingerprint of the set, band keys and odd sketch."""
+    """Per row: the key, the size of its set, a fingerprint of the set, band keys and both bitmaps."""
     def run(batch: pa.RecordBatch):
         data, at = arrays.buffers(batch.column(1))
         for a, b in arrays.pieces(at):
@@ -97,45 +123,59 @@ def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             where = np.concatenate([[0], np.cumsum(sizes)])
             full = np.flatnonzero(sizes)
             keys = np.zeros((b - a, BANDS), np.uint64)
-            marks = np.zeros((b - a, BITS // 64), np.int64)
+            samples = np.zeros((b - a, BITS // 8), np.uint8)
             if len(full):
                 low, keys[full] = signatures(prints, np.append(where[full], len(prints)))
-                marks[full] = odd_sketch(low)
+                samples[full] = odd_sketch(low)
+            everything = fold(prints, np.repeat(np.arange(b - a), sizes), b - a, FINE)
             halves = [arrays.row_sums(arrays.signed(arrays.mix(prints ^ np.uint64(salt))), where) for salt in (3, 5)]
             offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
             bands = pa.ListArray.from_arrays(offsets, pa.array(arrays.signed(keys[full].ravel())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(sizes), *map(pa.array, halves), bands,
-                 *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(len(WORDS)))],
-                names=["key", "n", "lo", "hi", "bands", *WORDS],
+                 pa.array([x.tobytes() for x in samples], pa.binary()),
+                 pa.array([x.tobytes() for x in everything], pa.binary())],
+                names=["key", "n", "lo", "hi", "bands", "samples", "fine"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     return arrays.map_batches(
         docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run,
-        f"key {kind}, n long, lo long, hi long, bands array<bigint>, " + ", ".join(f"{w} long" for w in WORDS),
+        f"key {kind}, n long, lo long, hi long, bands array<bigint>, samples binary, fine binary",
     )
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Pairs ``a``, ``b`` that sizes and sketches do not rule out."""
+    """Pairs ``a``, ``b`` that sizes and bitmaps do not rule out."""
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(
-            F.col("id").alias(side), F.col("n").alias(f"n_{side}"), *(F.col(w).alias(f"{w}_{side}") for w in WORDS)
-        ), side)
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in WORDS), F.lit(0))
-    return pairs.where(
-        (100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b"))
-        & (estimate(apart) >= similar / 100 - SLACK)
-    ).select("a", "b")
+        pairs = pairs.join(sets.select(F.col("id").alias(side), *(
+            F.col(c).alias(f"{c}_{side}") for c in ("n", "samples", "fine"))), side)
+    kind = pairs.schema["a"].dataType.simpleString()
 
+    def run(batch: pa.RecordBatch):
+        n, samples, fine = ([batch.column(f"{c}_{side}") for side in ("a", "b")] for c in ("n", "samples", "fine"))
+        total = n[0].to_numpy() + n[1].to_numpy()
+        keep = estimate(apart(*map(bits_of, samples))) >= similar / 100 - SLACK
+        keep &= apart(*map(bits_of, fine)) <= farthest(total, similar)
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough; ``texts`` has ``id`` and ``text``."""
+    close = pairs.where(100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b"))
+    return arrays.map_batches(close, run, f"a {kind}, b {kind}")
+
+
+def _fetch(texts: DataFrame, pairs: DataFrame, have: DataFrame | None) -> DataFrame:
+    """Texts of all ends of ``pairs``; those already fetched are not read again."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = stage(texts.join(ids, "id"), "texts")
+    if have is None:
+        return stage(texts.join(ids, "id"), "texts")
+    lack = stage(ids.join(have.select("id").distinct(), "id", "left_anti"), "lack")
+    return have if lack.isEmpty() else have.union(stage(texts.join(lack, "id"), "texts"))
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
+    """``a``, ``b`` and whether their full shingle sets are similar enough; ``texts`` has ``id`` and ``text``."""
     for side in ("a", "b"):
-        pairs = pairs.join(needed.select(F.col("id").alias(side), F.col("text").alias(f"t_{side}")), side)
+        pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"t_{side}")), side)
 
     def run(batch: pa.RecordBatch):
         sets = []
@@ -146,16 +186,19 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> Dat
                 prints, spans = shingles(data[at[a]:at[b]], at[a:b + 1] - at[a], size)
                 own += [np.unique(prints[spans[i]:spans[i + 1]]) for i in range(b - a)]
             sets.append(own)
-        keep = []
+        good = []
         for x, y in zip(*sets):
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= similar * (len(x) + len(y) - both) and both > 0)
-        picked = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        if picked.num_rows:
-            yield picked
+            good.append(100 * both >= similar * (len(x) + len(y) - both) and both > 0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return arrays.map_batches(pairs.select("a", "b", "t_a", "t_b"), run, f"a {kind}, b {kind}")
+    return arrays.map_batches(pairs.select("a", "b", "t_a", "t_b"), run, f"a {kind}, b {kind}, good boolean")
+
+
+def _settled(tested: DataFrame) -> DataFrame:
+    """One row a pair, which was confirmed for each pair of the texts of its keys."""
+    return tested.groupBy("a", "b").agg(F.max("good").alias("good"))
 
 
 def _one_key(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,10 +209,11 @@ def _one_key(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return every.select("a", "b").where("a <> b").distinct()
 
 
-def _across(members: DataFrame, parts: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Plausible pairs of one bucket whose ends lie in different components.
+def _across(members: DataFrame, parts: DataFrame, sets: DataFrame, failed: DataFrame, similar: int) -> DataFrame:
+    """For every member of a bucket, its most plausible untested partner in each other component there.
 
-    The members of a large bucket are dealt into blocks and each pair of blocks is a task of its own.
+    The members of a large bucket are dealt into blocks and each pair of blocks is a task of its own;
+    what leaves a task is a pair per member and component, not the pairs that were compared.
     """
     placed = members.join(parts.withColumnRenamed("vertex", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
@@ -177,33 +221,46 @@ def _across(members: DataFrame, parts: DataFrame, sets: DataFrame, similar: int)
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")
     ).where("x < y").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rows = placed.join(open_, "bucket").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets.select("id", "n", *WORDS), "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = rows.select("bucket", "id", "component", "n", *WORDS, "mine", other).select(
-        "bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
-        "mine", "id", "component", "n", *WORDS)
-    kind = rows.schema["id"].dataType.simpleString()
+    not_again = failed.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("failed"))
+    known = sets.select("id", "n", "fine").join(not_again, "id", "left")
+    dealt = rows.join(known, "id").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).select("bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
+             "mine", "id", "component", "n", "fine", "failed")
+    kind = members.schema["id"].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, [("id", "ascending")])
+        group = group.take(order).combine_chunks()
         ids = group.column("id").combine_chunks()
         part = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
-        n = group.column("n").to_numpy()
-        mine = group.column("mine").to_numpy()
+        n, mine = group.column("n").to_numpy(), group.column("mine").to_numpy()
         p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-        marks = np.stack([group.column(w).to_numpy() for w in WORDS], axis=1).view(np.uint64)
-        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        found = [[], []]
-        for i in left:
+        marks = bits_of(group.column("fine"))
+        place = {x: i for i, x in enumerate(ids.to_pylist())}
+        failed = group.column("failed").to_pylist()
+        barred = [np.array([place[x] for x in own or () if x in place], np.int64) for own in failed]
+        blocked = {(i, int(j)) for i, own in enumerate(barred) for j in own}
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        right = np.flatnonzero(mine == q)
+        for i in np.flatnonzero(mine == p):
             js = right[part[right] != part[i]]
+            if p == q:
+                js = js[js > i]
             js = js[100 * np.minimum(n[js], n[i]) >= similar * np.maximum(n[js], n[i])]
-            apart = np.bitwise_count(marks[js] ^ marks[i]).sum(axis=1)
-            js = js[estimate(apart) >= similar / 100 - SLACK]
-            found[0] += [i] * len(js)
-            found[1] += js.tolist()
-        return pa.table({"a": ids.take(pa.array(found[0], pa.int64())), "b": ids.take(pa.array(found[1], pa.int64()))})
+            distance = apart(marks[js], marks[i])
+            near = distance <= farthest(n[js] + n[i], similar)
+            for j, d in zip(js[near].tolist(), (distance[near] / (n[js[near]] + n[i])).tolist()):
+                if (max(i, j), min(i, j)) in blocked:
+                    continue
+                for x, y in ((i, j), (j, i)):
+                    if best.get((x, part[y]), (np.inf, 0))[0] > d:
+                        best[x, part[y]] = (d, y)
+        pairs = sorted({(min(x, y), max(x, y)) for (x, _), (_, y) in best.items()})
+        return pa.table({"a": ids.take(pa.array([x for x, _ in pairs], pa.int64())),
+                         "b": ids.take(pa.array([y for _, y in pairs], pa.int64()))})
 
-    pairs = dealt.groupBy("bucket", "p", "q").applyInArrow(run, f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.groupBy("bucket", "p", "q").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE,
@@ -224,20 +281,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     real = rows.where("n > 0 and key is not null")
     sets = stage(real.groupBy("lo", "hi").agg(
         F.min("key").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-        *(F.first(w).alias(w) for w in WORDS),
+        F.first("samples").alias("samples"), F.first("fine").alias("fine"),
     ), "sets")
     placed = sets.select("id", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("size")).where("size > 1")
     members = stage(placed.join(shared.select("bucket", "head"), "bucket"), "members")
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     stars = members.where("head <> id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    plausible = stage(_plausible(stars, sets, similar), "stars")
-    links = _confirm(plausible, texts, size, similar).union(_one_key(real, sets))
-    links = stage(links, "links")
+    pairs = stage(_plausible(stars, sets, similar), "pairs")
+    fetched = _fetch(texts, pairs, None)
+    tested = stage(_settled(_confirm(pairs, fetched, size, similar)), "tested")
+    links = tested.where("good").select("a", "b").union(_one_key(real, sets))
+    failed = tested.where("not good").select("a", "b")
     parts = components(links)
-    rest = stage(_across(members, parts, sets, similar).join(plausible, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        parts = components(links.union(_confirm(rest, texts, size, similar)))
+    while True:
+        pairs = stage(_across(members, parts, sets, failed, similar), "pairs")
+        if pairs.isEmpty():
+            break
+        fetched = _fetch(texts, pairs, fetched)
+        tested = stage(_settled(_confirm(pairs, fetched, size, similar)), "tested")
+        links = parts.where("vertex <> component").select(F.col("component").alias("a"), F.col("vertex").alias("b")).union(
+            tested.where("good").select("a", "b"))
+        failed = failed.union(tested.where("not good").select("a", "b"))
+        parts = components(links)
     classes = sets.select("lo", "hi", "id").join(parts.withColumnRenamed("vertex", "id"), "id", "left").select(
         "lo", "hi", F.coalesce("component", "id").alias("component"))
     linked = real.join(classes, ["lo", "hi"]).select("key", "n", "component")

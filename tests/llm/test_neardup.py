@@ -46,7 +46,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("size,similar,block", [(3, 85, 512), (5, 80, 4)])
+@pytest.mark.parametrize("size,similar,block", [(3, 85, 4096), (5, 80, 4)])
 def test_components_are_those_of_all_pairs(spark, monkeypatch, size, similar, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
     rows = corpus(size)
@@ -96,5 +96,23 @@ def test_estimate_is_close_for_similar_sets():
             sets = [np.concatenate([both, rng.integers(0, 2**63, rest).astype(np.uint64)]) for _ in range(2)]
             low, _ = neardup.signatures(np.concatenate(sets), np.array([0, len(sets[0]), 2 * len(sets[0])]))
             a, b = neardup.odd_sketch(low).view(np.uint64)
-            errors.append(float(neardup.estimate(np.bitwise_count(a ^ b).sum())) - share)
+            errors.append(float(neardup.estimate(neardup.apart(a, b))) - share)
+            fine = neardup.fold(np.concatenate(sets), np.repeat([0, 1], len(sets[0])), 2, neardup.FINE).view(np.uint64)
+            assert neardup.apart(*fine) <= neardup.farthest(2 * len(sets[0]), round(100 * share))
         assert abs(np.mean(errors)) < 0.02 and max(map(abs, errors)) < neardup.SLACK
+
+
+def test_chains_inside_a_bucket(spark, monkeypatch):
+    """Documents that drift away from the first one are linked through those between."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for key in range(150):
+        rows.append((key, " ".join(words)))
+        for _ in range(rng.randint(1, 9)):
+            words[rng.randrange(300)] = f"y{rng.randrange(10**6)}"
+    rng.shuffle(rows)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    docs = spark.createDataFrame([(k, t, 1, 1) for k, t in rows], DOCS)
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, size=3, similar=85).collect()}
+    assert found == brute(rows, 3, 85)
