@@ -10,21 +10,28 @@ from pyspark.sql import DataFrame, functions as F
 
 from opslog.functions import sequence as seq
 from opslog.operators import features as feat
-from opslog.operators.iforest import Forest, iforest_score
+from opslog.operators.iforest import Forest
 from opslog.operators.sequences import block_history
 from opslog.operators.skew import SPLIT_ROWS
 from opslog.operators.templates import enrich_logs
 from opslog.session import stage
 from opslog.sources.models import Model
 
-MAX_SHARED_TERMS = 1_000_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _next_code(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Codes of terms with one more template id: 64-bit fingerprints, for ids of any size."""
+    x = (code ^ ids.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) + _STEP
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @dataclass(frozen=True)
 class SequenceScorer:
     """Vocabulary, scaler and forest as arrays; scores batches of id sequences.
 
-    A term of up to three template ids is coded as one integer, so whole
+    A term of any number of template ids is coded as one fingerprint, so whole
     batches are counted with array operations.
     """
 
@@ -32,42 +39,37 @@ class SequenceScorer:
     idx: np.ndarray
     idf: np.ndarray
     n_max: int
-    base: int
     meta: np.ndarray
     forest: Forest
 
     @staticmethod
     def load(model: Model) -> SequenceScorer:
         vocab = model.vocabulary.select("term", "idx", "idf").toPandas()
-        ids = [[int(t[1:]) + 1 for t in term.split(" ")] for term in vocab["term"]]
-        base = max((max(i) for i in ids), default=1) + 2
+        ids = [[int(t[1:]) for t in term.split(" ")] for term in vocab["term"]]
         n_max = max((len(i) for i in ids), default=1)
-        if base ** n_max >= 2 ** 62:
-            raise ValueError("template ids are too large to code n-grams")
-        codes = np.array([_code(i, base) for i in ids], dtype=np.int64)
+        codes = np.array([_code(i) for i in ids], dtype=np.uint64)
         order = np.argsort(codes)
         scaler = model.scaler.first()
         meta = np.array([[scaler[f"{c}_mean"], scaler[f"{c}_scale"]] for c in feat.META])
         return SequenceScorer(
             codes[order], vocab["idx"].to_numpy()[order], vocab["idf"].to_numpy()[order],
-            n_max, base, meta, Forest.load(model.forest),
+            n_max, meta, Forest.load(model.forest),
         )
 
     def matrix(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Feature columns the forest uses, one row per sequence."""
         lengths = np.array([len(s) for s in sequences])
         raw = np.concatenate(sequences)
-        flat = np.minimum(raw + 1, self.base - 1)  # ids no term holds share the top code
         row = np.repeat(np.arange(len(sequences)), lengths)
         columns = self.forest.columns
         out = np.zeros((len(sequences), len(columns)))
         rows, terms = [], []
-        code = np.zeros(len(flat), dtype=np.int64)
+        code = np.zeros(len(raw), dtype=np.uint64)
         for n in range(1, self.n_max + 1):
-            size = len(flat) - n + 1
+            size = len(raw) - n + 1
             if size <= 0:
                 break
-            code = code[:size] * self.base + flat[n - 1:]
+            code = _next_code(code[:size], raw[n - 1:])
             whole = row[:size] == row[n - 1:]
             rows.append(row[:size][whole])
             terms.append(code[whole])
@@ -99,16 +101,16 @@ class SequenceScorer:
         return self.forest.score_matrix(self.matrix(sequences))
 
 
-def _code(ids: list[int], base: int) -> int:
-    code = 0
+def _code(ids: list[int]) -> int:
+    code = np.zeros(1, dtype=np.uint64)
     for i in ids:
-        code = code * base + i
-    return code
+        code = _next_code(code, np.array([i]))
+    return code[0]
 
 
-def _score_shared(df: DataFrame, model: Model) -> DataFrame:
+def _score_shared(df: DataFrame, scorer: SequenceScorer) -> DataFrame:
     """Features and score in one narrow pass; equal sequences of a batch are scored once."""
-    shared = df.sparkSession.sparkContext.broadcast(SequenceScorer.load(model))
+    shared = df.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
     def score(ids: pd.Series) -> pd.Series:
@@ -121,30 +123,18 @@ def _score_shared(df: DataFrame, model: Model) -> DataFrame:
     return df.withColumn("score_sample", score(ids))
 
 
-def _score_joined(df: DataFrame, model: Model, n_terms: int) -> DataFrame:
-    """The same through joins, for a vocabulary too large to ship to every task."""
-    n_max = model.vocabulary.agg(F.max(F.size(F.split("term", " ")))).first()[0]
-    keyed = df.select(F.col("id").cast("string").alias("block_id"), seq.clean_tokens(F.col("tokens")).alias("t"))
-    terms = keyed.select("block_id", F.explode(seq.ngrams(F.col("t"), n_max)).alias("term")).groupBy(
-        "block_id", "term"
-    ).agg(F.count("*").alias("tf"))
-    stats = keyed.select(
-        "block_id", F.size("t").alias("seq_len"), F.size(F.array_distinct("t")).alias("unique_templates")
-    )
-    vectors = feat.assemble_features(
-        feat.tfidf_transform(terms, model.vocabulary), feat.scaler_transform(stats, model.scaler), n_terms
-    )
-    scores = iforest_score(vectors, model.forest).select(
-        F.col("block_id").cast("long").alias("id"), "score_sample"
-    )
-    return df.join(scores, "id")
+def load_scorer(model: Model) -> tuple[SequenceScorer, float]:
+    """The arrays of a model and its offset, read once."""
+    return SequenceScorer.load(model), model.forest.agg(F.max("offset")).first()[0]
+
 
+def score_histories(df: DataFrame, model: Model | tuple[SequenceScorer, float]) -> DataFrame:
+    """Score rows that carry their history: sequence, its counts, score and flag.
 
-def score_histories(df: DataFrame, model: Model, max_shared_terms: int = MAX_SHARED_TERMS) -> DataFrame:
-    """Score rows that carry their history: sequence, its counts, score and flag."""
-    n_terms = model.vocabulary.count()
-    scored = _score_shared(df, model) if n_terms <= max_shared_terms else _score_joined(df, model, n_terms)
-    offset = model.forest.agg(F.max("offset")).first()[0]
+    ``model`` may be what ``load_scorer`` has read, so that a stream reads it once.
+    """
+    scorer, offset = load_scorer(model) if isinstance(model, Model) else model
+    scored = _score_shared(df, scorer)
     empty = F.size("tokens") == 0
     return scored.select(
         *[c for c in df.columns if c not in ("tokens", "templates")],
@@ -156,11 +146,10 @@ def score_histories(df: DataFrame, model: Model, max_shared_terms: int = MAX_SHA
     )
 
 
-def score_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS,
-               max_shared_terms: int = MAX_SHARED_TERMS) -> DataFrame:
+def score_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Parse, look back, build features and score every log."""
     enriched = stage(enrich_logs(logs, model.templates, split_rows), "enriched")
-    return score_histories(block_history(enriched, split_rows=split_rows), model, max_shared_terms)
+    return score_histories(block_history(enriched, split_rows=split_rows), model)
 
 
 def flag_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from opslog.functions.text import WILDCARD, mask_template
 from opslog.operators.explore import with_block, with_blocks
@@ -14,13 +14,16 @@ from opslog.session import by_key, stage
 
 DEPTH = 4
 SIM_THRESHOLD = 0.4
-MAX_LEAF = 5_000
+#: Messages of a leaf that are led together in a round, and compared together in one task.
+ROUND_ROWS = 1_000
+LEAF_ROWS = 2_000
 
 CATALOG = T.StructType([
     T.StructField("masked", T.StringType()),
     T.StructField("template_id", T.LongType()),
     T.StructField("template", T.StringType()),
     T.StructField("n", T.LongType()),
+    T.StructField("leader", T.StringType()),
 ])
 
 
@@ -40,18 +43,26 @@ def template_catalog(logs: DataFrame) -> DataFrame:
 
 
 def assign_templates(logs: DataFrame, catalog: DataFrame, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Set template_id and parsed_template; unseen messages keep their own text.
+    """Set template_id and parsed_template.
 
-    The catalogue has one row per masked message, with its count: that tells
-    which messages are hot without reading the logs once more. They are split
-    over tasks where the catalogue is too large for Spark to broadcast.
+    A message whose masked form the catalogue holds takes its template. With a
+    mined catalogue, which names its leaders, any other message takes the
+    earliest leader of its leaf that is similar enough, as mining would have
+    done. What is left keeps its own text and no template. Hot messages are
+    counted in the logs at hand and split over tasks.
     """
     known = catalog.select(
         "masked", F.col("template_id").alias("_template_id"), F.col("template").alias("_template")
     )
     masked = logs.withColumn("masked", mask_template(F.col("raw_message")))
-    hot = hot_of(catalog, "masked", "n", split_rows)
-    joined = skew_join(masked, known, "masked", "id", "left", split_rows, hot)
+    counts = masked.where(F.col("masked").isNotNull()).groupBy("masked").agg(F.count("*").alias("n"))
+    if "leader" in catalog.columns:
+        counts = stage(counts, "masks")
+        unseen = counts.join(known.select("masked"), "masked", "left_anti")
+        known = known.unionByName(match_templates(unseen, catalog).select(
+            "masked", F.col("template_id").alias("_template_id"), F.col("template").alias("_template")
+        ))
+    joined = skew_join(masked, known, "masked", "id", "left", split_rows, hot_of(counts, "masked", "n", split_rows))
     kept = [c for c in logs.columns if c not in ("template_id", "parsed_template")]
     return joined.select(
         *kept,
@@ -65,108 +76,147 @@ def enrich_logs(logs: DataFrame, catalog: DataFrame, split_rows: int = SPLIT_ROW
     return with_blocks(with_block(assign_templates(logs, catalog, split_rows)))
 
 
+def _tokens(masked):
+    return F.split(masked, "[ \t]+")
+
+
 def _leaf_key(tokens, depth):
     """Token count and the first tokens; tokens with a digit or wildcard stand for any token."""
     head = F.transform(
-        F.slice(tokens, 1, depth),
+        F.slice(tokens, 1, max(depth - 2, 1)),
         lambda t: F.when(t.rlike("[0-9]") | t.contains(WILDCARD), WILDCARD).otherwise(t),
     )
     return F.concat_ws(" ", F.size(tokens).cast("string"), head)
 
 
-def merge_leaf(messages: list[list[str]], threshold: float) -> tuple[np.ndarray, list[str]]:
-    """Greedy clustering of one leaf's messages, given in first-seen order.
+def _coded(*groups) -> list[np.ndarray]:
+    """Token lists of equal length as integers; wildcards are 0 and -1 so that they equal nothing."""
+    codes: dict[str, int] = {}
+    out = []
+    for side, group in enumerate(groups):
+        codes[WILDCARD] = -side
+        rows = [[codes.setdefault(t, len(codes) + 1) for t in tokens] for tokens in group]
+        out.append(np.array(rows, dtype=np.int64).reshape(len(rows), -1))
+    return out
+
+
+def lead(messages: list[list[str]], threshold: float) -> np.ndarray:
+    """The leader of each message of a leaf, by position; messages come in first-seen order.
 
-    Each message joins the most similar template (share of equal positions,
-    wildcards in the template do not count as equal) if that reaches the
-    threshold; differing positions become wildcards.
+    A message joins the earliest leader that equals it at a share of
+    ``threshold`` of its places, or else becomes a leader itself. A wildcard
+    equals nothing.
     """
-    codes: dict[str, int] = {WILDCARD: 0}
-    rows = np.array([[codes.setdefault(t, len(codes)) for t in m] for m in messages], dtype=np.int64)
-    words = list(codes)
-    width = rows.shape[1]
-    templates = np.empty((16, width), dtype=np.int64)
-    used = 0
-    member = np.empty(len(rows), dtype=np.int64)
-    for i, row in enumerate(rows):
-        best = -1
-        if used:
-            current = templates[:used]
-            same = ((current == row) & (current != 0)).sum(axis=1)
-            wild = (current == 0).sum(axis=1)
-            best = int(np.lexsort((np.arange(used), -wild, -same))[0])
-            if same[best] < threshold * width:
-                best = -1
-        if best < 0:
-            if used == len(templates):
-                templates = np.vstack([templates, np.empty_like(templates)])
-            templates[used] = row
-            best, used = used, used + 1
-        else:
-            templates[best] = np.where(templates[best] == row, row, 0)
-        member[i] = best
-    return member, [" ".join(words[c] for c in template) for template in templates[:used]]
+    rows, others = _coded(messages, messages)
+    out = np.empty(len(rows), dtype=np.int64)
+    leaders: list[int] = []
+    for i, row in enumerate(others):
+        same = (rows[leaders] == row).sum(axis=1) >= threshold * rows.shape[1]
+        hit = np.flatnonzero(same)
+        out[i] = leaders[hit[0]] if len(hit) else i
+        if not len(hit):
+            leaders.append(i)
+    return out
+
+
+def _earliest(rows: DataFrame, leaders: DataFrame, threshold: float) -> DataFrame:
+    """``place`` of the earliest similar leader for each message: ``masked``, ``leader``.
+
+    ``rows`` has ``leaf``, ``masked``, ``tokens``; ``leaders`` has ``leaf``, ``place``, ``tokens``. Messages and
+    leaders of a leaf are dealt into parts of bounded size and every part of one
+    meets every part of the other, so a leaf of any size is many small tasks.
+    """
+    plan = rows.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("parts")).join(
+        leaders.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF_ROWS).cast("int").alias("sides")), "leaf"
+    )
+    part = F.pmod(F.xxhash64("masked"), F.col("parts")).cast("int").alias("part")
+    side = F.pmod(F.xxhash64("place"), F.col("sides")).cast("int").alias("side")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(plan, "leaf").select("leaf", part, every("sides").alias("side"), "masked", "tokens")
+    right = leaders.join(plan, "leaf").select("leaf", every("parts").alias("part"), side, "place", "tokens")
+
+    def match(pdf: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or heads.empty:
+            return pd.DataFrame({"masked": [], "leader": []})
+        heads = heads.sort_values("place")
+        rows, own = _coded(pdf["tokens"], heads["tokens"])
+        need, found = threshold * rows.shape[1], np.full(len(rows), -1, dtype=np.int64)
+        for i, row in enumerate(rows):
+            hit = np.flatnonzero((own == row).sum(axis=1) >= need)
+            if len(hit):
+                found[i] = heads["place"].iloc[hit[0]]
+        return pd.DataFrame({"masked": pdf["masked"], "leader": found})[found >= 0]
+
+    keys = ("leaf", "part", "side")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, "masked string, leader long")
+    return found.groupBy("masked").agg(F.min("leader").alias("leader"))
+
+
+def match_templates(unseen: DataFrame, catalog: DataFrame, depth: int = DEPTH,
+                    sim_threshold: float = SIM_THRESHOLD) -> DataFrame:
+    """Rows of ``unseen`` (``masked``) with ``template_id``, ``template`` and ``leader`` of the earliest similar leader."""
+    heads = catalog.groupBy("template_id").agg(F.first("template").alias("template"), F.first("leader").alias("leader"))
+    tokens = _tokens(F.col("leader"))
+    leaders = heads.select(F.col("template_id").alias("place"), tokens.alias("tokens"), _leaf_key(tokens, depth).alias("leaf"))
+    tokens = _tokens(F.col("masked"))
+    rows = unseen.withColumn("tokens", tokens).withColumn("leaf", _leaf_key(F.col("tokens"), depth))
+    found = _earliest(rows, leaders, sim_threshold).withColumnRenamed("leader", "template_id")
+    return unseen.join(found, "masked").join(heads, "template_id")
 
 
 def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = SIM_THRESHOLD,
-                   max_leaf: int = MAX_LEAF) -> DataFrame:
-    """Catalogue of mined templates: masked message, template id, template.
-
-    Masking first reduces the logs to their different masked messages. These
-    are split into leaves by token count and leading tokens, and each leaf is
-    clustered on its own. A leaf with more than ``max_leaf`` messages is split
-    by more leading tokens until it fits; a leaf whose key covers the whole
-    message needs no clustering, since its key is its template. So no task sees
-    an unbounded leaf and no message is left out. The number of tokens grows by
-    a quarter once it is long, which bounds the number of rounds.
+                   round_rows: int = ROUND_ROWS) -> DataFrame:
+    """Catalogue of mined templates: masked message, template id, template, count, leader.
+
+    Masking first reduces the logs to their different masked messages, in
+    first-seen order. A leaf is a token count and the first tokens. In its leaf a
+    message joins the earliest leader that is similar enough, or becomes a
+    leader; the template is the leader with a wildcard wherever a member
+    differs. This rule is the same at any size. It is run in rounds: the first
+    ``round_rows`` open messages of each leaf are led in one bounded group, all
+    later ones are compared with the leaders found there, and those that match
+    none go on to the next round. The result does not depend on ``round_rows``.
     """
-    pending = masked_counts(logs).select(
-        "masked", F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id"),
-        F.split("masked", "[ \t]+").alias("tokens"), F.col("n").alias("logs"),
+    seen = masked_counts(logs.where(F.col("raw_message").isNotNull())).select(
+        "masked", F.col("first.timestamp").alias("first_ts"), F.col("first.id").alias("first_id"), "n"
     )
-    columns, level, leaves = pending.columns, max(depth - 2, 1), None
+    keyed = ranked(seen, [], ["first_ts", "first_id", "masked"], "place").withColumn("tokens", _tokens(F.col("masked")))
+    every = stage(keyed.withColumn("leaf", _leaf_key(F.col("tokens"), depth)).select(
+        "place", "leaf", "masked", "tokens", "n"), "masks")
+    pending, led = every, None
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        leaders = lead([list(t) for t in pdf["tokens"]], sim_threshold)
+        return pd.DataFrame({"masked": pdf["masked"], "leader": pdf["place"].to_numpy()[leaders]})
+
+    order = W.partitionBy("leaf").orderBy("place")
     while True:
-        keyed = stage(pending.withColumn("leaf", _leaf_key(F.col("tokens"), level)), "keyed")
-        sizes = keyed.groupBy("leaf").agg(
-            F.count("*").alias("n"), F.min(F.struct("first_ts", "first_id")).alias("head")
-        )
-        joined = skew_join(keyed, sizes, "leaf", "masked", "inner", hot=hot_of(sizes, "leaf", "n"))
-        sized = stage(joined.withColumn("covered", F.size("tokens") <= level), "leaves")
-        large = (F.col("n") > max_leaf) & ~F.col("covered")
-        done = sized.where(~large)
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if sized.where(large).isEmpty():
+        head = stage(pending.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= round_rows).drop("_row"),
+                     "head")
+        own = stage(by_key(head, "leaf").groupBy("leaf").applyInPandas(group, "masked string, leader long"), "led")
+        led = own if led is None else led.unionByName(own)
+        last = head.groupBy("leaf").agg(F.max("place").alias("_last"))
+        rest = stage(pending.join(last, "leaf").where(F.col("place") > F.col("_last")).drop("_last"), "rest")
+        if rest.isEmpty():
             break
-        pending, level = sized.where(large).select(*columns), level + max(1, level // 4)
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["first_id"].to_numpy(), pdf["first_ts"].to_numpy()))
-        tokens = pdf["tokens"].to_numpy()[order]
-        member, templates = merge_leaf([list(t) for t in tokens], sim_threshold)
-        head = order[np.unique(member, return_index=True)[1]][member]  # first message of each template
-        out = pdf.take(order)[["masked", "logs"]]
-        out["template"] = np.array(templates, dtype=object)[member]
-        out["first_ts"] = pdf["first_ts"].to_numpy()[head]
-        out["first_id"] = pdf["first_id"].to_numpy()[head]
-        return out
-
-    shape = "masked string, logs long, template string, first_ts timestamp, first_id long"
-    several = (F.col("n") > 1) & ~F.col("covered")
-    clustered = by_key(leaves.where(several), "leaf").groupBy("leaf").applyInPandas(cluster, shape)
-    alone = leaves.where((F.col("n") == 1) & ~F.col("covered")).select(
-        "masked", "logs", F.array_join("tokens", " ").alias("template"), "first_ts", "first_id"
-    )
-    whole = leaves.where("covered").select(
-        "masked", "logs", F.regexp_replace("leaf", "^[0-9]+ ", "").alias("template"), "head.*"
-    )
-    catalog = stage(
-        clustered.unionByName(alone).unionByName(whole).select(
-            "masked", "template", F.col("logs").alias("n"), F.struct("first_ts", "first_id").alias("head")
-        ),
-        "templates",
-    )
-    heads = catalog.select("head").distinct().select("head.*")
-    ids = ranked(heads, [], ["first_ts", "first_id"], "template_id").select(
-        F.struct("first_ts", "first_id").alias("head"), "template_id"
-    )
-    return skew_join(catalog, ids, "head", "masked", "inner").select("masked", "template_id", "template", "n")
+        leaders = head.join(own.select("leader").distinct(), F.col("place") == F.col("leader")).select(
+            "leaf", "place", "tokens")
+        found = stage(_earliest(rest, leaders, sim_threshold), "found")
+        led = led.unionByName(found)
+        pending = stage(rest.join(found, "masked", "left_anti"), "pending")
+        if pending.isEmpty():
+            break
+    heads = every.select(F.col("place").alias("leader"), F.col("tokens").alias("head"), F.col("masked").alias("text"))
+    members = stage(every.join(led, "masked").join(heads, "leader"), "members")
+    spots = F.filter(F.sequence(F.lit(1), F.size("head")),
+                     lambda i: F.element_at("head", i) != F.element_at("tokens", i))
+    differ = members.select("leader", F.explode(spots).alias("spot")).distinct().groupBy("leader").agg(
+        F.collect_set("spot").alias("spots"))
+    ids = ranked(members.select("leader").distinct(), [], ["leader"], "template_id")
+    known = heads.join(ids, "leader").join(differ, "leader", "left").select(
+        "leader", "template_id", "text", F.array_join(F.transform("head", lambda t, i: F.when(
+            F.array_contains(F.coalesce("spots", F.array().cast("array<int>")), i + 1), WILDCARD).otherwise(t)), " "
+        ).alias("template"))
+    return members.select("leader", "masked", "n").join(known, "leader").select(
+        "masked", "template_id", "template", "n", F.col("text").alias("leader"))

@@ -722,12 +722,41 @@ def enrich_logs(spark, d):
     )
 
 
-@query()
+#: The leader rule over ``catalog`` (masked, n, template_id in first-seen order), one message of each leaf at a time.
+LEADER_SQL = """
+toks AS (SELECT masked, n, template_id AS place, regexp_split_to_array(masked, '[ \t]+') AS tokens FROM catalog),
+keyed AS (SELECT *, concat_ws(' ', cast(len(tokens) AS varchar), array_to_string(list_transform(tokens[1:2], lambda t:
+  CASE WHEN regexp_matches(t, '[0-9]') OR contains(t, '<*>') THEN '<*>' ELSE t END), ' ')) AS leaf FROM toks),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY place) AS k FROM keyed),
+led AS (
+  SELECT leaf, k, place, [{'p': place, 't': tokens}] AS leaders, place AS leader FROM ordered WHERE k = 1
+  UNION ALL
+  SELECT leaf, k, place, CASE WHEN hit IS NULL THEN list_append(leaders, {'p': place, 't': tokens}) ELSE leaders END,
+    coalesce(hit, place)
+  FROM (SELECT o.*, l.leaders, list_filter(l.leaders, lambda x: len(list_filter(range(1, len(o.tokens) + 1),
+      lambda i: x.t[i] = o.tokens[i] AND x.t[i] <> '<*>')) >= 0.4 * len(o.tokens))[1].p AS hit
+    FROM led l JOIN ordered o ON o.leaf = l.leaf AND o.k = l.k + 1)),
+pairs AS (SELECT o.masked, o.n, o.tokens, l.leader, h.tokens AS head, h.masked AS text
+  FROM led l JOIN ordered o ON o.place = l.place JOIN ordered h ON h.place = l.leader),
+spots AS (SELECT leader, list(DISTINCT i) AS spots FROM (SELECT leader, unnest(list_filter(range(1, len(head) + 1),
+  lambda i: head[i] <> tokens[i])) AS i FROM pairs) GROUP BY leader),
+mined AS (SELECT masked, n, text AS leader, dense_rank() OVER (ORDER BY leader) AS template_id,
+  array_to_string(list_transform(range(1, len(head) + 1), lambda i:
+    CASE WHEN list_contains(coalesce(spots, []), i) THEN '<*>' ELSE head[i] END), ' ') AS template
+  FROM pairs LEFT JOIN spots USING (leader))"""
+
+
+@query(f"WITH RECURSIVE {CATALOG_SQL}, {LEADER_SQL} SELECT masked, template_id, template, n, leader FROM mined")
 def mine_templates(spark, d):
     return tpl.mine_templates(fx.logs(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLEAN_SQL}, l AS (SELECT {MASK_SQL.replace('raw_message', 'value')} AS masked, file, block_start, line_no
+  FROM clean WHERE length(value) > 0),
+catalog AS (SELECT masked, n, row_number() OVER (ORDER BY block_start, line_no) AS template_id FROM (
+  SELECT masked, count(*) OVER (PARTITION BY masked) AS n, block_start, line_no FROM l
+  QUALIFY row_number() OVER (PARTITION BY masked ORDER BY block_start, line_no) = 1)), {LEADER_SQL}
+SELECT masked, template_id, template, n, leader FROM mined""")
 def mine_templates_lines(spark, d):
     """Mining free text, where leaves are many and wide."""
     lines = ln.clean_lines(fx.log_lines(spark, d)).select(
@@ -797,7 +826,7 @@ def one_class_svm(spark, d):
 
 def trained(spark, d):
     base = fx.logs(spark, d)
-    return base, training.train_model(base, catalog=fx.catalog(spark, d))
+    return base, training.train_model(base)
 
 
 @query()
@@ -961,12 +990,12 @@ def backfill_rca(spark, d):
 
 # --- streams ----------------------------------------------------------------------
 
-def feed(df: DataFrame, folder: str, slices: int, start: Callable, fmt: str = "parquet") -> None:
-    """Write ``df`` in time slices and run the stream after each, as data would arrive."""
+def feed(df: DataFrame, folder: str, slices: int, start: Callable, fmt: str = "parquet", late: bool = False) -> None:
+    """Write ``df`` in time slices and run the stream after each, as data would arrive; ``late``: the last slice first."""
     spark = df.sparkSession
     edges = df.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
     step = (edges["b"] - edges["a"]) / slices
-    for i in range(slices):
+    for i in range(slices - 1, -1, -1) if late else range(slices):
         part = df
         if i > 0:
             part = part.where(F.col("timestamp") >= F.lit(edges["a"] + step * i))
@@ -982,12 +1011,33 @@ def _paths(spark, name, *parts):
     return [f"{root}/{part}" for part in parts]
 
 
-@query(SQL["validate_logs"])
-def ingest_stream(spark, d):
+def _ingested(spark, d):
     source, valid, rejected, checkpoint = _paths(spark, "ingest", "in", "valid", "rejected", "checkpoint")
     requests = fx.ingest_requests(spark, d)
     feed(requests, source, 2, lambda stream: jobs.ingest_stream(stream, valid, rejected, checkpoint))
-    return spark.read.parquet(valid).select("id", "source_host", "log_level", "raw_message")
+    return tables.load_logs(spark, valid), spark.read.parquet(rejected)
+
+
+@query(SQL["append_logs"])
+def ingest_stream(spark, d):
+    """Ingested logs, read as any stored logs are."""
+    return explore.log_entry(_ingested(spark, d)[0]).withColumn("timestamp", ts("timestamp"))
+
+
+@query(f"""WITH {fx.REQUESTS_SQL} SELECT id, source_host, log_level, raw_message FROM requests
+  WHERE NOT (coalesce(length(source_host) BETWEEN 1 AND 100, false) AND coalesce(log_level IN ('ERROR','WARN','INFO'), false)
+  AND coalesce(length(raw_message) >= 1, false))""")
+def ingest_rejected(spark, d):
+    return _ingested(spark, d)[1].select("id", "source_host", "log_level", "raw_message")
+
+
+@query(f"""WITH {fx.REQUESTS_SQL}, ok AS (SELECT * FROM requests WHERE length(source_host) BETWEEN 1 AND 100
+  AND log_level IN ('ERROR','WARN','INFO') AND length(raw_message) >= 1)
+  SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S.%f') AS bucket, count(*) AS n FROM ok
+  WHERE timestamp >= {DAY_SQL} GROUP BY 1""")
+def ingested_volume(spark, d):
+    """The chart of logs that a stream has stored."""
+    return analytics.log_volume(_ingested(spark, d)[0], *times.window_start("24h", fx.NOW)).withColumn("bucket", ts("bucket"))
 
 
 @query(f"""WITH {fx.LOGS_SQL} SELECT 'hdfs-datanode-01' AS source_host,
@@ -1026,15 +1076,13 @@ def stream_incidents(spark, d):
 
 
 @query(f"""WITH {fx.LOGS_SQL} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S.%f') AS bucket, count(*) AS n FROM logs
-  GROUP BY date_trunc('hour', timestamp)
-  HAVING date_trunc('hour', timestamp) + INTERVAL '1' HOUR <= (SELECT max(timestamp) FROM logs) - INTERVAL '10' MINUTE""")
+  GROUP BY date_trunc('hour', timestamp)""")
 def stream_volume(spark, d):
-    """Hours that the watermark has closed."""
+    """Every hour, with the later slice of the logs coming in first."""
     source, out, checkpoint = _paths(spark, "volume", "in", "out", "checkpoint")
     logs = fx.logs(spark, d)
-    feed(logs, source, 2, lambda stream: jobs.stream_volume(
-        stream, "hour", "10 minutes", out, checkpoint))
-    return spark.read.parquet(out).select(ts("bucket"), "n")
+    feed(logs, source, 2, lambda stream: jobs.stream_volume(stream, "hour", out, checkpoint), late=True)
+    return jobs.read_volume(spark, out).select(ts("bucket"), "n")
 
 
 @query(SQL["assign_templates"])

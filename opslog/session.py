@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +33,13 @@ def build_session(app: str = "opslog", master: str | None = None, **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse.
 
-    Only a local session may run without that setting; a temporary folder of
-    one machine is never used on a cluster.
+    Spark needs its warehouse on storage that all executors share, so neither is
+    a temporary folder of one machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="opslog-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return configured.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -21,7 +21,8 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def load_logs(spark: SparkSession, path: str) -> DataFrame:
     """Logs with their date ``dt``; a filter on it prunes the folders."""
-    return load_table(spark, path, T.StructType([*LOGS.fields, T.StructField("dt", T.DateType())]))
+    parts = [T.StructField("dt", T.DateType()), T.StructField("batch_id", T.LongType())]
+    return load_table(spark, path, T.StructType([*LOGS.fields, *parts])).drop("batch_id")
 
 
 def load_incidents(spark: SparkSession, path: str) -> DataFrame:
@@ -38,20 +39,23 @@ def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     return stored.groupBy("runbook_id").agg(F.max_by("embedding", "version").alias("embedding"))
 
 
-def append_logs(valid: DataFrame, path: str) -> None:
+def append_logs(valid: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Store validated logs without a template yet, by date.
 
     Rebalancing gives each date files of a useful size and splits a heavy date;
-    sorting by host within them lets the scan skip row groups.
+    sorting by host within them lets the scan skip row groups. Logs of a
+    micro-batch lie under its number, so a repeated batch replaces its own files
+    and no others.
     """
     rows = valid.select(
         "id", "timestamp", "source_host", "log_level", "raw_message",
         F.lit(None).cast("long").alias("template_id"), F.lit(None).cast("string").alias("parsed_template"),
-        F.to_date("timestamp").alias("dt"),
+        F.to_date("timestamp").alias("dt"), F.lit(-1 if batch_id is None else batch_id).cast("long").alias("batch_id"),
     )
-    rows.hint("rebalance", "dt").sortWithinPartitions("dt", "source_host", "timestamp").write.mode(
-        "append"
-    ).partitionBy("dt").parquet(path)
+    writer = rows.hint("rebalance", "dt").sortWithinPartitions("dt", "source_host", "timestamp").write
+    writer = writer.mode("append") if batch_id is None else writer.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dt", "batch_id").parquet(path)
 
 
 def new_incidents(scored: DataFrame, severity, title, report, created_at) -> DataFrame:
@@ -82,7 +86,10 @@ def append_runbooks(runbooks: DataFrame, path: str, vector_path: str, version: i
     """Store runbooks and index their vectors. Nothing stored before is rewritten."""
     names = set(runbooks.columns)
     rows = runbooks.select(*[
-        F.col(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in RUNBOOKS.fields
+        F.col(f.name) if f.name in names else
+        # a new runbook counts as updated when it was made
+        F.col("created_at").alias(f.name) if f.name == "updated_at" and "created_at" in names else
+        F.lit(None).cast(f.dataType).alias(f.name) for f in RUNBOOKS.fields
     ])
     rows.write.mode("append").parquet(path)
     save_vectors(index_runbooks(runbooks, encoder), vector_path, version)

@@ -21,6 +21,8 @@ SEEN = "block_id string, micros long, id long, template_id long"
 STATE = "micros array<bigint>, ids array<bigint>, templates array<bigint>"
 FIRSTS = f"first_block string, {STATE}"
 NO_TEMPLATE = -1
+#: The default trigger: work off what is there, then end.
+AVAILABLE = {"availableNow": True}
 
 
 def _earliest(frame: pd.DataFrame, cap: int) -> pd.DataFrame:
@@ -32,8 +34,9 @@ def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP, idle_ms: int | None =
 
     Only the earliest ``cap`` mentions of a batch can enter the state, so each
     Arrow batch is cut to them before the shuffle, and a hot block's task holds
-    no more than the cap at a time. A full state is frozen. With ``idle_ms``, a
-    block without news for so long is forgotten; by default none ever is.
+    no more than the cap at a time. The state holds the earliest of old and new
+    entries together, so a late log takes the place that its time gives it, as
+    in a batch. With ``idle_ms``, a block without news for so long is forgotten; by default none ever is.
     """
     seen = mentions(logs).select(
         "block_id", F.unix_micros("timestamp").alias("micros"), "id",
@@ -52,19 +55,12 @@ def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP, idle_ms: int | None =
             state.remove()
             return
         old = [np.asarray(a, dtype=np.int64) for a in state.get] if state.exists else [np.empty(0, np.int64)] * 3
-        room = cap - len(old[0])
-        fresh = pd.DataFrame({"micros": [], "id": [], "template_id": []}, dtype="int64")
+        kept = pd.DataFrame(dict(zip(["micros", "id", "template_id"], old)))
         for pdf in batches:
-            if room > 0:
-                pdf = pdf[pdf["template_id"] != NO_TEMPLATE]
-                fresh = pd.concat([fresh, pdf[["micros", "id", "template_id"]]])
-                fresh = fresh.sort_values(["micros", "id"]).head(room)
-        merged = [
-            np.concatenate([a, fresh[c].to_numpy(dtype=np.int64)])
-            for a, c in zip(old, ["micros", "id", "template_id"])
-        ]
-        order = np.lexsort((merged[1], merged[0]))
-        lists = tuple(a[order].tolist() for a in merged)
+            pdf = pdf[pdf["template_id"] != NO_TEMPLATE]
+            kept = pd.concat([kept, pdf[["micros", "id", "template_id"]]])
+            kept = kept.sort_values(["micros", "id"], kind="stable").head(cap)
+        lists = tuple(kept[c].astype("int64").tolist() for c in ["micros", "id", "template_id"])
         state.update(lists)
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
@@ -80,7 +76,7 @@ def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP, idle_ms: int | None =
 
 def history_batches(logs: DataFrame, on_history: Callable[[DataFrame, int], None], scratch: str,
                     checkpoint: str, cap: int = HISTORY_CAP, split_rows: int = SPLIT_ROWS,
-                    idle_ms: int | None = None) -> StreamingQuery:
+                    idle_ms: int | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Give every log its block's earlier templates and hand each batch to ``on_history``.
 
     The logs themselves do not pass through the keyed state; they travel beside
@@ -108,11 +104,12 @@ def history_batches(logs: DataFrame, on_history: Callable[[DataFrame, int], None
 
     return (
         both.writeStream.foreachBatch(on_batch).outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or AVAILABLE)).start()
     )
 
 
 def stream_block_state(logs: DataFrame, path: str, scratch: str, checkpoint: str,
-                       cap: int = HISTORY_CAP) -> StreamingQuery:
+                       cap: int = HISTORY_CAP, trigger: dict | None = None) -> StreamingQuery:
     """Store each log with the tokens of its history."""
-    return history_batches(logs, lambda rows, batch_id: write_batch(rows, path, batch_id), scratch, checkpoint, cap)
+    return history_batches(logs, lambda rows, batch_id: write_batch(rows, path, batch_id), scratch, checkpoint, cap,
+                           trigger=trigger)

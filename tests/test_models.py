@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from opslog.functions import sequence as seq
 from opslog.operators import evaluate, features as feat, iforest, ocsvm, scoring, templates as tpl, training
 from opslog.operators import sequences as sq
 
@@ -125,10 +126,29 @@ def test_leaderboard_ranks_unrounded(spark):
     assert [r["config"] for r in got] == [1, 2, 0] and got[0]["f1"] == 0.6214
 
 
-def test_merge_leaf():
-    messages = [m.split() for m in ["open file a ok", "open file b ok", "open door now fast", "open file c ok"]]
-    member, found = tpl.merge_leaf(messages, 0.5)
-    assert member.tolist() == [0, 0, 1, 0] and found == ["open file <*> ok", "open door now fast"]
+def sequential(messages, threshold):
+    """The leader rule, one message after another."""
+    leaders, out = [], []
+    for tokens in messages:
+        for k, head in enumerate(leaders):
+            same = sum(a == b != "<*>" for a, b in zip(head, tokens))
+            if len(head) == len(tokens) and same >= threshold * len(tokens):
+                out.append(k)
+                break
+        else:
+            out.append(len(leaders))
+            leaders.append(tokens)
+    return out
+
+
+def test_leader_rule():
+    rng = random.Random(3)
+    for _ in range(30):
+        messages = [[rng.choice(["a", "b", "c", "<*>"]) for _ in range(5)] for _ in range(40)]
+        for threshold in (0.4, 0.6, 0.9):
+            led = tpl.lead(messages, threshold)
+            names = {x: k for k, x in enumerate(dict.fromkeys(led.tolist()))}
+            assert [names[x] for x in led.tolist()] == sequential(messages, threshold)
 
 
 def texts(spark, make_logs, messages):
@@ -153,15 +173,33 @@ def test_mining(spark, make_logs):
     assert first["template_id"] == 1
 
 
-def test_large_leaves_are_split_and_whole(spark, make_logs):
-    words = "abcdefghijklmnopqrst"
-    messages = [f"start here {a} {b} end" for a in words for b in words]
+@pytest.mark.parametrize("n", [49, 51])
+def test_size_does_not_change_the_answer(spark, make_logs, monkeypatch, n):
+    monkeypatch.setattr(tpl, "LEAF_ROWS", 7)
+    logs = texts(spark, make_logs, [f"start here user {chr(97 + i // 26)}{chr(97 + i % 26)} end" for i in range(n)])
+    for rows in (1, 7, 50, 1000):
+        assert {r["template"] for r in tpl.mine_templates(logs, round_rows=rows).collect()} == {"start here user <*> end"}
+
+
+def test_rounds_equal_the_sequential_rule(spark, make_logs, monkeypatch):
+    monkeypatch.setattr(tpl, "LEAF_ROWS", 5)
+    rng = random.Random(9)
+    messages = list(dict.fromkeys(" ".join(["go", "on"] + [rng.choice("abcd") for _ in range(4)]) for _ in range(70)))
+    led = sequential([m.split(" ") for m in messages], 0.7)
     logs = texts(spark, make_logs, messages)
-    wide = tpl.mine_templates(logs).collect()
-    assert {r["template"] for r in wide} == {"start here <*> <*> end"}
-    split = tpl.mine_templates(logs, max_leaf=50).collect()
-    assert len(split) == 400 and len({r["masked"] for r in split}) == 400
-    assert {r["template"] for r in split} == {f"start here {a} <*> end" for a in words}
+    for rows in (1, 7, 1000):
+        got = {r["masked"]: r for r in tpl.mine_templates(logs, sim_threshold=0.7, round_rows=rows).collect()}
+        assert [got[m]["template_id"] - 1 for m in messages] == led
+        assert all(got[m]["leader"] == messages[led.index(led[i])] for i, m in enumerate(messages))
+
+
+def test_new_messages_take_mined_templates(spark, make_logs):
+    seen = [f"Heartbeat from host {h} ok blk_{i}" for i, h in enumerate(["alpha", "beta", "gamma"])]
+    catalog = tpl.mine_templates(texts(spark, make_logs, seen))
+    new = texts(spark, make_logs, ["Heartbeat from host delta ok blk_9", "Heartbeat from host", "else"])
+    got = {r["id"]: r for r in tpl.assign_templates(new, catalog).collect()}
+    assert (got[0]["template_id"], got[0]["parsed_template"]) == (1, "Heartbeat from host <*> ok <*>")
+    assert got[1]["template_id"] is None and got[2]["parsed_template"] == "else"
 
 
 def test_unseen_messages_keep_their_text(spark, make_logs):
@@ -183,14 +221,30 @@ def corpus(spark, make_logs):
     return make_logs(rows)
 
 
-@pytest.mark.parametrize("ngram_max", [1, 3])
-def test_both_scoring_paths_agree(spark, corpus, ngram_max):
-    model = training.train_model(corpus, ngram_max=ngram_max)
+def joined_scores(df, model):
+    """Scores through joins with the vocabulary, one row a term."""
+    n_terms = model.vocabulary.count()
+    n_max = model.vocabulary.agg(F.max(F.size(F.split("term", " ")))).first()[0]
+    keyed = df.select(F.col("id").cast("string").alias("block_id"), seq.clean_tokens(F.col("tokens")).alias("t"))
+    terms = keyed.select("block_id", F.explode(seq.ngrams(F.col("t"), n_max)).alias("term")).groupBy(
+        "block_id", "term").agg(F.count("*").alias("tf"))
+    stats = keyed.select(
+        "block_id", F.size("t").alias("seq_len"), F.size(F.array_distinct("t")).alias("unique_templates"))
+    vectors = feat.assemble_features(
+        feat.tfidf_transform(terms, model.vocabulary), feat.scaler_transform(stats, model.scaler), n_terms)
+    offset = model.forest.agg(F.max("offset")).first()[0]
+    return {int(r["block_id"]): r["score_sample"] - offset for r in iforest.iforest_score(vectors, model.forest).collect()}
+
+
+@pytest.mark.parametrize("ngram_max,shift", [(1, 0), (3, 0), (3, 2_000_000)])
+def test_scores_equal_those_of_joins(spark, corpus, ngram_max, shift):
+    catalog = tpl.template_catalog(corpus).withColumn("template_id", F.col("template_id") + shift)
+    model = training.train_model(corpus, ngram_max=ngram_max, catalog=catalog)
     shared = {r["id"]: r for r in scoring.score_logs(corpus, model).collect()}
-    joined = {r["id"]: r for r in scoring.score_logs(corpus, model, split_rows=5, max_shared_terms=0).collect()}
+    joined = joined_scores(sq.block_history(tpl.enrich_logs(corpus, catalog)), model)
     assert shared.keys() == joined.keys() and len(shared) == corpus.count()
     for i, row in shared.items():
-        assert abs(row["score"] - joined[i]["score"]) < 1e-9
+        assert abs(row["score"] - joined[i]) < 1e-9
         assert row["seq_len"] == len(row["sequence"].split(" "))
         assert row["unique_templates"] == len(set(row["sequence"].split(" ")))
     flagged = {i for i, r in shared.items() if r["is_anomaly"]}

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from opslog.operators import scoring, sequences as sq, templates as tpl, training
 from opslog.streaming import history, jobs
-from opslog.sources import lines
+from opslog.sources import lines, tables
 
 
 def feed(spark, df, folder, cuts, start):
@@ -65,12 +65,40 @@ def test_incidents_equal_batch(spark, make_logs, tmp_path):
     assert all("Model Signal" in r[4] and r[3] == "OPEN" for r in got)
 
 
-def test_volume_closes_hours(spark, make_logs, tmp_path):
+def test_volume_counts_late_and_open_hours(spark, make_logs, tmp_path):
     logs = make_logs([("m", None, 600 * i) for i in range(60)])
     source, out, check = paths(tmp_path, "in", "out", "check")
-    feed(spark, logs, source, [30], lambda s: jobs.stream_volume(s, "hour", "10 minutes", out, check))
-    got = [r["n"] for r in spark.read.parquet(out).orderBy("bucket").collect()]
-    assert got == [6] * 9
+    start = lambda s: jobs.stream_volume(s, "hour", out, check).awaitTermination()
+    for part in (logs.where("id >= 20"), logs.where("id < 20")):
+        part.write.mode("append").parquet(source)
+        start(spark.readStream.schema(logs.schema).parquet(source))
+    got = [r["n"] for r in jobs.read_volume(spark, out).orderBy("bucket").collect()]
+    assert got == [6] * 10
+
+
+def test_ingested_logs_are_in_the_charts(spark, make_logs, tmp_path):
+    logs = make_logs([("m", None, 600 * i) for i in range(60)]).select("id", "timestamp", "source_host", "log_level", "raw_message")
+    source, valid, bad, check = paths(tmp_path, "in", "valid", "bad", "check")
+    tables.append_logs(logs.where("id < 5"), valid)
+    feed(spark, logs.where("id >= 5"), source, [30], lambda s: jobs.ingest_stream(s, valid, bad, check))
+    stored = tables.load_logs(spark, valid)
+    assert stored.count() == 60 and stored.where("dt is null").count() == 0
+    tables.append_logs(logs.where("id >= 50"), valid, 1)
+    tables.append_logs(logs.where("id >= 50"), valid, 1)
+    assert tables.load_logs(spark, valid).where("id >= 50").count() >= 10
+
+
+def test_late_logs_enter_a_full_history(spark, make_logs, tmp_path):
+    late = make_logs([("blk_1 x", 70 + i, i) for i in range(3)])
+    early = make_logs([("blk_1 x", 1 + i, 10 + i) for i in range(6)]).withColumn("id", F.col("id") + 100)
+    last = make_logs([("blk_1 x", 50, 99)]).withColumn("id", F.lit(999).cast("long"))
+    source, out, state, check = paths(tmp_path, "in", "out", "state", "check")
+    for part in (early, late, last):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(early.schema).parquet(source)
+        history.stream_block_state(stream, out, state, check, cap=4).awaitTermination()
+    got = {r["id"]: " ".join(r["tokens"]) for r in spark.read.parquet(out).collect()}
+    assert got[999] == "E70 E71 E72 E1 E50" and got[2] == "E70 E71 E72" and got[105] == "E1 E2 E3 E4 E6"
 
 
 def test_templates_equal_batch_on_union(spark, make_logs, tmp_path):
