@@ -19,13 +19,20 @@ def trigger_logs(incidents: DataFrame, logs: DataFrame) -> DataFrame:
     return by_ids(logs, ids)
 
 
+def join_triggers(incidents: DataFrame, trigger: DataFrame) -> DataFrame:
+    """Left join on ``trigger_log_id``; incidents without one bypass it, or one task would get them all."""
+    has = F.col("trigger_log_id").isNotNull()
+    joined = incidents.where(has).join(trigger, "trigger_log_id", "left")
+    return joined.unionByName(incidents.where(~has), allowMissingColumns=True)
+
+
 def incident_detail(incidents: DataFrame, logs: DataFrame) -> DataFrame:
     """Each incident with its trigger log as a struct, NULL where there is none."""
     trigger = trigger_logs(incidents, logs).select(
         F.col("id").alias("trigger_log_id"),
         F.struct("id", "raw_message", "source_host").alias("trigger_log"),
     )
-    return incidents.join(trigger, "trigger_log_id", "left")
+    return join_triggers(incidents, trigger)
 
 
 def needs_rca(incidents: DataFrame) -> DataFrame:

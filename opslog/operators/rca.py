@@ -52,7 +52,7 @@ def incident_queries(incidents: DataFrame, logs: DataFrame) -> DataFrame:
         F.col("id").alias("trigger_log_id"), F.col("raw_message").alias("_message"),
         F.col("template_id").cast("string").alias("_sequence"),
     )
-    return incidents.join(trigger, "trigger_log_id", "left").select(
+    return inc.join_triggers(incidents, trigger).select(
         F.col("id").alias("query_id"),
         F.coalesce("_sequence", F.lit("")).alias("sequence"),
         F.coalesce("_message", F.lit("")).alias("raw_message"),
