@@ -124,9 +124,10 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             if not own.languages:
                 best, cosine, far = np.full(b - a, UNKNOWN, object), np.zeros(b - a), np.ones(b - a, bool)
             else:
-                near = own.vectors(found) @ own.centroids.T
-                at = np.argmax(near, axis=1)
-                cosine = np.clip(near[np.arange(b - a), at].astype(np.float64), 0, 1)
+                x = own.vectors(found)
+                at = np.argmax(x @ own.centroids.T, axis=1)
+                # row by row, so that equal texts get equal scores in any batch
+                cosine = np.clip((x * own.centroids[at]).sum(axis=1, dtype=np.float64), 0, 1)
                 far = cosine < own.least[at]
                 best = np.array(own.languages, object)[at]
             best, cosine = np.where(some, best, UNKNOWN), np.where(some, cosine, 0.0)

@@ -157,8 +157,7 @@ def nearest(vectors: DataFrame, k: int = LEAST, queries: DataFrame | None = None
     are compared in chunks, so a leaf with very many rows is many tasks.
 
     Edge cases: null, empty or zero vectors and those with null or non-finite components take no part,
-    nor do vectors whose length is not that of the vector with the smallest key hash; ties go to the smaller
-    key; equal vectors are neighbours at distance 0; rows that repeat a key are one another's own
+    nor do vectors of another length than the most common one; ties go to the smaller key; equal vectors are neighbours at distance 0; rows that repeat a key are one another's own
     and not neighbours; an empty table gives an empty table; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -166,7 +165,7 @@ def nearest(vectors: DataFrame, k: int = LEAST, queries: DataFrame | None = None
     asked = valid(queries if queries is not None else vectors, key, vector)
     kind = vectors.schema[key].dataType.simpleString()
     shape = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    head = points.orderBy(F.xxhash64("id"), "id").limit(1).select(F.size("v").alias("n")).first()
+    head = points.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if head is None:
         return spark.createDataFrame([], shape)
     points, asked = points.where(F.size("v") == head.n), asked.where(F.size("v") == head.n)

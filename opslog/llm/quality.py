@@ -32,7 +32,8 @@ class Model:
 
     def tails(self, x: np.ndarray) -> np.ndarray:
         """Chance of more than each grade but the last, rows by thresholds."""
-        z = (x - self.centre) @ self.weights
+        # row by row, so that equal texts get equal results in any batch
+        z = ((x - self.centre) * self.weights).sum(axis=1)
         return 1 / (1 + np.exp(np.clip(self.thresholds - z[:, None], -30, 30)))
 
 
@@ -98,8 +99,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = arrays.map_batches(
         sampled.select(F.col(text).cast("string"), F.col("_label").cast("double")), run, "grade double, x binary"
     ).orderBy(F.xxhash64("x"), "grade").collect()
-    x = np.frombuffer(b"".join(r.x for r in rows), "<f2").reshape(len(rows), -1).astype(np.float32)
-    return fit_vectors(x if len(rows) else np.zeros((0, 1 << BITS), np.float32), np.array([r.grade for r in rows]))
+    x = np.frombuffer(b"".join(r.x for r in rows), "<f2").reshape(len(rows), 1 << BITS).astype(np.float32)
+    return fit_vectors(x, np.array([r.grade for r in rows], float))
 
 
 def grade(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", at_least: float | None = None) -> DataFrame:

@@ -53,7 +53,7 @@ def test_all_leaves_are_exact(spark, monkeypatch):
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]),
-            (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (2, [0.0, 2.0])]
+            (7, [inf, 1.0]), (8, [None, 1.0]), (None, [1.0, 1.0]), (2, [0.0, 2.0]), (9, [1.0, 0.0, 0.0])]
     frame = spark.createDataFrame([(i, x, 1) for i, x in rows], ROWS)
     found = sorted(map(tuple, neighbours.nearest(frame, 3, frame.where("vec_id in (0, 3, 5, 6)")).collect()))
     assert [r[:3] for r in found] == [(0, 1, 1), (0, 2, 2), (0, 3, 2)]
