@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at a time; a longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 19
 BATCH_ROWS = 1000
 
 #: The bytes that separate words.
