@@ -31,7 +31,7 @@ STEPS = max(max(p) for p in PLACES) + 1
 SHORT = 8
 #: Words of items that are sent to the tasks at once; a larger benchmark takes several passes.
 SENT_WORDS = 2_000_000
-SIEVE = 20
+SIEVE, OWN = 20, 22
 CANDIDATES = 4096
 
 
@@ -63,6 +63,11 @@ def walks(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int, si
     return key, pick
 
 
+def _own(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The place of a word of an item in the table of all such pairs."""
+    return (arrays.mix(words + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - OWN)).astype(np.int64)
+
+
 @dataclass
 class Index:
     """Words of items and the keys of their walks."""
@@ -84,6 +89,8 @@ class Index:
             self.starts.append(starts[pick][order])
             self.sieves.append(self._sieves(starts, ends, turn))
         self.item = np.repeat(np.arange(len(size)), size)
+        self.belongs = np.zeros(1 << OWN, bool)
+        self.belongs[_own(self.words, self.item)] = True
         self.short = {}
         spans = arrays.Spans(self.words)
         for n in sorted(set(size[(size > 0) & (size < SHORT)].tolist())):
@@ -179,6 +186,14 @@ def confirm(index: Index, words: np.ndarray, first: np.ndarray, text, item, begi
     tails = np.append(heads[1:], len(text)) - 1
     low = np.maximum(begin[heads] - allowed[heads], first[text[heads]])
     high = np.minimum(begin[tails] + size[tails] + allowed[tails], first[text[heads] + 1])
+    # a stretch within the allowed edits has all but so many of the item's words
+    own = item[heads]
+    each = high - low
+    shared = index.belongs[_own(words[arrays.ragged(low, each)], np.repeat(own, each))]
+    real = arrays.row_sums(shared, np.concatenate([[0], np.cumsum(each)])) >= size[heads] - allowed[heads]
+    heads, low, high = heads[real], low[real], high[real]
+    if not len(heads):
+        return (np.empty(0, np.int64),) * 4
     out = []
     by_size = np.argsort(size[heads] * 100_000 + (high - low), kind="stable")
     for k in range(0, len(heads), CANDIDATES):
