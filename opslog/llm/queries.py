@@ -97,5 +97,33 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
 }
 
-#: DuckDB twins, where SQL can express the operator.
-SQL: dict[str, str] = {}
+#: DuckDB twins, where SQL can express the operator; the others are held against brute force in the tests.
+SQL: dict[str, str] = {
+    "op6_recompression": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+wins AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM docs)),
+later AS (SELECT doc_id, p FROM wins QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM later),
+words AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM docs),
+kept AS (SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY w.p) AS text
+  FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, cast(len(ws) AS bigint) AS n_words, cast(len(ws) - coalesce(k.n, 0) AS bigint) AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op7_minhash": r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 3
+  THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * common >= 85 * (p.n + q.n - common)),
+reached AS (SELECT doc_id, doc_id AS other FROM docs
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
+SELECT doc_id, cast(coalesce(any_value(n), 0) AS bigint) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+}

@@ -78,8 +78,11 @@ def parse(words: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, ...]
         symbol, row, lo, hi = symbol[keep], row[keep], lo[keep], hi[keep]
 
 
-def anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window: its start, its name, and its fingerprint. ``first`` bounds the texts."""
+def anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """For every window: its start, its name, its fingerprint, and which occurrence of a symbol names it.
+
+    ``first`` bounds the texts; a window without a symbol has occurrence -1.
+    """
     count = np.diff(first)
     starts = arrays.ragged(first[:-1], np.maximum(count - window + 1, 0))
     spans = arrays.Spans(words)
@@ -107,7 +110,7 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarr
     names = np.concatenate(names)
     chosen = best[starts]
     named = np.where(chosen >= 0, names[chosen] if total else 0, arrays.mix(marks + np.uint64(7)))
-    return starts, named.astype(np.uint64), marks
+    return starts, named.astype(np.uint64), marks, chosen
 
 
 def _mark_bytes(marks: np.ndarray) -> np.ndarray:
@@ -121,10 +124,11 @@ def segments(data: np.ndarray, at: np.ndarray, window: int):
         empty = np.empty(0, np.int64)
         return empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
     words = arrays.byte_spans(data).of(starts, ends)
-    begin, name, marks = anchors(words, first, window)
+    begin, name, marks, symbol = anchors(words, first, window)
     text = np.searchsorted(first, begin, "right") - 1
     new = np.ones(len(begin), bool)
-    new[1:] = (name[1:] != name[:-1]) | (begin[1:] != begin[:-1] + 1) | (marks[1:] == marks[:-1])
+    # windows of one row never repeat each other: they see one occurrence at different places
+    new[1:] = (symbol[1:] != symbol[:-1]) | (symbol[1:] < 0) | (begin[1:] != begin[:-1] + 1)
     heads = np.flatnonzero(new)
     size = np.diff(np.append(heads, len(begin)))
     return text[heads], begin[heads] - first[text[heads]], size, name[heads], marks

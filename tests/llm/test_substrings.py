@@ -39,7 +39,7 @@ def corpus(seed, words):
             elif kind < 0.6:
                 text += [rng.choice("ab")] * rng.randint(1, 70)
             elif kind < 0.7:
-                text += ["x", "y"] * rng.randint(1, 40)
+                text += [f"y{i}" for i in range(rng.randint(2, 9))] * rng.randint(1, 20)
             else:
                 text += [f"w{rng.randrange(words)}" for _ in range(rng.randint(1, 50))]
         rows.append((key, rng.choice([" ", "\n", "  \t"]).join(text)))
@@ -65,11 +65,21 @@ def test_equal_windows_have_equal_names():
         for _ in range(300):
             sides = [arrays.mix(rng.integers(0, words, rng.integers(0, 30)).astype(np.uint64)) for _ in range(2)]
             text = np.concatenate([sides[0], passage, sides[1]])
-            starts, names, _ = substrings.anchors(text, np.array([0, len(text)]), 20)
+            starts, names, _, _ = substrings.anchors(text, np.array([0, len(text)]), 20)
             for p, name in zip(starts, names):
                 assert seen.setdefault(text[p:p + 20].tobytes(), name) == name
 
 
+def test_periods_inside_a_text(spark):
+    rng = random.Random(6)
+    rows = []
+    for period in range(1, 30):
+        part = [f"p{rng.randrange(10**6)}" for _ in range(period)]
+        rows.append((period, " ".join(["lead"] * (period % 3) + part * (1 + 80 // period) + ["tail"])))
+    docs = spark.createDataFrame([(k, t, 0) for k, t in rows], DOCS)
+    assert sorted(map(tuple, substrings.remove_repeats(docs).collect()), key=str) == brute(rows, 20)
+
+
 def test_edge_rows(spark):
     long = " ".join(f"v{i % 9000}" for i in range(40_000))
     line = " ".join(f"q{i}" for i in range(20))
