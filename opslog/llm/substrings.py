@@ -30,7 +30,7 @@ MARGIN = 3
 MARK = 6
 #: Rows that a task looks at together before they are shuffled, and different rows of a name among
 #: them from which on it sends the windows of that name one by one.
-BUFFER = 400_000
+BUFFER = 100_000
 MANY = 8
 FAR = np.int64(1 << 40)
 SEGMENT, COVER, SINGLE, OPEN = 0, 1, 2, 3
