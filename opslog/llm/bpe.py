@@ -28,6 +28,8 @@ from opslog.llm import arrays
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: A slice of more bytes is merged by a heap instead of with all others at once.
 LONG = 128
+#: Bits of a byte's position beside its rank: so many bytes of slices are merged at once, more in parts.
+PLACE = 22
 #: Slices kept per worker; when there are more, the store starts anew.
 KEPT = 400_000
 NEVER = np.int64(1 << 40)
@@ -200,7 +202,10 @@ class Encoder:
         return [t for t, ok in zip(ids, alive) if ok]
 
     def merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of slices and how many each has; in every step each slice merges its best pair."""
+        """Ids of slices and how many each has; in every step each slice merges its best pair.
+
+        Slices of up to ``LONG`` bytes may have ``2 ** PLACE`` bytes together.
+        """
         sizes = ends - starts
         count = np.zeros(len(starts), np.int64)
         rows, parts = [], []
@@ -216,23 +221,23 @@ class Encoder:
         ranks[:-1][same] = self.pair_rank(ids[:-1][same], ids[1:][same])
         while len(ids):
             heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            best = np.minimum.reduceat((ranks << 22) | np.arange(len(ids)), heads)
-            done = (best >> 22) >= NEVER
+            best = np.minimum.reduceat((ranks << PLACE) | np.arange(len(ids)), heads)
+            done = (best >> PLACE) >= NEVER
             if done.any():
                 over = np.repeat(done, np.diff(np.append(heads, len(ids))))
                 rows.append(row[over])
                 parts.append(ids[over])
                 shift = np.cumsum(over)
                 keep = ~over
-                at = (best[~done] & ((1 << 22) - 1))
+                at = (best[~done] & ((1 << PLACE) - 1))
                 at -= shift[at]
                 ids, row, ranks = ids[keep], row[keep], ranks[keep]
                 best = best[~done]
             else:
-                at = best & ((1 << 22) - 1)
+                at = best & ((1 << PLACE) - 1)
             if not len(ids):
                 break
-            ids[at] = best >> 22
+            ids[at] = best >> PLACE
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             at -= np.arange(len(at))  # one codeword is dropped per slice, slices stand in order
@@ -258,7 +263,9 @@ class Encoder:
         count = np.ones(len(prints), np.int64)
         hard = np.flatnonzero(ids < 0)
         if len(hard):
-            made, sizes = self.merge(data, starts[hard], ends[hard])
+            at = np.concatenate([[0], np.cumsum(ends[hard] - starts[hard])])
+            parts = [self.merge(data, starts[hard[a:b]], ends[hard[a:b]]) for a, b in arrays.pieces(at, 1 << PLACE)]
+            made, sizes = (np.concatenate(x) for x in zip(*parts))
             count[hard] = sizes
             where = np.cumsum(count) - count
             flat = np.empty(int(count.sum()), np.int64)

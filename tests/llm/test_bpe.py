@@ -49,6 +49,14 @@ def test_long_slices_and_a_full_store(encoder, library, monkeypatch):
         library.encode_ordinary(x) for x in ["one two", "three four five"] * 3]
 
 
+def test_a_text_of_many_different_slices(encoder, library):
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(540_000))
+    assert len(text) > 5_000_000
+    encoder.forget()
+    assert encode(encoder, [text]) == [library.encode_ordinary(text)]
+
+
 def test_classes_of_all_codepoints(encoder, library):
     texts = ["a" + chr(c) + "a1" + chr(c) + "1 " + chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
     assert encode(encoder, texts) == [library.encode_ordinary(x) for x in texts]
