@@ -1,13 +1,14 @@
 """Language model scores: masked pseudo-likelihood by a window network trained in numpy.
 
 Every token is hidden in turn and predicted from the tokens on both sides of it; the sum of the
-logarithms of these conditional chances scores a document. Words are the most frequent ones of the
-whole corpus, all others fall into hashed groups of rare words. The network adds one embedding per place of the
-window, bends the sum, and predicts first the class of the hidden token, then the member of the class.
+logarithms of these conditional chances scores a document. The most frequent words of the whole corpus are
+predicted as such; all others, known or not, by the group of their first byte and then spelled byte by
+byte, so each word has a chance of its own. The network adds one embedding per place of the window, bends
+the sum, and predicts first the class of the hidden token, then the member of the class.
 
 Training is spread: every task takes the present weights, makes its own steps over its documents and
 gives back how far it came; these are averaged by the number of tokens they rest on. All
-documents take part, each with an even share of its tokens as targets, so what is gathered grows with the corpus.
+documents take part, and over the rounds every token is a target, so what is gathered grows with the corpus.
 """
 
 from __future__ import annotations
@@ -26,34 +27,79 @@ CLASSES, MEMBERS, RARE = 32, 32, 64
 SIZE = CLASSES * MEMBERS
 PLACES = (-2, -1, 1, 2)
 WIDTH = 16
-#: One of so many tokens of a document is a target in each round of training.
-EVERY, ROUNDS = 8, 2
+#: One of so many tokens of a document is a target in each round of training, and so many rounds take all of them.
+EVERY = ROUNDS = 2
 BATCH, RATE = 2048, 0.08
 PART = 1 << 16
+#: Symbols of a spelling are the bytes and the end of the word, which also stands for what is before it.
+SYMBOLS, EDGE = 257, 256
+#: A byte is spelled by the three before it, which fall into so many rows, as far as those were met, else by the one before it.
+ROWS, BACK = 1 << 14, 4.0
 SHAPES = {"embed": (len(PLACES), SIZE + 1, WIDTH), "bend": (WIDTH,), "klass": (WIDTH, CLASSES), "klass_bias": (CLASSES,),
           "gate": (CLASSES, WIDTH), "member": (WIDTH, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
 
+def symbols(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of spelled words, the one before each, and the row that the three before each fall into."""
+    size = ends - starts + 1
+    at = arrays.ragged(starts, size)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    symbol = np.where(at < np.repeat(ends, size), low[np.minimum(at, len(low) - 1)], EDGE)
+    before, *more = (np.where(place >= k, low[np.maximum(at - k, 0)], EDGE).astype(np.int64) for k in (1, 2, 3))
+    key = (before | (more[0] << 9) | (more[1] << 18)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return symbol.astype(np.int64), before, (key >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
+
+
+class Spelling:
+    """Chances of spellings, from how often each symbol followed those before it."""
+
+    def __init__(self, counts: np.ndarray):
+        counts = counts.reshape(ROWS + SYMBOLS, SYMBOLS).astype(np.float32)
+        self.far, near = counts[:ROWS], counts[ROWS:]
+        self.met = self.far.sum(axis=1)
+        self.near = (near + np.float32(BACK / SYMBOLS)) / (near.sum(axis=1, keepdims=True) + np.float32(BACK))
+        _, before, row = symbols(np.zeros(1, np.uint8), np.array([0]), np.array([1]))
+        lead = self.chances(np.arange(EDGE), before[0], row[0])
+        self.groups = np.log(np.bincount(np.arange(EDGE) % RARE, lead, RARE))
+
+    def chances(self, symbol, before, row) -> np.ndarray:
+        return (self.far[row, symbol] + BACK * self.near[before, symbol].astype(np.float64)) / (self.met[row] + BACK)
+
+    def of(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Logarithm of the chance of each word among all of its group."""
+        size = ends - starts + 1
+        logs = np.log(self.chances(*symbols(low, starts, ends)))
+        return arrays.row_sums(logs, np.concatenate([[0], np.cumsum(size)])) - self.groups[low[starts] % RARE]
+
+
 @dataclass
 class Words:
-    """Fingerprints of the frequent words, sorted, and their ids."""
+    """Fingerprints of the frequent words, sorted, and their ids; the spelling of all others."""
 
     prints: np.ndarray
     ids: np.ndarray
+    spelling: Spelling | None = None
 
-    def of(self, found: np.ndarray) -> np.ndarray:
-        rare = SIZE - RARE + (found % np.uint64(RARE)).astype(np.int64)
+    def of(self, found: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        rare = SIZE - RARE + lead.astype(np.int64) % RARE
         if not len(self.prints):
             return rare
         at = np.minimum(np.searchsorted(self.prints, found), len(self.prints) - 1)
         return np.where(self.prints[at] == found, self.ids[at], rare)
 
 
-def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of lower-case words and where each text's begin."""
+def tokens(data: np.ndarray, at: np.ndarray):
+    """Fingerprints of lower-case words, where each text's begin, the lower-case bytes and the words' slices."""
     low = lowered(data)
     starts, ends, first = arrays.word_slices(low, at, arrays.IS_BREAK)
-    return arrays.byte_spans(low).of(starts, ends), first
+    return arrays.byte_spans(low).of(starts, ends), first, low, starts, ends
+
+
+def targets(first: np.ndarray, turn: int) -> np.ndarray:
+    """Tokens that are targets in a round; the place of the first differs from text to text, by its length."""
+    size = np.diff(first)
+    place = np.arange(first[-1]) - np.repeat(first[:-1] - (size + turn) % EVERY, size)
+    return np.flatnonzero(place % EVERY == 0)
 
 
 def windows(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -158,7 +204,7 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Words:
     def run(batch: pa.RecordBatch):
         data, at = arrays.buffers(batch.column(0))
         for a, b in arrays.pieces(at):
-            found, _ = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
+            found, *_ = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
             each, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(arrays.signed(each)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
@@ -170,9 +216,38 @@ def vocabulary(docs: DataFrame, text: str = "text") -> Words:
     return Words(prints[order], order)
 
 
+def spelling(docs: DataFrame, words: Words, text: str = "text") -> Spelling:
+    """How all words that are not frequent are spelled, from all documents; the counts have a fixed size."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrays.BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value, np.zeros((ROWS + SYMBOLS) * SYMBOLS, np.int64)
+        for batch in batches:
+            data, at = arrays.buffers(batch.column(0))
+            for a, b in arrays.pieces(at):
+                found, _, low, starts, ends = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
+                if not len(found):
+                    continue
+                rare = known.of(found, low[starts]) >= SIZE - RARE
+                symbol, before, row = symbols(low, starts[rare], ends[rare])
+                np.add.at(counts, row * SYMBOLS + symbol, 1)
+                np.add.at(counts, (before + ROWS) * SYMBOLS + symbol, 1)
+        cell = np.flatnonzero(counts)
+        for a in range(0, len(cell), PART):
+            some = cell[a:a + PART]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["cell", "n"])
+
+    sums = docs.select(F.col(text).cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((ROWS + SYMBOLS) * SYMBOLS, np.float32)
+    counts[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    return Spelling(counts)
+
+
 def improve(docs: DataFrame, words: Words, weights: np.ndarray, turn: int, text: str = "text") -> np.ndarray:
     """One round: weights averaged over all tasks by the number of their targets."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, weights))
+    sent = docs.sparkSession.sparkContext.broadcast((Words(words.prints, words.ids), weights))
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrays.BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +256,9 @@ def improve(docs: DataFrame, words: Words, weights: np.ndarray, turn: int, text:
         for batch in batches:
             data, at = arrays.buffers(batch.column(0))
             for a, b in arrays.pieces(at):
-                found, first = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
-                ids = known.of(found)
-                # the place of the first target differs from text to text, by its length
-                size = np.diff(first)
-                place = np.arange(len(ids)) - np.repeat(first[:-1] - (size + turn) % EVERY, size)
-                target = np.random.default_rng(len(ids)).permutation(np.flatnonzero(place % EVERY == 0))
+                found, first, low, starts, _ = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
+                ids = known.of(found, low[starts])
+                target = np.random.default_rng(len(ids)).permutation(targets(first, turn))
                 for i in range(0, len(target), BATCH):
                     now = target[i:i + BATCH]
                     steps.take(windows(ids, first, now), ids[now])
@@ -209,6 +281,7 @@ def improve(docs: DataFrame, words: Words, weights: np.ndarray, turn: int, text:
 def learn(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Words, np.ndarray]:
     """Vocabulary and weights from all documents. The weights depend on how rows are dealt to tasks."""
     words, weights = vocabulary(docs, text), flat(start())
+    words.spelling = spelling(docs, words, text)
     for turn in range(rounds):
         weights = improve(docs, words, weights, turn, text)
     return words, weights
@@ -226,10 +299,15 @@ def score(docs: DataFrame, model: tuple[Words, np.ndarray], key: str = "doc_id",
     def run(batch: pa.RecordBatch):
         known, values = sent.value
         w = shaped(values)
+        spelled = known.spelling or Spelling(np.zeros((ROWS + SYMBOLS) * SYMBOLS))
         data, at = arrays.buffers(batch.column(1))
         for a, b in arrays.pieces(at):
-            found, first = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
-            chances = log_chances(w, known.of(found), first)
+            found, first, low, starts, ends = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
+            ids = known.of(found, low[starts])
+            chances = log_chances(w, ids, first)
+            rare = np.flatnonzero(ids >= SIZE - RARE)
+            if len(rare):
+                chances[rare] += spelled.of(low, starts[rare], ends[rare])
             total, n = arrays.row_sums(chances, first), np.diff(first)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(n), pa.array(np.where(n > 0, total, 0.0))],

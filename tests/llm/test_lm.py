@@ -66,3 +66,37 @@ def test_edge_rows(spark):
     assert out[3].log_prob == out[4].log_prob < 0 and out[0].log_prob == 0
     empty = spark.createDataFrame([], DOCS)
     assert lm.score(empty, lm.learn(empty)).count() == 0
+
+
+def test_spellings_have_chances_that_sum_to_one():
+    rng = np.random.default_rng(4)
+    spelled = lm.Spelling(rng.integers(0, 3, (lm.ROWS + lm.SYMBOLS) * lm.SYMBOLS) * (rng.random((lm.ROWS + lm.SYMBOLS) * lm.SYMBOLS) < 0.1))
+    for before, row in ((lm.EDGE, 7), (65, 9000)):
+        assert abs(spelled.chances(np.arange(lm.SYMBOLS), before, row).sum() - 1) < 1e-4
+    low = np.frombuffer(b"ab", np.uint8)
+    steps = spelled.chances(*lm.symbols(low, np.array([0]), np.array([2])))
+    fellows = np.array([b for b in range(256) if b % lm.RARE == 97 % lm.RARE])
+    _, before, row = lm.symbols(low, np.array([0]), np.array([2]))
+    share = spelled.chances(fellows, before[0], row[0]).sum()
+    assert abs(spelled.of(low, np.array([0]), np.array([2]))[0] - np.log(steps.prod() / share)) < 1e-6
+
+
+def test_words_beyond_the_frequent_ones_have_chances_of_their_own(spark):
+    parts = ["ba", "do", "ki", "lu", "me", "na", "po", "ri", "su", "te", "va", "zo"]
+    known = [a + b + c for a in parts for b in parts for c in parts]
+    rows = [(i, " ".join(known[i:] + known[:960] * 2), 0) for i in range(0, 1500, 50)]
+    model = lm.learn(spark.createDataFrame(rows, DOCS).repartition(3))
+    rare, rng = known[960:], random.Random(8)
+    strange = ["".join(rng.sample("bdklmnprstvz", 6)) for _ in range(200)]
+    out = lm.score(spark.createDataFrame([(i, w, 0) for i, w in enumerate(rare + strange)], DOCS), model).collect()
+    chance = {(rare + strange)[r.doc_id]: r.log_prob for r in out}
+    assert len(set(chance.values())) > 0.9 * len(chance)
+    assert min(chance[w] for w in rare) > max(chance[w] for w in strange)
+
+
+def test_every_token_is_a_target_once(spark):
+    first = np.concatenate([[0], np.cumsum([1, 2, 0, 3, 1, 9, 40])])
+    met = np.concatenate([lm.targets(first, turn) for turn in range(lm.ROUNDS)])
+    assert sorted(met.tolist()) == list(range(first[-1]))
+    docs = spark.createDataFrame([(i, "word", 0) for i in range(20)], DOCS)
+    assert (lm.learn(docs)[1] != lm.flat(lm.start())).any()
