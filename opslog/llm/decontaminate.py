@@ -3,10 +3,11 @@
 The walk reads words and at each step emits the word under its pointer; a bit of that word's hash,
 another one at each step, says whether the pointer moves on. Two word sequences a few edits apart
 walk in step again soon after each edit, so their outputs differ in few places. A repetition samples
-some places of a walk as its key. Walks begin at every word of an item and at every ``STRIDE``-th
-word of a document, so an item-sized passage offers many aligned walks; that and the repetitions make
-the chance to miss one small. What shares a key is confirmed by the edit distance of the whole item
-to the best stretch of the document around it.
+some places of a walk as its key. Walks begin at every word of items and documents. Random repetitions
+alone would miss some passages, above all short ones with many edits. So a last repetition moves on at
+every step, for as many steps as a run of unedited words has that the allowed edits must leave somewhere
+in an item of its length: ``k`` edits leave at most ``k + 1`` runs. With it the recall is 1. What shares a
+key is confirmed by the edit distance of the whole item to the best stretch of the document around it.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from opslog.llm.toxicity import lowered
 
 #: Edits allowed, as a share of an item's words.
 EDITS = 0.2
-STRIDE = 3
-#: Sampled places of the walk in each repetition; they are what the walk's recall is measured with.
+#: Sampled places of the walk in each random repetition.
 PLACES = ((0, 3, 6, 9), (1, 4, 6, 10), (0, 2, 5, 8), (2, 3, 7, 10))
 STEPS = max(max(p) for p in PLACES) + 1
 #: Items with fewer words are too short for a walk and are looked for unedited.
@@ -33,6 +33,8 @@ SHORT = 8
 SENT_WORDS = 2_000_000
 SIEVE, OWN = 20, 22
 CANDIDATES = 4096
+#: Stretches whose words are compared with the item's at a time.
+STRETCHES = 1 << 15
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +65,16 @@ def walks(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int, si
     return key, pick
 
 
+def allowed_edits(size: np.ndarray) -> np.ndarray:
+    return np.floor(EDITS * size).astype(np.int64)
+
+
+def unedited_run(size: np.ndarray) -> np.ndarray:
+    """Words of the longest unedited run that items of ``size`` words keep at least."""
+    allowed = allowed_edits(size)
+    return -((allowed - size) // (allowed + 1))
+
+
 def _own(words: np.ndarray, item: np.ndarray) -> np.ndarray:
     """The place of a word of an item in the table of all such pairs."""
     return (arrays.mix(words + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - OWN)).astype(np.int64)
@@ -89,10 +101,18 @@ class Index:
             self.starts.append(starts[pick][order])
             self.sieves.append(self._sieves(starts, ends, turn))
         self.item = np.repeat(np.arange(len(size)), size)
+        self.runs = {}
+        spans, run = arrays.Spans(self.words), unedited_run(size)[item]
+        for n in np.unique(run).tolist():
+            begin = starts[(run == n) & (starts + n <= ends)]
+            prints = spans.of(begin, begin + n)
+            order = np.argsort(prints)
+            sieve = np.zeros(1 << OWN, bool)
+            sieve[(prints >> np.uint64(64 - OWN)).astype(np.int64)] = True
+            self.runs[n] = (prints[order], begin[order], sieve)
         self.belongs = np.zeros(1 << OWN, bool)
         self.belongs[_own(self.words, self.item)] = True
         self.short = {}
-        spans = arrays.Spans(self.words)
         for n in sorted(set(size[(size > 0) & (size < SHORT)].tolist())):
             which = np.flatnonzero(size == n)
             prints = spans.of(self.first[which], self.first[which] + n)
@@ -117,14 +137,12 @@ class Index:
     def candidates(self, words: np.ndarray, first: np.ndarray):
         """Text, item, and the word at which the item would begin, for everything that shares a key."""
         size = np.diff(first)
-        starts = np.arange(0, len(words), STRIDE)
-        text = np.searchsorted(first, starts, "right") - 1
+        starts = np.arange(len(words))
+        text = np.repeat(np.arange(len(size)), size)
         ends = first[1:][text]
         found = []
-        for turn, (keys, places) in enumerate(zip(self.keys, self.starts)):
-            if not len(keys) or not len(starts):
-                continue
-            key, pick = walks(words, starts, ends, turn, self.sieves[turn])
+
+        def shared(keys, places, key, pick):
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
             some = high > low
             pick, low, each = pick[some], low[some], (high - low)[some]
@@ -132,6 +150,17 @@ class Index:
             walk = np.repeat(pick, each)
             item = self.item[place]
             found.append((text[walk], item, starts[walk] - (place - self.first[item])))
+
+        for turn, (keys, places) in enumerate(zip(self.keys, self.starts)):
+            if not len(keys) or not len(starts):
+                continue
+            shared(keys, places, *walks(words, starts, ends, turn, self.sieves[turn]))
+        spans = arrays.Spans(words)
+        for n, (keys, places, sieve) in self.runs.items():
+            pick = np.flatnonzero(starts + n <= ends)
+            key = spans.of(pick, pick + n)
+            some = sieve[(key >> np.uint64(64 - OWN)).astype(np.int64)]
+            shared(keys, places, key[some], pick[some])
         if not found:
             return (np.empty(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*found))
@@ -176,7 +205,7 @@ def confirm(index: Index, words: np.ndarray, first: np.ndarray, text, item, begi
     if not len(text):
         return (np.empty(0, np.int64),) * 4
     size = np.diff(index.first)[item]
-    allowed = np.floor(EDITS * size).astype(np.int64)
+    allowed = allowed_edits(size)
     order = np.lexsort((begin, item, text))
     text, item, begin, size, allowed = (x[order] for x in (text, item, begin, size, allowed))
     # candidates of one place are looked at together: a stretch that takes in both
@@ -187,10 +216,12 @@ def confirm(index: Index, words: np.ndarray, first: np.ndarray, text, item, begi
     low = np.maximum(begin[heads] - allowed[heads], first[text[heads]])
     high = np.minimum(begin[tails] + size[tails] + allowed[tails], first[text[heads] + 1])
     # a stretch within the allowed edits has all but so many of the item's words
-    own = item[heads]
-    each = high - low
-    shared = index.belongs[_own(words[arrays.ragged(low, each)], np.repeat(own, each))]
-    real = arrays.row_sums(shared, np.concatenate([[0], np.cumsum(each)])) >= size[heads] - allowed[heads]
+    real = np.empty(len(heads), bool)
+    for k in range(0, len(heads), STRETCHES):
+        now = slice(k, k + STRETCHES)
+        each = (high - low)[now]
+        shared = index.belongs[_own(words[arrays.ragged(low[now], each)], np.repeat(item[heads[now]], each))]
+        real[now] = arrays.row_sums(shared, np.concatenate([[0], np.cumsum(each)])) >= (size - allowed)[heads[now]]
     heads, low, high = heads[real], low[real], high[real]
     if not len(heads):
         return (np.empty(0, np.int64),) * 4

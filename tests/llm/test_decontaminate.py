@@ -78,3 +78,22 @@ def test_edge_rows(spark, monkeypatch, sent):
     found = sorted(tuple(r) for r in dc.find_leaks(docs, bench).collect())
     assert found == [(3, 1, 0), (3, 2, 0), (4, 1, 0), (4, 2, 0), (5, 5, 0), (7, 1, 0), (7, 2, 0)]
     assert dc.find_leaks(docs.limit(0), bench).count() == dc.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [8, 10, 11, 12, 15, 20, 59])
+def test_no_item_within_the_allowed_edits_is_missed(n):
+    rng = np.random.default_rng(n)
+    fresh = lambda k: rng.integers(0, 2**63, k).astype(np.uint64)
+    index = dc.Index(fresh(n * 300), np.arange(301) * n)
+    parts, k = [], int(dc.EDITS * n)
+    for i in range(300):
+        item = index.words[i * n:(i + 1) * n].copy()
+        # half of them with edits far from each other, half anywhere
+        at = ((np.arange(k) + 1) * (n + 1) // (k + 1) - 1) if i % 2 else rng.choice(n, k, replace=False)
+        item[at] = fresh(k)
+        parts.append(np.concatenate([fresh(i % 7), item, fresh(5)]))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    words = np.concatenate(parts)
+    text, item, _, away = dc.confirm(index, words, first, *index.candidates(words, first))
+    assert sorted(set(zip(text.tolist(), item.tolist()))) == [(i, i) for i in range(300)]
+    assert (away == k).all()
