@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslog.llm import bpe, decontaminate, fitting, language, lm, neardup, neighbours, pages, quality, substrings, toxicity
+from opslog.llm import (
+    bpe, decontaminate, fitting, language, lm, neardup, neighbours, packing, pages, quality, substrings, toxicity,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -84,6 +86,10 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_centroid_language": op2_centroid_language,
@@ -95,6 +101,7 @@ QUERIES = {
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_cgk_decontamination": op10_cgk_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
+    "op13_ordered_packing": op13_ordered_packing,
 }
 
 #: DuckDB twins, where SQL can express the operator; the others are held against brute force in the tests.
