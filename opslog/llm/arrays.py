@@ -40,44 +40,105 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(n, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32))
 
 
-_BYTE = seeded(256, 1)
-_BASE = int(seeded(1, 2)[0]) | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; only those for one piece are kept."""
-    have = _POWERS.get("up", np.empty(0, np.uint64))
-    if len(have) >= n:
-        return have, _POWERS["down"]
-    size = max(n, PIECE)
-    made = []
-    for base in (_BASE, _INVERSE):
-        x = np.full(size, base, np.uint64)
-        x[0] = 1
-        made.append(np.multiply.accumulate(x))
-    if size <= 2 * PIECE:
-        _POWERS["up"], _POWERS["down"] = made
-    return made[0], made[1]
+#: Fingerprints are taken in the field of this prime, so two different sequences of n values share one
+#: with a chance of n / PRIME, whatever they hold.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_LOW31, _LOW30, _LOW29 = (np.uint64((1 << n) - 1) for n in (31, 30, 29))
+_U29, _U30, _U31, _U32, _U61 = (np.uint64(n) for n in (29, 30, 31, 32, 61))
+_LOW32 = np.uint64((1 << 32) - 1)
+#: Bytes whose products with a part of a power add up below 2 ** 64.
+_SUMMED = 1 << 23
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo ``PRIME``."""
+    x = (x & _P) + (x >> _U61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo ``PRIME`` of values below it, by halves of 32 bits."""
+    ah, al, bh, bl = a >> _U32, a & _LOW32, b >> _U32, b & _LOW32
+    middle = ah * bl + al * bh
+    low = al * bl
+    return reduced(ah * bh * np.uint64(8) + (middle >> _U29) + ((middle & _LOW29) << _U32)
+                   + (low & _P) + (low >> _U61))
+
+
+def _table(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    have = 1
+    while have < size:
+        more = min(have, size - have)
+        out[have:have + more] = product(out[:more], np.uint64(pow(base, have, PRIME)))
+        have += more
+    return out
+
+
+def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the seed's base and of its inverse; only those for one piece are kept."""
+    have = _POWERS.get(seed)
+    if have and len(have[0]) >= n:
+        return have
+    base = int(seeded(1, seed)[0]) % (PRIME - 2) + 2
+    made = _table(base, max(n, PIECE)), _table(pow(base, -1, PRIME), max(n, PIECE))
+    if n <= 2 * PIECE:
+        if len(_POWERS) > 2:
+            _POWERS.clear()
+        _POWERS[seed] = made
+    return made
+
+
+def _summed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Sums modulo ``PRIME`` from the sums of the parts above and below 31 bits."""
+    high = reduced(high)
+    return reduced((high >> _U30) + ((high & _LOW30) << _U31) + reduced(low))
 
 
 class Spans:
-    """Fingerprints of arbitrary slices of a sequence from one pass of prefix sums."""
+    """Fingerprints of arbitrary slices of a sequence from one pass of prefix sums.
 
-    def __init__(self, values: np.ndarray):
-        up, self.down = _powers(len(values) + 1)
+    Slices of up to 2 ** 31 values; ``seed`` chooses the base of the polynomial.
+    """
+
+    def __init__(self, values: np.ndarray, seed: int = 2):
+        up, self.down = _powers(len(values) + 1, seed)
+        up = up[:len(values)]
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        if values.dtype == np.uint8:  # products with a byte stay short, so sums of many need no remainder
+            carry = np.uint64(0)
+            for i in range(0, len(values), _SUMMED):
+                near = values[i:i + _SUMMED].astype(np.uint64) + np.uint64(1)
+                part = up[i:i + len(near)]
+                sums = _summed(np.cumsum((part >> _U31) * near), np.cumsum((part & _LOW31) * near))
+                self.sums[i + 1:i + 1 + len(near)] = reduced(sums + carry)
+                carry = self.sums[i + len(near)]
+        else:
+            terms = product(reduced(values), up)
+            self.sums[1:] = _summed(np.cumsum(terms >> _U31), np.cumsum(terms & _LOW31))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit fingerprints of ``values[start:end]``, the length included."""
-        raw = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * _M2)
+        """64-bit fingerprints of ``values[start:end]``."""
+        raw = self.sums[ends] + (_P - self.sums[starts])
+        return mix(product(reduced(raw), self.down[starts]))
+
+
+def byte_spans(data: np.ndarray, seed: int = 2) -> Spans:
+    """The spans of bytes; each counts as its value and one, so that the length matters."""
+    return Spans(np.asarray(data, np.uint8), seed)
 
 
-def byte_spans(data: np.ndarray) -> Spans:
-    return Spans(_BYTE[data])
+def same_slices(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``x[x_at:x_at + size]`` equals ``y[y_at:y_at + size]``, byte by byte, for each pair of slices."""
+    same = np.ones(len(sizes), bool)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    for a, b in pieces(at):
+        n = sizes[a:b]
+        differ = x[ragged(x_at[a:b], n)] != y[ragged(y_at[a:b], n)]
+        same[a:b] = row_sums(differ, at[a:b + 1] - at[a]) == 0
+    return same
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
