@@ -215,7 +215,14 @@ class Encoder:
             parts.append(np.array(ids, np.int64))
         short = np.flatnonzero(sizes <= LONG)
         ids = self.of_byte[data[arrays.ragged(starts[short], sizes[short])]]
-        row = np.repeat(short, sizes[short])
+        self.merge_rows(ids, np.repeat(short, sizes[short]), rows, parts)
+        row, ids = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*parts, np.empty(0, np.int64)])
+        at = np.argsort(row, kind="stable")
+        count += np.bincount(row, minlength=len(starts))
+        return ids[at], count
+
+    def merge_rows(self, ids: np.ndarray, row: np.ndarray, rows: list, parts: list) -> None:
+        """Merge all slices of ``ids``, told apart by ``row``; adds finished slices to ``rows`` and ``parts``."""
         ranks = np.full(len(ids), NEVER)
         same = row[1:] == row[:-1]
         ranks[:-1][same] = self.pair_rank(ids[:-1][same], ids[1:][same])
@@ -250,10 +257,6 @@ class Encoder:
                 ranks[joined] = self.pair_rank(ids[joined], ids[joined + 1])
                 if len(ids) and len(ok) and ok[-1] == len(ids) - 1:
                     ranks[-1] = NEVER
-        row, ids = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*parts, np.empty(0, np.int64)])
-        at = np.argsort(row, kind="stable")
-        count += np.bincount(row, minlength=len(starts))
-        return ids[at], count
 
     def learn(self, prints: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Store the ids of new slices; ``prints`` are sorted."""

@@ -54,13 +54,49 @@ def test_places_prefer_ends_and_fill_gaps():
     assert kinds.tolist() == [packing.SENTENCE_END, packing.TEXT_END, packing.OTHER, packing.OTHER, packing.TEXT_END]
 
 
-def test_parts_of_long_texts_give_the_same_ids(monkeypatch):
-    monkeypatch.setattr(packing, "PART", 40)
+def test_chunks_give_the_ids_of_whole_texts():
     with open(PATH, encoding="utf-8") as file:
         coder = packing.Coder(file.read())
-    texts = ["Élan vital.  It's   the\ttest\n\nof many words!" * 9, "x" * 300, "", " ", "á ́b <|endoftext|> c", "\x0b. .\r\n" * 30]
-    for text, ids in zip(texts, coder.encode(texts)):
-        assert ids.tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    texts = ["Élan vital.  It's   the\ttest\n\nof many words!" * 9, "x" * 300, "", " ", "a\u0301 \u0301b <|endoftext|> c",
+             "\x0b. .\r\n" * 30, "(a)b[c]d.e,f;g:h!i?j\"k'll don't 'sure a.'s", "a,\u0301b =\u0338 .\u0338x", "1.5 x2,y3",
+             "<|startoftext|>word.<|endoftext|>", "\u00a0a\u2003b\u3000.c", "ΑΣ. ΑΣ ΣΑ", "İ. ǅ, ﬁ!", "日本語。テキスト"]
+    for known in range(2):  # the second time all chunks are known
+        for group in (texts, texts[::-1]):
+            raw = [t.encode() for t in group]
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            ids, counts = coder.encode(data, np.cumsum([0, *map(len, raw)]))
+            ends = np.cumsum(counts)
+            for i, text in enumerate(group):
+                assert ids[ends[i] - counts[i]:ends[i]].tolist() == coder.tokenizer.encode(
+                    text, add_special_tokens=False).ids, text
+
+
+def test_chunks_of_one_fingerprint_stay_apart(monkeypatch):
+    with open(PATH, encoding="utf-8") as file:
+        coder = packing.Coder(file.read())
+
+    true = packing.keys_of
+
+    def blind(data, starts, ends):
+        keys = true(data, starts, ends)
+        keys[:, 3] %= np.uint64(3)
+        return keys
+
+    monkeypatch.setattr(packing, "keys_of", blind)
+    text = "one two three four five six seven one two. three! averyveryverylongword1 averyveryveryrongword1 averyveryverylongword1"
+    data = np.frombuffer(text.encode() * 2, np.uint8)
+    ids, counts = coder.encode(data, np.array([0, len(text), 2 * len(text)]))
+    own = coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert counts.tolist() == [len(own)] * 2 and ids.tolist() == own * 2
+
+
+def test_long_texts_are_parted_at_white_space(spark, monkeypatch):
+    text = ("some words, and more. " * 90000)[:-1]
+    data = np.frombuffer(text.encode(), np.uint8)
+    bounds = packing.parted(data, np.array([0, 0, len(data), len(data)]))
+    assert len(bounds) > 5 and all(text[b] == " " for b in bounds[2:-2])
+    docs = spark.createDataFrame([(1, ""), (2, text), (3, "")], "doc_id long, text string").coalesce(1)
+    assert check(packing.pack(docs, PATH, 2).collect(), {1: "", 2: text, 3: ""}, 4096) < 4096
 
 
 def check(rows, texts, length):
