@@ -164,6 +164,41 @@ def pieces(at: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def parted(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = IS_SPACE) -> np.ndarray:
+    """The bounds of the texts, and for long ones further bounds before a byte of ``breaks``, where there are any."""
+    more = []
+    for i in np.flatnonzero(np.diff(at) > 2 * PIECE):
+        spots = at[i] + np.flatnonzero(breaks[data[at[i]:at[i + 1]]])
+        found = np.searchsorted(spots, np.arange(at[i] + PIECE, at[i + 1], PIECE))
+        more.append(np.unique(spots[found[found < len(spots)]]))
+    return np.sort(np.concatenate([at, *more])) if more else at
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place as one number, zeros beyond the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit hashes of slices, eight bytes at a time; ``seed`` may differ for each slice."""
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.asarray(seed, np.uint64))
+    wide = lanes(data)
+    left, k = np.arange(len(sizes)), 0
+    while len(left):
+        rest = np.minimum(sizes[left] - k, 8).astype(np.uint64)
+        cut = (np.uint64(8) - rest) * np.uint64(8)
+        out[left] = mix(out[left] + ((wide[starts[left] + k] << cut) >> cut) * _M2)
+        k += 8
+        left = left[sizes[left] > k]
+        if len(left) and k >= 1024:  # very long ones in one pass
+            spans = Spans(data[starts[left].min():ends[left].max()], 4)
+            first = starts[left].min()
+            out[left] = mix(out[left] + spans.of(starts[left] + k - first, ends[left] - first))
+            break
+    return out
+
+
 def word_slices(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = IS_SPACE):
     """Starts and ends of all words, and the index of each row's first word.
 

@@ -282,17 +282,6 @@ def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), np.flatnonzero(last) + 1
 
 
-def parted(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The bounds of the texts, and for long ones further bounds at white space."""
-    more = []
-    for i in np.flatnonzero(np.diff(at) > 2 * arrays.PIECE):
-        spaces = at[i] + np.flatnonzero(arrays.IS_SPACE[data[at[i]:at[i + 1]]])
-        wanted = np.arange(at[i] + arrays.PIECE, at[i + 1], arrays.PIECE)
-        found = np.searchsorted(spaces, wanted)
-        more.append(np.unique(spaces[found[found < len(spaces)]]))
-    return np.sort(np.concatenate([at, *more])) if more else at
-
-
 def places(stops: np.ndarray, text_ends: np.ndarray, total: int, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Where a sequence may end, as counts of ids before, and the kind of each place; 0 is not among them.
 
@@ -448,7 +437,7 @@ def pack(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, key: str
             kind_of[0] = batch.schema.field(0).type
             data, at = arrays.buffers(batch.column(1))
             keys = batch.column(0).to_pylist()
-            bounds = parted(data, at)
+            bounds = arrays.parted(data, at)
             row, held = 0, []
             for a, b in arrays.pieces(bounds):
                 ids, counts = coder.encode(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a])

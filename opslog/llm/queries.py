@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslog.llm import (
-    bpe, decontaminate, fitting, language, lm, neardup, neighbours, packing, pages, quality, substrings, toxicity,
+    bpe, collocations, decontaminate, fitting, language, lm, neardup, neighbours, packing, pages, quality, substrings, toxicity,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -86,6 +86,10 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hat_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_cgk_decontamination": op10_cgk_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
+    "op12_hat_trie": op12_hat_trie,
     "op13_ordered_packing": op13_ordered_packing,
 }
 
@@ -133,4 +138,27 @@ reached AS (SELECT doc_id, doc_id AS other FROM docs
   UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
 SELECT doc_id, cast(coalesce(any_value(n), 0) AS bigint) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
 FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op12_hat_trie": r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(ps) AS p FROM docs)),
+found AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM pieces
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pieces
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM pieces),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM found GROUP BY ALL),
+totals AS (SELECT lang, cast(sum(a) AS bigint) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+longer AS (SELECT lang, part, max(a) AS b FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part
+  FROM cand WHERE k = 3) GROUP BY lang, part),
+left_out AS (SELECT c.lang, c.phrase FROM cand c JOIN longer o ON o.lang = c.lang AND o.part = c.phrase AND 100 * o.b >= 50 * c.a),
+cuts AS (SELECT lang, phrase, a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM cand
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM cand WHERE k = 3),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r,
+  cast((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a) AS bigint) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
+best AS (SELECT * FROM scored ANTI JOIN left_out USING (lang, phrase)
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) QUALIFY rank <= 2000""",
 }

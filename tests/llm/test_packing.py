@@ -93,7 +93,7 @@ def test_chunks_of_one_fingerprint_stay_apart(monkeypatch):
 def test_long_texts_are_parted_at_white_space(spark, monkeypatch):
     text = ("some words, and more. " * 90000)[:-1]
     data = np.frombuffer(text.encode(), np.uint8)
-    bounds = packing.parted(data, np.array([0, 0, len(data), len(data)]))
+    bounds = packing.arrays.parted(data, np.array([0, 0, len(data), len(data)]))
     assert len(bounds) > 5 and all(text[b] == " " for b in bounds[2:-2])
     docs = spark.createDataFrame([(1, ""), (2, text), (3, "")], "doc_id long, text string").coalesce(1)
     assert check(packing.pack(docs, PATH, 2).collect(), {1: "", 2: text, 3: ""}, 4096) < 4096
