@@ -199,6 +199,27 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.ndar
     return out
 
 
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, group: np.ndarray):
+    """Different slices of each group: the index of the first one, how many there are, and the first one's of every slice.
+
+    ``keys`` are equal for equal slices of a group; slices that share a key are told apart by their bytes.
+    """
+    left, sizes = np.arange(len(keys)), ends - starts
+    first_of = np.empty(len(keys), np.int64)
+    examples, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(left):
+        unique, example, which = np.unique(keys[left], return_index=True, return_inverse=True)
+        example = left[example]
+        own = example[which]
+        same = (sizes[own] == sizes[left]) & (group[own] == group[left])
+        same[same] = same_slices(data, starts[left[same]], data, starts[own[same]], sizes[left[same]])
+        first_of[left[same]] = own[same]
+        examples.append(example)
+        counts.append(np.bincount(which[same], minlength=len(unique)))
+        left = left[~same]
+    return np.concatenate(examples), np.concatenate(counts), first_of
+
+
 def word_slices(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = IS_SPACE):
     """Starts and ends of all words, and the index of each row's first word.
 

@@ -169,17 +169,9 @@ class Texts:
             apart = ended[self.starts[1:] - 1] - ended[self.ends[:-1] - 1]
             self.joined[:-1] = (apart == 0) & (row[1:] == row[:-1])
 
-    def words(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Different words, as the index of an example and a count; words that share an id come out apart."""
-        left, sizes = np.arange(len(self.ids)), self.ends - self.starts
-        while len(left):
-            unique, example, which = np.unique(self.ids[left], return_index=True, return_inverse=True)
-            example = left[example]
-            own = example[which]
-            same = (sizes[own] == sizes[left]) & (self.lang[own] == self.lang[left])
-            same[same] = arrays.same_slices(self.data, self.starts[left[same]], self.data, self.starts[own[same]], sizes[left[same]])
-            yield example, np.bincount(which[same], minlength=len(unique))
-            left = left[~same]
+        return arrays.distinct(self.data, self.starts, self.ends, self.ids, self.lang)[:2]
 
 
 def seeds_of(langs: list[str], seed: int) -> np.ndarray:
@@ -221,11 +213,11 @@ def count_words(source: DataFrame, seed: int, id_bits: int = 64) -> DataFrame:
         for batch in batches:
             for part, langs in _texts(batch, seed, id_bits):
                 raw = part.data.tobytes()
-                for example, count in part.words():
-                    for x, i, a, b, n in zip(part.lang[example].tolist(), part.ids[example].tolist(), part.starts[example].tolist(),
-                                             part.ends[example].tolist(), count.tolist()):
-                        key = langs[x], i, raw[a:b]
-                        held[key] = held.get(key, 0) + n
+                example, count = part.words()
+                for x, i, a, b, n in zip(part.lang[example].tolist(), part.ids[example].tolist(), part.starts[example].tolist(),
+                                         part.ends[example].tolist(), count.tolist()):
+                    key = langs[x], i, raw[a:b]
+                    held[key] = held.get(key, 0) + n
                 if len(held) > WORDS_HELD:
                     yield from rows()
         yield from rows()

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslog.llm import (
-    bpe, collocations, decontaminate, fitting, language, lm, neardup, neighbours, packing, pages, quality, substrings, toxicity,
+    bpe, collocations, decontaminate, fitting, language, lm, neardup, neighbours, packing, pages, quality, signatures, substrings,
+    toxicity,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -86,6 +87,10 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_bit_sliced_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 20)
+
+
 def op12_hat_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ QUERIES = {
     "op9_kmeans_tree": op9_kmeans_tree,
     "op10_cgk_decontamination": op10_cgk_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
+    "op11_bit_sliced_bloom": op11_bit_sliced_bloom,
     "op12_hat_trie": op12_hat_trie,
     "op13_ordered_packing": op13_ordered_packing,
 }
@@ -138,6 +144,21 @@ reached AS (SELECT doc_id, doc_id AS other FROM docs
   UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other)
 SELECT doc_id, cast(coalesce(any_value(n), 0) AS bigint) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
 FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+    "op11_bit_sliced_bloom": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+stats AS (SELECT cast(count(*) AS bigint) AS total, cast(sum(len(ts)) AS bigint) AS length FROM docs WHERE len(ts) > 0),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM docs) GROUP BY ALL),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark) GROUP BY ALL),
+weights AS (SELECT term, cast(floor(1000 * ln((2 * total + 2) / (2 * df + 1))) AS bigint) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+lengths AS (SELECT doc_id, 75 + (25 * len(ts) * total) // length AS m FROM docs, stats WHERE len(ts) > 0),
+scores AS (SELECT item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS bigint) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY ALL)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS integer) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20""",
     "op12_hat_trie": r"""
 WITH docs AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
