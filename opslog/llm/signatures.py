@@ -25,15 +25,17 @@ from opslog.session import stage
 STEPS = (1, 2, 3, 5, 9, 17)
 BITS, PLACES = 12, 4
 #: Bits of a block's signatures together, and the most bits of a signature.
-BLOCK, WIDEST = 1 << 23, 1 << 20
+BLOCK, WIDEST = 1 << 19, 1 << 20
 #: Queries that are searched together, and bytes of queries that are sent at once.
 GROUP, SENT_BYTES = 256, 1 << 25
+#: Frequencies from here on are kept beside the others, which have a byte each.
+OFTEN, SPACE = 255, 0x20
 #: Documents of a block that are looked at together, a multiple of 8.
-COLUMNS = 512
+COLUMNS = 256
 #: One block of so many is looked at first.
 FIRST_OF = 16
 
-BLOCK_SCHEMA = "width int, docs int, n binary, terms binary, sizes binary, tf binary, each binary, slices binary"
+BLOCK_SCHEMA = "width int, docs int, n binary, terms binary, tf binary, often binary, each binary, slices binary"
 
 
 def terms_of(data: np.ndarray, at: np.ndarray):
@@ -63,20 +65,20 @@ class Held:
     def clear(self) -> None:
         self.keys: list = []
         self.n: list[int] = []
-        self.parts: list[tuple] = []  # bytes, sizes, frequencies, hashes of a document's terms
+        self.parts: list[tuple] = []  # a document's terms, a space after each, their frequencies and hashes
 
     def block(self) -> tuple:
         """The keys and the columns of the block."""
         bits = np.zeros((self.width, -(-len(self.n) // 8) * 8), np.uint8)
         each = np.array([len(p[1]) for p in self.parts], "<u4")
         doc = np.repeat(np.arange(len(each)), each)
-        tf, hashed = (np.concatenate([p[k] for p in self.parts]) for k in (2, 3))
+        tf, hashed = (np.concatenate([p[k] for p in self.parts]) for k in (1, 2))
         for step, least in enumerate(STEPS):
             on = tf >= least
             for spot in places(hashed[on], step, self.width):
                 bits[spot, doc[on]] = 1
         out = (self.keys, self.width, len(self.n), np.array(self.n, "<i8").tobytes(), b"".join(p[0] for p in self.parts),
-               np.concatenate([p[1] for p in self.parts]).astype("<u4").tobytes(), tf.astype("<u4").tobytes(),
+               np.minimum(tf, OFTEN).astype(np.uint8).tobytes(), tf[tf >= OFTEN].astype("<i8").tobytes(),
                each.tobytes(), np.packbits(bits, axis=1, bitorder="little").tobytes())
         self.clear()
         return out
@@ -111,8 +113,9 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 bounds = np.searchsorted(row[example], np.arange(b - a + 1))
                 steps = np.searchsorted(STEPS, tf, "right")
                 needed = BITS * arrays.row_sums(steps, bounds)
-                sizes = ends[example] - starts[example]
-                pool = low[arrays.ragged(starts[example], sizes)]
+                sizes = ends[example] - starts[example] + 1
+                pool = low[np.minimum(arrays.ragged(starts[example], sizes), len(low) - 1)]
+                pool[np.cumsum(sizes) - 1] = SPACE
                 pool_at = np.concatenate([[0], np.cumsum(sizes)])[bounds]
                 for i in np.flatnonzero(count).tolist():
                     width = min(1 << max(6, int(needed[i] - 1).bit_length()), WIDEST)
@@ -120,7 +123,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                     own = slice(bounds[i], bounds[i + 1])
                     mine.keys.append(keys[a + i])
                     mine.n.append(int(count[i]))
-                    mine.parts.append((pool[pool_at[i]:pool_at[i + 1]].tobytes(), sizes[own], tf[own], hashed[example[own]]))
+                    mine.parts.append((pool[pool_at[i]:pool_at[i + 1]].tobytes(), tf[own], hashed[example[own]]))
                     if len(mine.n) >= mine.limit:
                         yield out(mine.block())
         for mine in held.values():
@@ -138,10 +141,10 @@ class Block:
         self.keys, self.width, self.docs = row.get("keys"), row["width"], row["docs"]
         self.n = np.frombuffer(row["n"], "<i8")
         self.terms = np.frombuffer(row["terms"], np.uint8)
-        self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        self.tf = np.frombuffer(row["tf"], "<u4").astype(np.int64)
+        self.tf = np.frombuffer(row["tf"], np.uint8).astype(np.int64)
+        self.tf[self.tf == OFTEN] = np.frombuffer(row["often"], "<i8")
         self.first = np.concatenate([[0], np.cumsum(np.frombuffer(row["each"], "<u4").astype(np.int64))])
-        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.ends = np.flatnonzero(self.terms == SPACE)  # no term holds one
         self.slices = np.frombuffer(row.get("slices", b""), np.uint8).reshape(self.width, -1)
 
     def found(self, vocabulary: Vocabulary, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +152,7 @@ class Block:
         each = self.first[docs + 1] - self.first[docs]
         entry = arrays.ragged(self.first[docs], each)
         doc = np.repeat(np.arange(len(docs)), each)
-        number = vocabulary.numbers(self.terms, self.at[entry], self.at[entry + 1])
+        number = vocabulary.numbers(self.terms, np.append(0, self.ends + 1)[entry], self.ends[entry])
         hit = number >= 0
         return doc[hit], number[hit], self.tf[entry[hit]]
 
@@ -293,7 +296,8 @@ class Search:
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[Block]:
     for i in range(batch.num_rows):
-        yield Block({n: batch.column(n)[i].as_py() for n in batch.schema.names})
+        row = {n: batch.column(n)[i] for n in batch.schema.names}
+        yield Block({n: x.as_buffer() if isinstance(x, pa.BinaryScalar) else x.as_py() for n, x in row.items()})
 
 
 def frequencies(index: DataFrame, sent) -> DataFrame:

@@ -39,8 +39,8 @@ def made(seed, n):
     weights = [1 / (i + 1) for i in range(len(words))]
     text = lambda size: "".join(w + rng.choice([" ", ",", "-", "\n", "\x7f"]) for w in rng.choices(words, weights, k=size))
     docs = [(i, text(rng.choice([1, 5, 30, 30, 60, 400]))) for i in range(n)]
-    docs += [(n, None), (n + 1, ""), (n + 2, " .\n"), (None, "w1 w2"), *((n + 3 + i, docs[0][1]) for i in range(5))]
-    items = [(i, text(rng.randint(1, 30))) for i in range(12)] + [(20, None), (21, "unknown"), (22, "w1 " * 50), (23, "")]
+    docs += [(n + 9, "most " * 300), (n + 10, "most " * 255 + "w2 " * 254), (n, None), (n + 1, ""), (n + 2, " .\n"), (None, "w1 w2"), *((n + 3 + i, docs[0][1]) for i in range(5))]
+    items = [(i, text(rng.randint(1, 30))) for i in range(12)] + [(20, None), (21, "unknown"), (22, "w1 " * 50), (24, "most"), (23, "")]
     return docs, items
 
 
