@@ -100,7 +100,8 @@ def _summed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 class Spans:
     """Fingerprints of arbitrary slices of a sequence from one pass of prefix sums.
 
-    Slices of up to 2 ** 31 values; ``seed`` chooses the base of the polynomial.
+    Slices of up to 2 ** 31 values; ``seed`` chooses the base of the polynomial. A byte counts as its value
+    and one, so that leading zeros matter.
     """
 
     def __init__(self, values: np.ndarray, seed: int = 2):
@@ -125,11 +126,6 @@ class Spans:
         return mix(product(reduced(raw), self.down[starts]))
 
 
-def byte_spans(data: np.ndarray, seed: int = 2) -> Spans:
-    """The spans of bytes; each counts as its value and one, so that the length matters."""
-    return Spans(np.asarray(data, np.uint8), seed)
-
-
 def same_slices(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether ``x[x_at:x_at + size]`` equals ``y[y_at:y_at + size]``, byte by byte, for each pair of slices."""
     same = np.ones(len(sizes), bool)

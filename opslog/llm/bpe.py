@@ -144,8 +144,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
-        spans = arrays.byte_spans(v.pool)
-        prints = spans.of(v.begins, v.begins + v.sizes)
+        prints = arrays.hashes(v.pool, v.begins, v.begins + v.sizes)
         self.order = np.argsort(prints)
         self.prints = prints[self.order]
         single = np.flatnonzero(v.sizes == 1)
@@ -154,8 +153,8 @@ class Encoder:
         # every split of every token into two tokens is a pair that merges into it
         whole = np.repeat(np.arange(len(v.sizes)), v.sizes - 1)
         cut = arrays.ragged(v.begins + 1, v.sizes - 1)
-        left = self.rank_of(spans.of(v.begins[whole], cut))
-        right = self.rank_of(spans.of(cut, v.begins[whole] + v.sizes[whole]))
+        left, right = (self.rank_of(arrays.hashes(v.pool, a, b), v.pool, a, b)
+                       for a, b in ((v.begins[whole], cut), (cut, v.begins[whole] + v.sizes[whole])))
         real = (left >= 0) & (right >= 0)
         pairs = (left[real] << 20) | right[real]
         at = np.argsort(pairs)
@@ -167,10 +166,15 @@ class Encoder:
         self.where = np.empty(0, np.int64)
         self.count = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
+        self.pool, self.place, self.size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def rank_of(self, prints: np.ndarray) -> np.ndarray:
+    def rank_of(self, prints: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The rank of each slice that is a token, else -1."""
         at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        return np.where(self.prints[at] == prints, self.order[at], -1)
+        rank, v = self.order[at], self.vocabulary
+        same = (self.prints[at] == prints) & (v.sizes[rank] == ends - starts)
+        same[same] = arrays.same_slices(data, starts[same], v.pool, v.begins[rank[same]], v.sizes[rank[same]])
+        return np.where(same, rank, -1)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 20) | right
@@ -262,7 +266,7 @@ class Encoder:
         """Store the ids of new slices; ``prints`` are sorted."""
         if len(self.known) + len(prints) > KEPT:
             self.forget()
-        ids = self.rank_of(prints)
+        ids = self.rank_of(prints, data, starts, ends)
         count = np.ones(len(prints), np.int64)
         hard = np.flatnonzero(ids < 0)
         if len(hard):
@@ -283,6 +287,10 @@ class Encoder:
         self.known = np.insert(self.known, at, prints)
         self.where = np.insert(self.where, at, where)
         self.count = np.insert(self.count, at, count)
+        sizes = ends - starts
+        self.place = np.insert(self.place, at, np.cumsum(sizes) - sizes + len(self.pool))
+        self.size = np.insert(self.size, at, sizes)
+        self.pool = np.concatenate([self.pool, data[arrays.ragged(starts, sizes)]])
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts ``data[at[i]:at[i + 1]]`` and how many each text has."""
@@ -295,7 +303,7 @@ class Encoder:
         starts = begins[boundaries(points, first)]
         del points, begins, first
         ends = np.append(starts[1:], len(data))
-        prints = arrays.byte_spans(data).of(starts, ends)
+        prints = arrays.hashes(data, starts, ends)
         unique, example, which = np.unique(prints, return_index=True, return_inverse=True)
         if len(self.known):
             spot = np.minimum(np.searchsorted(self.known, unique), len(self.known) - 1)
@@ -309,7 +317,18 @@ class Encoder:
             self.learn(unique[new], data, starts[example[new]], ends[example[new]])
         spot = np.searchsorted(self.known, unique)[which]
         count = self.count[spot]
-        ids = self.ids[arrays.ragged(self.where[spot], count)]
+        sizes = ends - starts
+        same = self.size[spot] == sizes
+        same[same] = arrays.same_slices(data, starts[same], self.pool, self.place[spot[same]], sizes[same])
+        other = np.flatnonzero(~same)
+        if not len(other):
+            ids = self.ids[arrays.ragged(self.where[spot], count)]
+        else:  # slices that share a fingerprint with another one
+            made, count[other] = self.merge(data, starts[other], ends[other])
+            where = np.cumsum(count) - count
+            ids = np.empty(int(count.sum()), np.int64)
+            ids[arrays.ragged(where[same], count[same])] = self.ids[arrays.ragged(self.where[spot[same]], count[same])]
+            ids[arrays.ragged(where[other], count[other])] = made
         return ids, arrays.row_sums(count, np.searchsorted(starts, at))
 
 

@@ -41,7 +41,7 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of lower-case words of letters and digits, and where each text's begin."""
     low = lowered(data)
     starts, ends, first = arrays.word_slices(low, at, arrays.IS_BREAK)
-    return arrays.byte_spans(low).of(starts, ends), first
+    return arrays.hashes(low, starts, ends), first
 
 
 def walks(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int, sieves=None):

@@ -92,7 +92,7 @@ def tokens(data: np.ndarray, at: np.ndarray):
     """Fingerprints of lower-case words, where each text's begin, the lower-case bytes and the words' slices."""
     low = lowered(data)
     starts, ends, first = arrays.word_slices(low, at, arrays.IS_BREAK)
-    return arrays.byte_spans(low).of(starts, ends), first, low, starts, ends
+    return arrays.hashes(low, starts, ends), first, low, starts, ends
 
 
 def targets(first: np.ndarray, turn: int) -> np.ndarray:

@@ -39,19 +39,19 @@ _MULTIPLY = (arrays.seeded(HASHES, 11) >> np.uint64(32)).astype(np.uint32) | np.
 _TURN = (arrays.seeded(HASHES, 12) >> np.uint64(32)).astype(np.uint32)
 
 
-def shingles(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all shingles of all texts, and where each text's begin.
+def shingles(data: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all shingles of all texts, and where each text's begin; another seed gives unrelated ones.
 
     A text with fewer words than ``size`` has its whole sequence as one shingle, or none without words.
     """
     data = arrays.LOWER[data]
     starts, ends, first = arrays.word_slices(data, at)
-    words = arrays.byte_spans(data).of(starts, ends)
+    words = arrays.hashes(data, starts, ends, seed)
     count = np.diff(first)
     each = np.where(count >= size, count - size + 1, np.minimum(count, 1))
     begin = arrays.ragged(first[:-1], each)
     end = np.minimum(begin + size, np.repeat(first[1:], each))
-    prints = arrays.Spans(words).of(begin, end) if len(words) else np.empty(0, np.uint64)
+    prints = arrays.Spans(words, 2 + seed).of(begin, end) if len(words) else np.empty(0, np.uint64)
     return prints, np.concatenate([[0], np.cumsum(each)])
 
 
@@ -172,24 +172,34 @@ def _fetch(texts: DataFrame, pairs: DataFrame, have: DataFrame | None) -> DataFr
     return have if lack.isEmpty() else have.union(stage(texts.join(lack, "id"), "texts"))
 
 
+def word_shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
+    """The set of a text as tuples of words."""
+    words = (text or "").encode().translate(bytes(arrays.LOWER)).split(None)
+    return {tuple(words[i:i + size]) for i in range(max(len(words) - size + 1, min(len(words), 1)))}
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, similar: int) -> DataFrame:
     """``a``, ``b`` and whether their full shingle sets are similar enough; ``texts`` has ``id`` and ``text``."""
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("text").alias(f"t_{side}")), side)
 
+    def sets_of(column, seed: int) -> list[np.ndarray]:
+        data, at = arrays.buffers(column)
+        own = []
+        for a, b in arrays.pieces(at):
+            prints, spans = shingles(data[at[a]:at[b]], at[a:b + 1] - at[a], size, seed)
+            own += [np.unique(prints[spans[i]:spans[i + 1]]) for i in range(b - a)]
+        return own
+
     def run(batch: pa.RecordBatch):
-        sets = []
-        for column in (batch.column(2), batch.column(3)):
-            data, at = arrays.buffers(column)
-            own = []
-            for a, b in arrays.pieces(at):
-                prints, spans = shingles(data[at[a]:at[b]], at[a:b + 1] - at[a], size)
-                own += [np.unique(prints[spans[i]:spans[i + 1]]) for i in range(b - a)]
-            sets.append(own)
+        counts = [[(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))
+                   for x, y in zip(*(sets_of(c, seed) for c in batch.columns[2:]))] for seed in (0, 1)]
         good = []
-        for x, y in zip(*sets):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * both >= similar * (len(x) + len(y) - both) and both > 0)
+        for i, (n, other) in enumerate(zip(*counts)):
+            if n != other:  # two shingles share a fingerprint: go by their words
+                x, y = (word_shingles(c[i].as_py(), size) for c in batch.columns[2:])
+                n = len(x), len(y), len(x & y)
+            good.append(100 * n[2] >= similar * (n[0] + n[1] - n[2]) and n[2] > 0)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
 
     kind = pairs.schema["a"].dataType.simpleString()

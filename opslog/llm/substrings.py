@@ -78,15 +78,16 @@ def parse(words: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, ...]
         symbol, row, lo, hi = symbol[keep], row[keep], lo[keep], hi[keep]
 
 
-def anchors(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def anchors(words: np.ndarray, first: np.ndarray, window: int, other: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For every window: its start, its name, its fingerprint, and which occurrence of a symbol names it.
 
-    ``first`` bounds the texts; a window without a symbol has occurrence -1.
+    ``first`` bounds the texts; a window without a symbol has occurrence -1. Names go by ``words``, fingerprints by
+    ``other``, unrelated hashes of the words, so two different words with one hash do not make windows equal.
     """
     count = np.diff(first)
     starts = arrays.ragged(first[:-1], np.maximum(count - window + 1, 0))
     spans = arrays.Spans(words)
-    marks = spans.of(starts, starts + window)
+    marks = (spans if other is None else arrays.Spans(other, 3)).of(starts, starts + window)
     row = np.repeat(np.arange(len(count)), count)
     best = np.full(len(words) + 1, -1)
     names = [np.empty(0, np.uint64)]
@@ -123,8 +124,8 @@ def segments(data: np.ndarray, at: np.ndarray, window: int):
     if not len(starts):
         empty = np.empty(0, np.int64)
         return empty, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    words = arrays.byte_spans(data).of(starts, ends)
-    begin, name, marks, symbol = anchors(words, first, window)
+    words, other = (arrays.hashes(data, starts, ends, seed) for seed in (0, 1))
+    begin, name, marks, symbol = anchors(words, first, window, other)
     text = np.searchsorted(first, begin, "right") - 1
     new = np.ones(len(begin), bool)
     # windows of one row never repeat each other: they see one occurrence at different places

@@ -45,12 +45,11 @@ def tokens(data: np.ndarray, at: np.ndarray):
     """Starts, ends and first token of each text, and the fingerprints of a token's features."""
     low = lowered(data)
     starts, ends, first = arrays.word_slices(low, at, arrays.IS_BREAK)
-    spans = arrays.byte_spans(low)
     size = ends - starts
-    columns = [spans.of(starts, ends)]
+    columns = [arrays.hashes(low, starts, ends)]
     for k in BEGINNINGS:
         # a beginning is told from a word of the same letters; a shorter word has none
-        columns.append(np.where(size > k, spans.of(starts, np.minimum(starts + k, ends)) + np.uint64(k), 0))
+        columns.append(np.where(size > k, arrays.hashes(low, starts, np.minimum(starts + k, ends), k), 0))
     return starts, ends, first, np.stack(columns, axis=1) if len(starts) else np.empty((0, 4), np.uint64)
 
 

@@ -93,3 +93,25 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     assert queries.digest_tokens(docs).count() == 0
     assert bpe.encode(docs.where(F.lit(False)), queries.RANKS).count() == 0
+
+
+def paired(turns=11):
+    """Two words of 2 ** turns letters whose polynomials agree modulo 2 ** 64 for every odd base."""
+    word = "a"
+    for _ in range(turns):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_slices_that_a_polynomial_mixes_up(encoder, library):
+    one, two = paired()
+    texts = [f"{one}\n{two}", two, f"{two} {one}"]
+    assert encode(encoder, texts) == [library.encode_ordinary(x) for x in texts]
+
+
+def test_slices_of_one_fingerprint_stay_apart(library, monkeypatch):
+    true = bpe.arrays.hashes
+    own = bpe.Encoder(bpe.Vocabulary.load(queries.RANKS))
+    monkeypatch.setattr(bpe.arrays, "hashes", lambda *a: true(*a) & np.uint64(3))
+    texts = ["these are some different words of one text", "and of another text, with words"] * 3
+    assert encode(own, texts) == [library.encode_ordinary(x) for x in texts]

@@ -116,3 +116,18 @@ def test_chains_inside_a_bucket(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t, 1, 1) for k, t in rows], DOCS)
     found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, size=3, similar=85).collect()}
     assert found == brute(rows, 3, 85)
+
+
+def test_words_that_a_polynomial_mixes_up(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"{one} {two}"), (4, f"{two} {one}"), (5, one)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=3, similar=85)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_sets_by_their_words():
+    assert neardup.word_shingles("A b  c\td", 3) == {(b"a", b"b", b"c"), (b"b", b"c", b"d")}
+    assert neardup.word_shingles("a b", 3) == {(b"a", b"b")} and neardup.word_shingles(None, 3) == set()

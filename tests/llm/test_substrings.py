@@ -90,3 +90,23 @@ def test_edge_rows(spark):
     want = [x for x in brute([r for r in rows if r[0] != 6], 20)] + [(6, 20, 20, "")] * 2
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_words_that_a_polynomial_mixes_up(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{rest} {one} x"), (4, f"y {rest} {one}")]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.select("doc_id", "n_words", "n_removed", "kept").collect()), key=str) == brute(rows, 20)
+
+
+def test_words_of_one_hash_do_not_make_windows_equal(monkeypatch):
+    true = arrays.hashes
+    monkeypatch.setattr(arrays, "hashes", lambda d, s, e, seed=0: true(d, s, e, seed) & np.uint64(2 ** 64 - 1 if seed else 0))
+    text = b" ".join(f"w{i}".encode() for i in range(60))
+    data = np.frombuffer(text, np.uint8)
+    marks = substrings.segments(data, np.array([0, len(data)]), 20)[4]
+    assert len(set(marks.tolist())) == len(marks) == 41
