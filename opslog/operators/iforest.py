@@ -177,8 +177,8 @@ class Forest:
         parts = [self._walk(dense(indices[s], values[s], self.columns)) for s in self._steps(len(indices))]
         return np.concatenate([np.empty(0), *parts])
 
-    def score_matrix(self, matrix: np.ndarray) -> np.ndarray:
-        """Score of each row of a matrix over the forest's columns."""
+    def score_matrix(self, matrix: np.ndarray, squares: np.ndarray | None = None) -> np.ndarray:
+        """Score of each row of a matrix over the forest's columns; the rows' squared length does not matter."""
         return np.concatenate([np.empty(0), *[self._walk(matrix[s]) for s in self._steps(len(matrix))]])
 
     def _walk(self, matrix: np.ndarray) -> np.ndarray:

@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from opslog.functions import sequence as seq
 from opslog.operators import features as feat
-from opslog.operators.iforest import Forest
+from opslog.operators.iforest import Forest, dense
+from opslog.operators.ocsvm import Machine
 from opslog.operators.sequences import block_history
-from opslog.operators.skew import SPLIT_ROWS
+from opslog.operators.skew import SPLIT_ROWS, skew_join
 from opslog.operators.templates import enrich_logs
 from opslog.session import stage
 from opslog.sources.models import Model
 
+#: A vocabulary of more terms is joined instead of being sent to the tasks.
+SHARED_TERMS = 200_000
+MATRIX_CELLS = 4_000_000
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,9 +32,24 @@ def _next_code(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass(frozen=True)
+class Detector:
+    """A forest or a one-class SVM with its offset: a lower score is an anomaly."""
+
+    scorer: Forest | Machine
+    offset: float
+
+    @staticmethod
+    def load(model: Model) -> Detector:
+        if model.machine is not None:
+            machine = Machine.load(model.machine)
+            return Detector(machine, machine.offset)
+        return Detector(Forest.load(model.forest), model.forest.agg(F.max("offset")).first()[0])
+
+
 @dataclass(frozen=True)
 class SequenceScorer:
-    """Vocabulary, scaler and forest as arrays; scores batches of id sequences.
+    """Vocabulary, scaler and detector as arrays; scores batches of id sequences.
 
     A term of any number of template ids is coded as one fingerprint, so whole
     batches are counted with array operations.
@@ -40,10 +60,11 @@ class SequenceScorer:
     idf: np.ndarray
     n_max: int
     meta: np.ndarray
-    forest: Forest
+    detector: Detector
 
     @staticmethod
     def load(model: Model) -> SequenceScorer:
+        """For a vocabulary of checked size: it is read by the driver and sent to the tasks."""
         vocab = model.vocabulary.select("term", "idx", "idf").toPandas()
         ids = [[int(t[1:]) for t in term.split(" ")] for term in vocab["term"]]
         n_max = max((len(i) for i in ids), default=1)
@@ -53,16 +74,16 @@ class SequenceScorer:
         meta = np.array([[scaler[f"{c}_mean"], scaler[f"{c}_scale"]] for c in feat.META])
         return SequenceScorer(
             codes[order], vocab["idx"].to_numpy()[order], vocab["idf"].to_numpy()[order],
-            n_max, meta, Forest.load(model.forest),
+            n_max, meta, Detector.load(model),
         )
 
-    def matrix(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Feature columns the forest uses, one row per sequence."""
+    def matrix(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Feature columns the detector uses, one row per sequence, and the squared length of all features."""
         lengths = np.array([len(s) for s in sequences])
         raw = np.concatenate(sequences)
         row = np.repeat(np.arange(len(sequences)), lengths)
-        columns = self.forest.columns
-        out = np.zeros((len(sequences), len(columns)))
+        out = np.zeros((len(sequences), len(self.detector.scorer.columns)))
+        squares = np.zeros(len(sequences))
         rows, terms = [], []
         code = np.zeros(len(raw), dtype=np.uint64)
         for n in range(1, self.n_max + 1):
@@ -82,23 +103,26 @@ class SequenceScorer:
             weight = (1.0 + np.log(tf)) * self.idf[at]
             norm = np.sqrt(np.bincount(rows, weights=weight * weight, minlength=len(sequences)))
             self._put(out, rows, self.idx[at], weight / norm[rows])
+            squares[np.unique(rows)] = 1.0
         ids, place = np.unique(raw, return_inverse=True)
         pair = np.unique(row * len(ids) + place)
         counts = [lengths, np.bincount(pair // len(ids), minlength=len(sequences))]
         for i, (mean, scale) in enumerate(self.meta):
             here = np.full(len(sequences), len(self.codes) + i)
-            self._put(out, np.arange(len(sequences)), here, (counts[i] - mean) / scale)
-        return out
+            z = (counts[i] - mean) / scale
+            self._put(out, np.arange(len(sequences)), here, z)
+            squares += z * z
+        return out, squares
 
     def _put(self, out: np.ndarray, rows: np.ndarray, features: np.ndarray, values: np.ndarray) -> None:
-        columns = self.forest.columns
+        columns = self.detector.scorer.columns
         if len(columns):
             at = np.minimum(np.searchsorted(columns, features), len(columns) - 1)
             hit = columns[at] == features
             out[rows[hit], at[hit]] = values[hit]
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
-        return self.forest.score_matrix(self.matrix(sequences))
+        return self.detector.scorer.score_matrix(*self.matrix(sequences))
 
 
 def _code(ids: list[int]) -> int:
@@ -123,18 +147,85 @@ def _score_shared(df: DataFrame, scorer: SequenceScorer) -> DataFrame:
     return df.withColumn("score_sample", score(ids))
 
 
-def load_scorer(model: Model) -> tuple[SequenceScorer, float]:
-    """The arrays of a model and its offset, read once."""
-    return SequenceScorer.load(model), model.forest.agg(F.max("offset")).first()[0]
+def _score_joined(df: DataFrame, model: Model, detector: Detector) -> DataFrame:
+    """Features through joins with the vocabulary, whatever its size; each different sequence is scored once.
+
+    Norms come from all terms; only the features that the detector looks at are gathered, for a forest
+    at most as many as it has nodes. The weights of a linear machine, one a feature, are joined as well.
+    """
+    key = F.sha2(F.array_join("templates", " "), 256)
+    keyed = df.withColumn("_sequence", key)
+    tokens = seq.clean_tokens(F.transform("templates", seq.template_token))
+    sequences = stage(keyed.select(F.col("_sequence").alias("block_id"), tokens.alias("tokens")).dropDuplicates(["block_id"]),
+                      "sequences")
+    n_max = model.vocabulary.agg(F.coalesce(F.max(F.size(F.split("term", " "))), F.lit(1))).first()[0]
+    n_terms = model.vocabulary.count()
+    terms = sequences.select("block_id", F.explode(seq.ngrams(F.col("tokens"), n_max)).alias("term")).groupBy(
+        "block_id", "term").agg(F.count("*").alias("tf"))
+    scaled = feat.scaler_transform(sequences.select(
+        "block_id", F.size("tokens").alias("seq_len"), F.size(F.array_distinct("tokens")).alias("unique_templates")), model.scaler)
+    weights = feat.tfidf_transform(terms, model.vocabulary)
+    if isinstance(detector, Detector):
+        shared = df.sparkSession.sparkContext.broadcast(detector.scorer)
+        wanted = df.sparkSession.createDataFrame([(int(c),) for c in detector.scorer.columns], "idx int")
+        whole = weights.groupBy("block_id").agg(F.lit(1.0).alias("_known"))
+        vectors = feat.assemble_features(weights.join(wanted, "idx", "left_semi"), scaled, n_terms).join(
+            whole, "block_id", "left").join(scaled.select("block_id", *(f"{c}_z" for c in feat.META)), "block_id")
+        squares = F.coalesce("_known", F.lit(0.0)) + sum(F.col(f"{c}_z") * F.col(f"{c}_z") for c in feat.META)
+
+        @F.pandas_udf("double")
+        def score(indices: pd.Series, values: pd.Series, squares: pd.Series) -> pd.Series:
+            columns = shared.value.columns
+            step = max(1, MATRIX_CELLS // max(len(columns), 1))
+            parts = [shared.value.score_matrix(dense(indices[i:i + step], values[i:i + step], columns),
+                                               squares[i:i + step].to_numpy()) for i in range(0, len(indices), step)]
+            return pd.Series(np.concatenate([np.empty(0), *parts]))
+
+        scores = vectors.select("block_id", score("indices", "values", squares).alias("score_sample"))
+    else:
+        linear = model.machine.where("idx >= 0").select("idx", F.col("value").alias("_w"))
+        meta = sum(F.coalesce(F.col(f"_w{i}"), F.lit(0.0)) * F.col(f"{c}_z") for i, c in enumerate(feat.META))
+        for i in range(len(feat.META)):
+            scaled = scaled.withColumn(f"_w{i}", linear.where(F.col("idx") == n_terms + i).select("_w").scalar())
+        sums = weights.join(linear, "idx").groupBy("block_id").agg(F.sum(F.col("weight") * F.col("_w")).alias("_sum"))
+        scores = scaled.join(sums, "block_id", "left").select(
+            "block_id", (F.coalesce("_sum", F.lit(0.0)) + meta).alias("score_sample"))
+    scores = stage(scores.withColumnRenamed("block_id", "_sequence"), "sequence_scores")
+    return skew_join(keyed, scores, "_sequence", "id", "inner").drop("_sequence")
+
+
+@dataclass(frozen=True)
+class JoinedScorer:
+    """A model whose vocabulary is too large to be sent; ``detector`` is None for a linear machine."""
+
+    model: Model
+    detector: Detector | None
+    offset: float
+
+
+def load_scorer(model: Model, shared_terms: int = SHARED_TERMS) -> SequenceScorer | JoinedScorer:
+    """A model made ready for scoring. Up to ``shared_terms`` terms the vocabulary is sent to the tasks, else joined."""
+    if model.vocabulary.count() <= shared_terms:
+        return SequenceScorer.load(model)
+    if model.machine is not None:
+        head = model.machine.select("kernel", (F.col("rho") - F.col("slack")).alias("offset")).first()
+        if head["kernel"] == "linear":
+            return JoinedScorer(model, None, head["offset"])
+    detector = Detector.load(model)
+    return JoinedScorer(model, detector, detector.offset)
 
 
-def score_histories(df: DataFrame, model: Model | tuple[SequenceScorer, float]) -> DataFrame:
+def score_histories(df: DataFrame, model: Model | SequenceScorer | JoinedScorer) -> DataFrame:
     """Score rows that carry their history: sequence, its counts, score and flag.
 
-    ``model`` may be what ``load_scorer`` has read, so that a stream reads it once.
+    ``model`` may be what ``load_scorer`` has made ready, so that a stream does so once. A history without
+    a template counts as the one empty token.
     """
-    scorer, offset = load_scorer(model) if isinstance(model, Model) else model
-    scored = _score_shared(df, scorer)
+    scorer = load_scorer(model) if isinstance(model, Model) else model
+    if isinstance(scorer, SequenceScorer):
+        offset, scored = scorer.detector.offset, _score_shared(df, scorer)
+    else:
+        offset, scored = scorer.offset, _score_joined(df, scorer.model, scorer.detector)
     empty = F.size("tokens") == 0
     return scored.select(
         *[c for c in df.columns if c not in ("tokens", "templates")],
@@ -146,10 +237,10 @@ def score_histories(df: DataFrame, model: Model | tuple[SequenceScorer, float])
     )
 
 
-def score_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def score_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS, shared_terms: int = SHARED_TERMS) -> DataFrame:
     """Parse, look back, build features and score every log."""
     enriched = stage(enrich_logs(logs, model.templates, split_rows), "enriched")
-    return score_histories(block_history(enriched, split_rows=split_rows), model)
+    return score_histories(block_history(enriched, split_rows=split_rows), load_scorer(model, shared_terms))
 
 
 def flag_logs(logs: DataFrame, model: Model, split_rows: int = SPLIT_ROWS) -> DataFrame:

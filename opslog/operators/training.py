@@ -7,16 +7,18 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from opslog.operators import evaluate, features as feat, iforest, ocsvm, sequences as sq
 from opslog.operators.templates import enrich_logs, mine_templates
 from opslog.session import stage
 from opslog.sources.models import Model
 
-# The grid.
+# The grid and the names in its results.
 VECTORIZERS = (("TFIDF-Unigram", 1), ("TFIDF-Bigram", 2), ("TFIDF-Trigram", 3))
 CONTAMINATIONS = (0.015, 0.02, 0.025, 0.03, 0.035)
+FOREST, MACHINE = "IsolationForest", "OC-SVM ({})"
+FOREST_SETTING, MACHINE_SETTING = "cont={}", "nu={}"
 
 
 @dataclass
@@ -78,8 +80,11 @@ class GridResult:
     def leaderboard(self, top: int | None = None) -> DataFrame:
         return evaluate.leaderboard(self.results, top)
 
-    def best(self):
-        """The winning row, by unrounded values, and its model."""
+    def best(self) -> tuple[Row, Model]:
+        """The winning row, by unrounded values, and its model of either kind, ready to be saved.
+
+        A grid that was given no catalogue yields a model without one.
+        """
         row = self.leaderboard(1).first()
         return row, self.models[row["config"]]
 
@@ -104,34 +109,42 @@ def grid_search(tokens: DataFrame, labels: DataFrame, catalog: DataFrame | None
         vectorizer, ngram_max = vectorizers[place]
         config = place * per_vectorizer
         fitted = fit_features(terms, stats, ngram_max)
-        nodes, scores = fit_forest(fitted)
-        names, fits, thresholds, machines = [], {}, [], []
-        for contamination, offset in zip(contaminations, iforest.iforest_offsets(scores, list(contaminations))):
-            names.append((config, "IsolationForest", vectorizer, f"cont={contamination}"))
-            fits[config] = Model(catalog, fitted.vocabulary, fitted.scaler, nodes.withColumn("offset", F.lit(offset)))
-            thresholds.append(F.struct(F.lit(config).alias("config"), F.lit(offset).alias("offset")))
-            config += 1
-        made = scores.select("block_id", "score_sample", F.inline(F.array(*thresholds))).select(
-            "config", "block_id", (F.col("score_sample") < F.col("offset")).cast("int").alias("pred")
-        )
+        names, fits, thresholds, machines, made = [], {}, [], [], []
+        if contaminations:
+            nodes, scores = fit_forest(fitted)
+            for contamination, offset in zip(contaminations, iforest.iforest_offsets(scores, list(contaminations))):
+                names.append((config, FOREST, vectorizer, FOREST_SETTING.format(contamination)))
+                fits[config] = Model(catalog, fitted.vocabulary, fitted.scaler, nodes.withColumn("offset", F.lit(offset)))
+                thresholds.append(F.struct(F.lit(config).alias("config"), F.lit(offset).alias("offset")))
+                config += 1
+            made.append(scores.select("block_id", "score_sample", F.inline(F.array(*thresholds))).select(
+                "config", "block_id", (F.col("score_sample") < F.col("offset")).cast("int").alias("pred")))
         if nus and kernels:
             machine = ocsvm.ocsvm_fit(fitted.features, fitted.n_features, nus, kernels)
             for nu in nus:
                 for kernel in kernels:
-                    names.append((config, f"OC-SVM ({kernel})", vectorizer, f"nu={nu}"))
-                    fits[config] = {"kernel": kernel, "nu": nu, **machine}
+                    names.append((config, MACHINE.format(kernel), vectorizer, MACHINE_SETTING.format(nu)))
+                    fits[config] = Model(catalog, fitted.vocabulary, fitted.scaler,
+                                         machine=ocsvm.machine_table(spark, machine[kernel, nu]))
                     machines.append(F.when((F.col("kernel") == kernel) & (F.col("nu") == nu), config))
                     config += 1
             predicted = ocsvm.ocsvm_predict(fitted.features, machine)
-            made = made.unionByName(predicted.select(F.coalesce(*machines).alias("config"), "block_id", "pred"))
+            made.append(predicted.select(F.coalesce(*machines).alias("config"), "block_id", "pred"))
         return names, fits, made
 
     with ThreadPool(len(vectorizers)) as pool:
         parts = pool.map(inheritable_thread_target(spark)(fit), range(len(vectorizers)))
-    predictions = reduce(DataFrame.unionByName, [made for _, _, made in parts])
+    predictions = reduce(DataFrame.unionByName, [df for _, _, made in parts for df in made])
     judged = sq.label_blocks(predictions, labels.select("block_id", "true_label"))
     metrics = stage(evaluate.classification_metrics(judged, ["config"]), "metrics")
     settings = spark.createDataFrame(
         [name for names, _, _ in parts for name in names], "config int, model string, vectorizer string, param string"
     )
     return GridResult(settings.join(metrics, "config"), {c: m for _, fits, _ in parts for c, m in fits.items()})
+
+
+def train_best(logs: DataFrame, labels: DataFrame, catalog: DataFrame | None = None, **grid) -> tuple[Row, Model]:
+    """From logs and block labels to the best model of the grid: mine, enrich, search. The row names its setting."""
+    catalog = stage(mine_templates(logs), "catalog") if catalog is None else catalog
+    tokens = stage(sq.block_tokens(enrich_logs(logs, catalog)), "tokens")
+    return grid_search(tokens, labels, catalog, **grid).best()

@@ -1,13 +1,14 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opslog.functions import sequence as seq
 from opslog.operators import evaluate, features as feat, iforest, ocsvm, scoring, templates as tpl, training
 from opslog.operators import sequences as sq
+from opslog.sources import models
 
 
 @pytest.fixture(scope="module")
@@ -97,20 +98,78 @@ def test_equal_rows_give_one_leaf(spark):
     assert iforest.iforest_score(same, nodes).select("score_sample").distinct().count() == 1
 
 
-def test_one_class_svm_share(cloud):
-    model = ocsvm.ocsvm_fit(cloud, 3, nus=(0.02, 0.1), steps=6)
-    got = ocsvm.ocsvm_predict(cloud, model).groupBy("kernel", "nu").agg(F.sum("pred").alias("n")).collect()
-    assert {(r["kernel"], r["nu"]): r["n"] for r in got} == {
-        (k, nu): math.floor(nu * 505) for k in ("rbf", "linear") for nu in (0.02, 0.1)
-    }
+def pairwise(kernel, nu, steps=200_000):
+    """The dual by moving weight between the two rows that violate optimality most."""
+    n = len(kernel)
+    cap, a = 1 / (nu * n), np.full(n, 1 / n)
+    grad = kernel @ a
+    for _ in range(steps):
+        up, down = np.flatnonzero(a < cap * (1 - 1e-12)), np.flatnonzero(a > 1e-15)
+        i, j = up[np.argmin(grad[up])], down[np.argmax(grad[down])]
+        if grad[j] - grad[i] < 1e-9:
+            break
+        move = min((grad[j] - grad[i]) / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12), cap - a[i], a[j])
+        a[i] += move
+        a[j] -= move
+        grad += move * (kernel[i] - kernel[j])
+    free = (a > cap * 1e-6) & (a < cap * (1 - 1e-6))
+    return grad, (grad[free].mean() if free.any() else (grad[a > 0].max() + grad[a < cap * 0.5].min()) / 2)
+
+
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_one_class_svm_equals_another_solver(spark, shift):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(shift, 1, (190, 4)), rng.normal(shift + 5, 1, (10, 4))])
+    x[rng.random(x.shape) < 0.2] = 0.0
+    x[:20] = x[20:40]  # repeated rows
+    rows = [(f"b{i:03}", np.flatnonzero(r).tolist(), r[r != 0].tolist()) for i, r in enumerate(x)]
+    features = spark.createDataFrame(rows, "block_id string, indices array<int>, values array<double>").repartition(3)
+    nus = (0.03, 0.1, 0.5)
+    fitted = ocsvm.ocsvm_fit(features, 4, nus)
+    found = {(r["kernel"], r["nu"], r["block_id"]): (r["margin"], r["pred"]) for r in ocsvm.ocsvm_predict(features, fitted).collect()}
+    gamma = 1 / (4 * x.var())
+    kernels = {"linear": x @ x.T, "rbf": np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2))}
+    for (name, nu), machine in fitted.items():
+        mean = np.diag(kernels[name]).mean()
+        square = 2 * abs(machine.rho) + 1e-4 * mean
+        assert machine.gap <= ocsvm.GAP * square * 10
+        margin, rho = pairwise(kernels[name], nu)
+        own = np.array([found[name, nu, f"b{i:03}"][0] for i in range(200)])
+        assert np.abs(own - margin).max() < 0.02 * max(np.abs(margin).max(), 0.05 * mean)
+        clear = np.abs(margin - rho) > 3 * machine.slack + 1e-6
+        pred = np.array([found[name, nu, f"b{i:03}"][1] for i in range(200)])
+        assert (pred[clear] == (margin < rho)[clear]).all() and pred.sum() <= nu * 200
+        if machine.rho > 1e-3 * mean:
+            assert abs(machine.rho - rho) < 0.01 * rho and (clear | (pred == 0)).all()
 
 
 def test_rbf_svm_finds_planted_outliers(cloud):
-    model = ocsvm.ocsvm_fit(cloud, 3, nus=(0.02,), kernels=("rbf",))
+    """At nu = 0.02 the optimum, by either solver, has some of the five on the margin, which is not below it."""
+    model = ocsvm.ocsvm_fit(cloud, 3, nus=(0.05,), kernels=("rbf",))
     flagged = {r["block_id"] for r in ocsvm.ocsvm_predict(cloud, model).where("pred = 1").collect()}
     assert {f"out{i}" for i in range(5)} <= flagged
 
 
+def test_mixture_is_the_best():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        points, share = rng.normal(1, 1, (8, 3)), np.append(rng.uniform(0, 2, 6), [0.0, 3.0])
+        b, rho = ocsvm.best_mixture(points @ points.T, share)
+        assert b.min() > -1e-9 and abs(b.sum() - 1) < 1e-8 and abs(share @ b - 1) < 1e-8
+        slope = points @ points.T @ b - rho * share  # least and equal wherever b is used
+        assert (slope[b > 1e-6] <= slope.min() + 1e-5).all()
+
+
+@pytest.mark.parametrize("kernel", ["linear", "rbf"])
+def test_a_machine_is_stored(spark, cloud, kernel):
+    machine = ocsvm.ocsvm_fit(cloud, 3, nus=(0.1,), kernels=(kernel,))[kernel, 0.1]
+    again = ocsvm.Machine.load(ocsvm.machine_table(spark, machine))
+    pdf = cloud.toPandas()
+    margins = machine.margins(pdf["indices"], pdf["values"])
+    assert np.abs(again.margins(pdf["indices"], pdf["values"]) - margins).max() < 1e-12
+    assert again.offset == machine.offset and (margins < machine.offset).sum() <= 0.1 * 505
+
+
 def test_metrics(spark):
     rows = [(0, 1, 1), (0, 0, 1), (0, 1, 0), (0, 0, 0), (1, 1, 0), (1, 0, 0)]
     got = {r["config"]: r for r in evaluate.classification_metrics(
@@ -221,30 +280,40 @@ def corpus(spark, make_logs):
     return make_logs(rows)
 
 
-def joined_scores(df, model):
-    """Scores through joins with the vocabulary, one row a term."""
-    n_terms = model.vocabulary.count()
-    n_max = model.vocabulary.agg(F.max(F.size(F.split("term", " ")))).first()[0]
-    keyed = df.select(F.col("id").cast("string").alias("block_id"), seq.clean_tokens(F.col("tokens")).alias("t"))
-    terms = keyed.select("block_id", F.explode(seq.ngrams(F.col("t"), n_max)).alias("term")).groupBy(
-        "block_id", "term").agg(F.count("*").alias("tf"))
-    stats = keyed.select(
-        "block_id", F.size("t").alias("seq_len"), F.size(F.array_distinct("t")).alias("unique_templates"))
-    vectors = feat.assemble_features(
-        feat.tfidf_transform(terms, model.vocabulary), feat.scaler_transform(stats, model.scaler), n_terms)
-    offset = model.forest.agg(F.max("offset")).first()[0]
-    return {int(r["block_id"]): r["score_sample"] - offset for r in iforest.iforest_score(vectors, model.forest).collect()}
+def term_loop_scores(df, model):
+    """Features of each history term by term, with a plain dictionary as the vocabulary."""
+    known = {r["term"]: (r["idx"], r["idf"]) for r in model.vocabulary.collect()}
+    n_max = max(len(t.split(" ")) for t in known)
+    scaler, out = model.scaler.first(), []
+    for r in df.select("id", "tokens").collect():
+        tokens = r["tokens"] or ["E0"]
+        grams = Counter(" ".join(tokens[i:i + n]) for n in range(1, n_max + 1) for i in range(len(tokens) - n + 1))
+        raw = {known[t][0]: (1 + math.log(tf)) * known[t][1] for t, tf in grams.items() if t in known}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        cells = [(i, v / norm) for i, v in sorted(raw.items())]
+        for k, n in enumerate((len(tokens), len(set(tokens)))):
+            c = feat.META[k]
+            cells.append((len(known) + k, (n - scaler[f"{c}_mean"]) / scaler[f"{c}_scale"]))
+        out.append((r["id"], [i for i, _ in cells], [v for _, v in cells]))
+    indices, values = [x[1] for x in out], [x[2] for x in out]
+    if model.machine is not None:
+        machine = ocsvm.Machine.load(model.machine)
+        scores, offset = machine.margins(indices, values), machine.offset
+    else:
+        scores, offset = iforest.Forest.load(model.forest).score(indices, values), model.forest.agg(F.max("offset")).first()[0]
+    return {x[0]: float(s) - offset for x, s in zip(out, scores)}
 
 
 @pytest.mark.parametrize("ngram_max,shift", [(1, 0), (3, 0), (3, 2_000_000)])
-def test_scores_equal_those_of_joins(spark, corpus, ngram_max, shift):
+def test_scores_equal_those_of_a_loop(spark, corpus, ngram_max, shift):
     catalog = tpl.template_catalog(corpus).withColumn("template_id", F.col("template_id") + shift)
     model = training.train_model(corpus, ngram_max=ngram_max, catalog=catalog)
     shared = {r["id"]: r for r in scoring.score_logs(corpus, model).collect()}
-    joined = joined_scores(sq.block_history(tpl.enrich_logs(corpus, catalog)), model)
-    assert shared.keys() == joined.keys() and len(shared) == corpus.count()
+    joined = {r["id"]: r for r in scoring.score_logs(corpus, model, shared_terms=0).collect()}
+    looped = term_loop_scores(sq.block_history(tpl.enrich_logs(corpus, catalog)), model)
+    assert shared.keys() == joined.keys() == looped.keys() and len(shared) == corpus.count()
     for i, row in shared.items():
-        assert abs(row["score"] - joined[i]) < 1e-9
+        assert abs(row["score"] - looped[i]) < 1e-9 and abs(joined[i]["score"] - looped[i]) < 1e-9
         assert row["seq_len"] == len(row["sequence"].split(" "))
         assert row["unique_templates"] == len(set(row["sequence"].split(" ")))
     flagged = {i for i, r in shared.items() if r["is_anomaly"]}
@@ -255,6 +324,58 @@ def test_scores_equal_those_of_joins(spark, corpus, ngram_max, shift):
         scoring.incident_gate(corpus)
 
 
+@pytest.fixture(scope="module")
+def machine_grid(spark, corpus):
+    """A grid of machines only, over logs with labels."""
+    labels = spark.createDataFrame([(f"blk_{b}", int(b % 40 == 0)) for b in range(120)], "block_id string, true_label int")
+    catalog = tpl.template_catalog(corpus)
+    tokens = sq.block_tokens(tpl.enrich_logs(corpus, catalog))
+    return training.grid_search(tokens, labels, catalog, vectorizers=training.VECTORIZERS[1:2], contaminations=(), nus=(0.05,))
+
+
+@pytest.mark.parametrize("config", [0, 1])
+def test_a_machine_scores_saved_and_loaded(spark, corpus, machine_grid, tmp_path, config):
+    model = machine_grid.models[config]
+    kernel = model.machine.first()["kernel"]
+    assert kernel == ocsvm.KERNELS[config]
+    models.save_model(model, str(tmp_path))
+    loaded = models.load_model(spark, str(tmp_path))
+    assert loaded.forest is None
+    shared = {r["id"]: r for r in scoring.score_logs(corpus, loaded).collect()}
+    joined = {r["id"]: r for r in scoring.score_logs(corpus, loaded, shared_terms=0).collect()}
+    looped = term_loop_scores(sq.block_history(tpl.enrich_logs(corpus, model.templates)), model)
+    assert shared.keys() == joined.keys() == looped.keys()
+    for i in shared:
+        assert abs(shared[i]["score"] - looped[i]) < 1e-9 and abs(joined[i]["score"] - looped[i]) < 1e-9
+
+
+def test_the_best_of_a_grid_is_saved_from_logs(spark, corpus, tmp_path):
+    labels = spark.createDataFrame([(f"blk_{b}", int(b % 40 == 0)) for b in range(120)], "block_id string, true_label int")
+    row, model = training.train_best(corpus, labels, vectorizers=training.VECTORIZERS[:1], contaminations=(0.025,), nus=(0.03,),
+                                     kernels=("rbf",))
+    models.save_model(model, str(tmp_path))
+    loaded = models.load_model(spark, str(tmp_path))
+    assert loaded.parts[-1] == ("forest" if row["model"] == training.FOREST else "machine")
+    raised = scoring.incident_gate(corpus, loaded).select("block_id").distinct().collect()
+    assert {r["block_id"] for r in raised} & {"blk_0", "blk_40", "blk_80"}
+
+
+def test_a_model_is_published_at_once(spark, corpus, tmp_path):
+    def model(n):
+        return models.Model(**{name: spark.range(n) for name in models.PARTS})
+
+    path = str(tmp_path)
+    models.save_model(model(1), path)
+    broken = models.Model(spark.range(9), spark.range(9), spark.range(9), spark.range(9).select(F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        models.save_model(broken, path)
+    assert models.load_model(spark, path).templates.count() == 1
+    models.save_model(model(2), path)
+    assert models.load_model(spark, path).forest.count() == 2
+    with pytest.raises(ValueError, match="forest"):
+        models.save_model(models.Model(*[spark.range(1)] * 3), path)
+
+
 def test_training_finds_odd_blocks(spark, corpus):
     catalog = tpl.template_catalog(corpus)
     tokens = sq.block_tokens(tpl.assign_templates(corpus, catalog))
