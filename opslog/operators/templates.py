@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
@@ -80,6 +82,16 @@ def _tokens(masked):
     return F.split(masked, "[ \t]+")
 
 
+def masked_tokens(masked: str) -> list[str]:
+    """The tokens of one masked message, as ``_tokens`` makes them."""
+    return re.split("[ \t]+", masked)
+
+
+def leaf_key(masked, depth: int = DEPTH):
+    """The leaf of a masked message."""
+    return _leaf_key(_tokens(masked), depth)
+
+
 def _leaf_key(tokens, depth):
     """Token count and the first tokens; tokens with a digit or wildcard stand for any token."""
     head = F.transform(
@@ -89,7 +101,7 @@ def _leaf_key(tokens, depth):
     return F.concat_ws(" ", F.size(tokens).cast("string"), head)
 
 
-def _coded(*groups) -> list[np.ndarray]:
+def coded(*groups) -> list[np.ndarray]:
     """Token lists of equal length as integers; wildcards are 0 and -1 so that they equal nothing."""
     codes: dict[str, int] = {}
     out = []
@@ -107,7 +119,7 @@ def lead(messages: list[list[str]], threshold: float) -> np.ndarray:
     ``threshold`` of its places, or else becomes a leader itself. A wildcard
     equals nothing.
     """
-    rows, others = _coded(messages, messages)
+    rows, others = coded(messages, messages)
     out = np.empty(len(rows), dtype=np.int64)
     leaders: list[int] = []
     for i, row in enumerate(others):
@@ -139,7 +151,7 @@ def _earliest(rows: DataFrame, leaders: DataFrame, threshold: float) -> DataFram
         if pdf.empty or heads.empty:
             return pd.DataFrame({"masked": [], "leader": []})
         heads = heads.sort_values("place")
-        rows, own = _coded(pdf["tokens"], heads["tokens"])
+        rows, own = coded(pdf["tokens"], heads["tokens"])
         need, found = threshold * rows.shape[1], np.full(len(rows), -1, dtype=np.int64)
         for i, row in enumerate(rows):
             hit = np.flatnonzero((own == row).sum(axis=1) >= need)

@@ -16,7 +16,7 @@ from opslog.operators.ranking import ranked
 from opslog.plans import fixtures as fx
 from opslog.session import new_path, stage
 from opslog.sources import lines as ln, models, tables
-from opslog.streaming import history, jobs
+from opslog.streaming import chain, history, jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1066,6 +1066,33 @@ def stream_block_state(spark, d):
     )
 
 
+CHAIN = ("valid", "rejected", "catalog", "scored", "incidents", "scratch")
+CHAIN_SQL = "WITH " + CATALOG_SQL + fx.REQUESTS_SQL[len(fx.LOGS_SQL):] + f""",
+ok AS (SELECT id FROM requests WHERE length(source_host) BETWEEN 1 AND 100 AND log_level IN ('ERROR','WARN','INFO') AND length(raw_message) >= 1),
+middle AS (SELECT epoch_us(min(timestamp)) + (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 2 AS mid FROM logs),
+halves AS (SELECT tlogs.*, list_distinct(regexp_extract_all(raw_message, '(blk_-?[0-9]+)', 1)) AS blocks, {BLOCK_SQL} AS block_id, epoch_us(timestamp) >= (SELECT mid FROM middle) AS half
+  FROM tlogs SEMI JOIN ok ON ok.id = tlogs.id),
+mentioned AS (SELECT half, unnest(blocks) AS block_id, timestamp, id, template_id FROM halves),
+earliest AS (SELECT *, row_number() OVER (PARTITION BY half, block_id ORDER BY timestamp, id) AS rn FROM mentioned QUALIFY rn <= 250),
+seen AS (SELECT o.id, o.template_id, o.block_id,
+  concat_ws(' ', string_agg('E' || e.template_id, ' ' ORDER BY e.timestamp, e.id), 'E' || any_value(o.template_id)) AS sequence, count(e.id) + 1 AS seq_len
+  FROM halves o LEFT JOIN earliest e ON o.block_id = e.block_id AND o.half = e.half
+  AND (e.timestamp < o.timestamp OR (e.timestamp = o.timestamp AND e.id < o.id)) GROUP BY o.id, o.template_id, o.block_id)
+SELECT id, template_id, block_id, sequence, seq_len, cast(len(list_distinct(string_split(sequence, ' '))) AS bigint) AS unique_templates FROM seen"""
+
+
+@query(CHAIN_SQL)
+def request_chain(spark, d):
+    """Requests to scored logs in one stream, with the later half coming in first."""
+    source, checkpoint, *names = _paths(spark, "chain", "in", "checkpoint", *CHAIN)
+    requests = fx.ingest_requests(spark, d)
+    where = dict(zip(CHAIN, names))
+    model = trained(spark, d)[1]
+    feed(requests, source, 2, lambda stream: chain.request_chain(stream, model, where, checkpoint), late=True)
+    return spark.read.parquet(where["scored"]).select(
+        "id", "template_id", "block_id", "sequence", big("seq_len", "seq_len"), big("unique_templates", "unique_templates"))
+
+
 @query()
 def stream_incidents(spark, d):
     source, out, state, checkpoint = _paths(spark, "raised", "in", "out", "state", "checkpoint")
