@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ from opslog.session import by_key, stage
 DEPTH = 4
 SIM_THRESHOLD = 0.4
 #: Messages of a leaf that are led together in a round, and compared together in one task.
-ROUND_ROWS = 1_000
+ROUND_ROWS = 10_000
 LEAF_ROWS = 2_000
 
 CATALOG = T.StructType([
@@ -108,7 +110,7 @@ def coded(*groups) -> list[np.ndarray]:
     for side, group in enumerate(groups):
         codes[WILDCARD] = -side
         rows = [[codes.setdefault(t, len(codes) + 1) for t in tokens] for tokens in group]
-        out.append(np.array(rows, dtype=np.int64).reshape(len(rows), -1))
+        out.append(np.array(rows, dtype=np.int32).reshape(len(rows), -1))
     return out
 
 
@@ -120,14 +122,16 @@ def lead(messages: list[list[str]], threshold: float) -> np.ndarray:
     equals nothing.
     """
     rows, others = coded(messages, messages)
-    out = np.empty(len(rows), dtype=np.int64)
-    leaders: list[int] = []
-    for i, row in enumerate(others):
-        same = (rows[leaders] == row).sum(axis=1) >= threshold * rows.shape[1]
-        hit = np.flatnonzero(same)
-        out[i] = leaders[hit[0]] if len(hit) else i
-        if not len(hit):
-            leaders.append(i)
+    n, width = rows.shape
+    out = np.empty(n, dtype=np.int64)
+    heads, places, found = np.empty((n, width), dtype=np.int32), np.empty(n, dtype=np.int64), 0
+    for i in range(n):
+        hit = np.flatnonzero((heads[:found] == others[i]).sum(axis=1) >= threshold * width)
+        if len(hit):
+            out[i] = places[hit[0]]
+        else:
+            out[i], heads[found], places[found] = i, rows[i], i
+            found += 1
     return out
 
 
@@ -197,16 +201,34 @@ def mine_templates(logs: DataFrame, depth: int = DEPTH, sim_threshold: float = S
         "place", "leaf", "masked", "tokens", "n"), "masks")
     pending, led = every, None
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        leaders = lead([list(t) for t in pdf["tokens"]], sim_threshold)
-        return pd.DataFrame({"masked": pdf["masked"], "leader": pdf["place"].to_numpy()[leaders]})
+    def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Lead the leaves of a task, which come one after another in order."""
+        held = pd.DataFrame({"leaf": [], "place": [], "masked": [], "tokens": []})
+        for pdf in chain(batches, [None]):
+            last = pdf is None
+            held = held if last else pd.concat([held, pdf], ignore_index=True)
+            if held.empty:
+                continue
+            leaf = held["leaf"].to_numpy()
+            bounds = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+            whole = len(held) if last else bounds[-1]  # the last leaf may go on
+            bounds = np.append(bounds[bounds < whole], whole)
+            tokens, place = held["tokens"].to_numpy(), held["place"].to_numpy()
+            out = [a + lead([list(t) for t in tokens[a:b]], sim_threshold) for a, b in zip(bounds[:-1], bounds[1:])]
+            if out:
+                yield pd.DataFrame({"masked": held["masked"].to_numpy()[:whole], "leader": place[np.concatenate(out)]})
+            held = held.iloc[whole:]
 
     order = W.partitionBy("leaf").orderBy("place")
     while True:
         head = stage(pending.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= round_rows).drop("_row"),
                      "head")
-        own = stage(by_key(head, "leaf").groupBy("leaf").applyInPandas(group, "masked string, leader long"), "led")
+        # a leaf's only message leads itself; the other leaves stand in order in their tasks
+        size = F.count("*").over(W.partitionBy("leaf"))
+        sized = by_key(head, "leaf").withColumn("_size", size)
+        alone = sized.where(F.col("_size") == 1).select("masked", F.col("place").alias("leader"))
+        own = stage(alone.unionByName(sized.where(F.col("_size") > 1).select("leaf", "place", "masked", "tokens").sortWithinPartitions(
+            "leaf", "place").mapInPandas(group, "masked string, leader long")), "led")
         led = own if led is None else led.unionByName(own)
         last = head.groupBy("leaf").agg(F.max("place").alias("_last"))
         rest = stage(pending.join(last, "leaf").where(F.col("place") > F.col("_last")).drop("_last"), "rest")

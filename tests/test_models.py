@@ -398,3 +398,13 @@ def test_grid(spark, corpus):
     assert {r["param"] for r in rows} == {"cont=0.025", "cont=0.03", "nu=0.03"}
     best, model = result.best()
     assert best["config"] == rows[0]["config"] and model is result.models[best["config"]]
+
+
+def test_unlike_messages_of_one_leaf_take_one_round(spark, make_logs, monkeypatch):
+    words = [f"{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(2500)]
+    logs = texts(spark, make_logs, [f"go on {w} {w}{w} x{w} y{w} end{w}" for w in words])
+    staged = []
+    true = tpl.stage
+    monkeypatch.setattr(tpl, "stage", lambda df, name: staged.append(name) or true(df, name))
+    assert tpl.mine_templates(logs).agg(F.countDistinct("template_id")).first()[0] == 2500
+    assert staged.count("head") == 1
