@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -23,6 +24,9 @@ NODES = "tree int, node int, feature int, threshold double, left int, right int,
 EULER_GAMMA = 0.5772156649015329
 CONSTANT = 1e-7  # a feature that varies less is not split on
 OVERSAMPLE = 2.0
+#: Path lengths add up as integers of this part, so that equal paths give equal scores in any order.
+UNITS = 10 ** 12
+DRAW_DIGITS = 15
 CELLS = 4_000_000
 
 
@@ -49,18 +53,23 @@ def dense(indices, values, columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow_tree(matrix: np.ndarray, features: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
+def draw(*parts) -> str:
+    """A draw that depends on its parts alone, as hexadecimal digits: the same in every engine."""
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def grow_tree(matrix: np.ndarray, features: np.ndarray, seed: int, tree: int, max_depth: int) -> list[tuple]:
     """Random splits until a node holds one point, equal points, or is deep enough.
 
-    The matrix holds single precision, and features that vary by less than that
+    The matrix holds values of single precision, and features that vary by less than that
     resolves count as constant, so that the order in which Spark added up a norm
-    never decides a split.
+    never decides a split. A node's draws depend on the seed, the tree and its place: the root is 1, the children of n are 2n and 2n + 1.
     """
     nodes: list[tuple] = []
-    todo = [(np.arange(len(matrix)), 0, -1, "")]
+    todo = [(np.arange(len(matrix)), 0, -1, "", 1)]
     links: dict[int, dict[str, int]] = {}
     while todo:
-        rows, depth, parent, side = todo.pop()
+        rows, depth, parent, side, place = todo.pop()
         node = len(nodes)
         if parent >= 0:
             links[parent][side] = node
@@ -70,16 +79,16 @@ def grow_tree(matrix: np.ndarray, features: np.ndarray, rng: np.random.Generator
         if depth >= max_depth or len(rows) <= 1 or len(open_cols) == 0:
             nodes.append((-1, 0.0, len(rows)))
             continue
-        col = rng.choice(open_cols)
-        cut = rng.uniform(float(low[col]), float(high[col]))
+        col = min(open_cols, key=lambda c: draw(seed, tree, place, features[c]))
+        low, high = float(low[col]), float(high[col])
+        cut = low + int(draw(seed, tree, place)[:13], 16) / 2 ** 52 * (high - low)
+        if cut >= high:  # rounding put the cut on the maximum
+            cut = low
         goes_left = part[:, col] <= cut
-        if goes_left.all():  # rounding put the cut on the maximum
-            cut = float(low[col])
-            goes_left = part[:, col] <= cut
-        nodes.append((int(features[col]), float(cut), len(rows)))
+        nodes.append((int(features[col]), cut, len(rows)))
         links[node] = {}
-        todo.append((rows[~goes_left], depth + 1, node, "right"))
-        todo.append((rows[goes_left], depth + 1, node, "left"))
+        todo.append((rows[~goes_left], depth + 1, node, "right", 2 * place + 1))
+        todo.append((rows[goes_left], depth + 1, node, "left", 2 * place))
     return [
         (i, f, t, links.get(i, {}).get("left", -1), links.get(i, {}).get("right", -1), size)
         for i, (f, t, size) in enumerate(nodes)
@@ -93,10 +102,11 @@ def tree_samples(features: DataFrame, n_rows: int, trees: int, sample: int, seed
     the wanted rows reach the shuffle, however large the input is.
     """
     share = min(1.0, OVERSAMPLE * sample / max(n_rows, 1))
-    limit = int(math.ceil(-(2 ** 63) + share * (2 ** 64 - 1))) if share < 1 else 2 ** 63 - 1
+    limit = format(min(int(share * 16 ** DRAW_DIGITS), 16 ** DRAW_DIGITS - 1), f"0{DRAW_DIGITS}x")
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col("block_id")).alias("draw")),
+        lambda t: F.struct(t.alias("tree"), F.substring(
+            F.md5(F.concat_ws(":", F.lit(str(seed)), t.cast("string"), F.col("block_id"))), 1, DRAW_DIGITS).alias("draw")),
     )
     picked = features.select(
         "*", F.inline(F.filter(draws, lambda d: d["draw"] <= F.lit(limit)))
@@ -121,15 +131,14 @@ def iforest_fit(features: DataFrame, n_features: int, n_rows: int | None = None,
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         pdf = pdf.sort_values("block_id")
-        rng = np.random.default_rng([seed, tree])
-        allowed = np.sort(rng.permutation(n_features)[:width])
+        allowed = np.array(sorted(range(n_features), key=lambda f: (draw(seed, tree, "f", f), f))[:width])
         present = np.unique(np.concatenate([np.asarray(i, dtype=np.int64) for i in pdf["indices"]]))
         columns = np.intersect1d(allowed, present)
         if len(columns) == 0:
             nodes = [(0, -1, 0.0, -1, -1, len(pdf))]
         else:
-            matrix = dense(pdf["indices"], pdf["values"], columns).astype(np.float32)
-            nodes = grow_tree(matrix, columns, rng, depth)
+            matrix = dense(pdf["indices"], pdf["values"], columns).astype(np.float32).astype(np.float64)
+            nodes = grow_tree(matrix, columns, seed, tree, depth)
         out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "size"])
         out.insert(0, "tree", tree)
         return out
@@ -187,7 +196,7 @@ class Forest:
         if matrix.shape[1] == 0:
             matrix = np.zeros((len(matrix), 1))
         at = np.broadcast_to(self.roots, (len(matrix), len(self.roots))).copy()
-        steps = np.zeros(at.shape)
+        steps = np.zeros(at.shape, np.int64)
         rows = np.arange(len(matrix))[:, None]
         while True:
             inner = self.size[at] == 0
@@ -196,7 +205,8 @@ class Forest:
             low = matrix[rows, self.feature[at]] <= self.threshold[at]
             steps += inner
             at = np.where(low, self.left[at], self.right[at])
-        return -np.exp2(-(steps + path_norm(self.size[at])).mean(axis=1) / norm)
+        total = (steps * UNITS + np.rint(path_norm(self.size[at]) * UNITS).astype(np.int64)).sum(axis=1)
+        return -np.exp2(-(total / (float(UNITS) * at.shape[1])) / norm)
 
 
 def score_column(spark, forest: Forest):

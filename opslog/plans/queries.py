@@ -13,7 +13,7 @@ from opslog.operators import (
     scoring, sequences as sq, templates as tpl, training, validate, vectors as vec,
 )
 from opslog.operators.ranking import ranked
-from opslog.plans import fixtures as fx
+from opslog.plans import fixtures as fx, forest_sql
 from opslog.session import new_path, stage
 from opslog.sources import lines as ln, models, tables
 from opslog.streaming import chain, history, jobs
@@ -793,15 +793,17 @@ def scaler(spark, d):
     return out.select("block_id", *[(F.round(f"{c}_z", 6) + 0.0).alias(f"{c}_z") for c in feat.META])
 
 
-@query(f"""WITH {STATS_SQL}, grams AS (SELECT block_id, token AS term, count(*) AS tf FROM owned GROUP BY 1, 2),
+FEATURES_SQL = f"""{STATS_SQL}, grams AS (SELECT block_id, token AS term, count(*) AS tf FROM owned GROUP BY 1, 2),
 v AS (SELECT term, ln((1 + (SELECT count(*) FROM stats)) / (1 + count(*))) + 1 AS idf, row_number() OVER (ORDER BY term) - 1 AS idx FROM grams GROUP BY term),
 r AS (SELECT block_id, idx, (1 + ln(tf)) * idf AS raw FROM grams JOIN v USING (term)),
 w AS (SELECT block_id, idx, raw / sqrt(sum(raw * raw) OVER (PARTITION BY block_id)) AS value FROM r),
 s AS (SELECT avg(seq_len) AS lm, stddev_pop(seq_len) AS ls, avg(unique_templates) AS um, stddev_pop(unique_templates) AS us FROM stats),
 f AS (SELECT block_id, idx, value FROM w
   UNION ALL SELECT block_id, (SELECT count(*) FROM v), (seq_len - lm) / CASE WHEN ls > 0 THEN ls ELSE 1 END FROM stats, s
-  UNION ALL SELECT block_id, (SELECT count(*) FROM v) + 1, (unique_templates - um) / CASE WHEN us > 0 THEN us ELSE 1 END FROM stats, s)
-SELECT block_id, cast(idx AS bigint) AS idx, round(value, 6) + 0.0 AS value FROM f""")
+  UNION ALL SELECT block_id, (SELECT count(*) FROM v) + 1, (unique_templates - um) / CASE WHEN us > 0 THEN us ELSE 1 END FROM stats, s)"""
+
+
+@query(f"WITH {FEATURES_SQL} SELECT block_id, cast(idx AS bigint) AS idx, round(value, 6) + 0.0 AS value FROM f")
 def assemble_features(spark, d):
     fitted = training.fit_features(*training.count_terms(tokens_of(spark, d)))
     return fitted.features.select("block_id", F.explode(F.arrays_zip("indices", "values")).alias("e")).select(
@@ -809,12 +811,18 @@ def assemble_features(spark, d):
     )
 
 
-@query()
+FOREST_SQL = FEATURES_SQL + "," + forest_sql.grown() + f""",
+cells_rows AS (SELECT block_id FROM stats),{forest_sql.scored("trained", "block_id", "cells")},{forest_sql.OFFSET}"""
+
+
+@query(f"""WITH {FOREST_SQL} SELECT block_id, round(score_sample, 6) AS score_sample, round(score_sample - edge, 6) + 0.0 AS score,
+  score_sample < edge AS is_anomaly FROM trained, threshold""")
 def isolation_forest(spark, d):
     fitted = training.fit_features(*training.count_terms(tokens_of(spark, d)))
     _, scores = training.fit_forest(fitted)
     offset = iforest.iforest_offsets(scores, [iforest.CONTAMINATION])[0]
-    return iforest.predict(scores, offset)
+    return iforest.predict(scores, offset).select(
+        "block_id", F.round("score_sample", 6).alias("score_sample"), (F.round("score", 6) + 0.0).alias("score"), "is_anomaly")
 
 
 @query()
@@ -829,20 +837,37 @@ def trained(spark, d):
     return base, training.train_model(base)
 
 
-@query()
+SCORED_SQL = FOREST_SQL + "," + HISTORY_SQL[len(CATALOG_SQL) + 1:] + f""",
+seqs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sequence) AS sid, sequence, string_split(sequence, ' ') AS toks
+  FROM (SELECT DISTINCT sequence FROM history)),
+seq_terms AS (SELECT sid, term, count(*) AS tf FROM (SELECT sid, unnest(toks) AS term FROM seqs) GROUP BY 1, 2),
+seq_raw AS (SELECT sid, idx, (1 + ln(tf)) * idf AS raw FROM seq_terms JOIN v USING (term)),
+sc AS MATERIALIZED (SELECT sid, cast(idx AS bigint) AS idx, cast(cast(value AS float) AS double) AS x FROM (
+  SELECT sid, idx, raw / sqrt(sum(raw * raw) OVER (PARTITION BY sid)) AS value FROM seq_raw
+  UNION ALL SELECT sid, (SELECT count(*) FROM v), (len(toks) - lm) / CASE WHEN ls > 0 THEN ls ELSE 1 END FROM seqs, s
+  UNION ALL SELECT sid, (SELECT count(*) FROM v) + 1, (len(list_distinct(toks)) - um) / CASE WHEN us > 0 THEN us ELSE 1 END FROM seqs, s)),
+sc_rows AS (SELECT sid FROM seqs),{forest_sql.scored("judged", "sid", "sc")},
+logs_scored AS (SELECT t.*, h.block_id, h.sequence, h.seq_len, len(list_distinct(q.toks)) AS unique_templates,
+  j.score_sample - edge AS score, j.score_sample < edge AS is_anomaly
+  FROM tlogs t JOIN history h USING (id) JOIN seqs q USING (sequence) JOIN judged j USING (sid), threshold)"""
+
+
+@query(f"""WITH {SCORED_SQL} SELECT id, template_id, block_id, seq_len, unique_templates, round(score, 6) + 0.0 AS score, is_anomaly
+  FROM logs_scored""")
 def score_logs(spark, d):
     """Train, save, load and score with the loaded model."""
     base, model = trained(spark, d)
     path = new_path(spark, "model")
     models.save_model(model, path)
     scored = scoring.score_logs(base, models.load_model(spark, path))
-    return scored.select("id", "template_id", "block_id", "seq_len", "unique_templates", "score", "is_anomaly")
+    return scored.select("id", "template_id", "block_id", big("seq_len", "seq_len"), big("unique_templates", "unique_templates"),
+                         (F.round("score", 6) + 0.0).alias("score"), "is_anomaly")
 
 
-@query()
+@query(f"WITH {SCORED_SQL} SELECT id, log_level, round(score, 6) + 0.0 AS score FROM logs_scored WHERE is_anomaly")
 def incident_gate(spark, d):
     base, model = trained(spark, d)
-    return scoring.incident_gate(base, model).select("id", "log_level", "score")
+    return scoring.incident_gate(base, model).select("id", "log_level", (F.round("score", 6) + 0.0).alias("score"))
 
 
 @query()
@@ -1093,11 +1118,31 @@ def request_chain(spark, d):
         "id", "template_id", "block_id", "sequence", big("seq_len", "seq_len"), big("unique_templates", "unique_templates"))
 
 
-@query()
+ISO_SQL = """CASE WHEN microsecond(timestamp) % 1000000 = 0 THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
+  ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END"""
+
+
+@query(f"""WITH {SCORED_SQL} SELECT id, id AS trigger_log_id, 'OPEN' AS status,
+  CASE WHEN lower(raw_message) LIKE '%fatal%' OR lower(raw_message) LIKE '%connection%' THEN 'CRITICAL'
+    WHEN lower(raw_message) LIKE '%error%' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
+  CASE WHEN lower(raw_message) LIKE '%connection%' OR lower(raw_message) LIKE '%slot%'
+    THEN 'PostgreSQL Connection Pool Exhaustion' ELSE concat(log_level, ' anomaly from ', source_host) END AS title,
+  '### Root Cause Analysis' || chr(10) || chr(10) || 'Log analytics anomaly detection flagged a ' || log_level || ' log from `' || source_host
+  || '` at `' || {ISO_SQL} || '`. The triggering message was:' || chr(10) || chr(10) || '`' || raw_message || '`'
+  || chr(10) || chr(10) || 'Parsed template: `' || parsed_template || '`' || chr(10) || chr(10) || '### Model Signal' || chr(10)
+  || '- Isolation Forest decision score: `' || format('{{:.6f}}', score) || '`' || chr(10) || '- Template sequence length: `' || seq_len || '`' || chr(10)
+  || '- Unique templates in sequence: `' || unique_templates || '`' || chr(10) || '- Template sequence: `' || sequence || '`' || chr(10)
+  || chr(10) || chr(10) || '### Recommended Actions' || chr(10)
+  || '1. Inspect the emitting service and recent deploy activity.' || chr(10)
+  || '2. Check resource pressure and dependency health for the affected host.' || chr(10)
+  || '3. Attach the relevant runbook once FAISS-backed RAG retrieval is enabled.' || chr(10) || chr(10)
+  || '_Generated placeholder RCA at ' || {ISO_SQL} || '+00:00._' AS rca_markdown
+  FROM logs_scored WHERE is_anomaly""")
 def stream_incidents(spark, d):
+    """Logs with the ids of the model's own catalogue, scored as they come."""
     source, out, state, checkpoint = _paths(spark, "raised", "in", "out", "state", "checkpoint")
-    _, model = trained(spark, d)
-    logs = fx.enriched(spark, d)
+    base, model = trained(spark, d)
+    logs = stage(tpl.enrich_logs(base, model.templates), "own")
     feed(logs, source, 2, lambda stream: jobs.stream_incidents(stream, model, out, state, checkpoint))
     return spark.read.parquet(out).select("id", "severity", "title", "status", "trigger_log_id", "rca_markdown")
 
