@@ -78,13 +78,13 @@ def _table(base: int, size: int) -> np.ndarray:
 
 
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the seed's base and of its inverse; only those for one piece are kept."""
+    """Powers of the seed's base and of its inverse; only those for the words of one piece are kept."""
     have = _POWERS.get(seed)
     if have and len(have[0]) >= n:
         return have
-    base = int(seeded(1, seed)[0]) % (PRIME - 2) + 2
-    made = _table(base, max(n, PIECE)), _table(pow(base, -1, PRIME), max(n, PIECE))
-    if n <= 2 * PIECE:
+    base, size = int(seeded(1, seed)[0]) % (PRIME - 2) + 2, max(n, PIECE // 4)
+    made = _table(base, size), _table(pow(base, -1, PRIME), size)
+    if n <= PIECE:
         if len(_POWERS) > 2:
             _POWERS.clear()
         _POWERS[seed] = made

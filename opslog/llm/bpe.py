@@ -162,11 +162,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.where = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
-        self.pool, self.place, self.size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known, self.pool = np.empty(0, np.uint64), np.empty(0, np.uint8)
+        self.where, self.count, self.ids, self.place, self.size = (np.empty(0, np.int32) for _ in range(5))
 
     def rank_of(self, prints: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The rank of each slice that is a token, else -1."""
@@ -282,7 +279,7 @@ class Encoder:
         else:
             where, flat = np.arange(len(prints)), ids
         where = where + len(self.ids)
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
         at = np.searchsorted(self.known, prints)
         self.known = np.insert(self.known, at, prints)
         self.where = np.insert(self.where, at, where)
