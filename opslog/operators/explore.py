@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, functions as F
 
 from opslog.functions import rules
@@ -26,6 +28,19 @@ def runbook_summary(runbooks: DataFrame) -> DataFrame:
     return runbooks.select("id", "title", "category", "created_at")
 
 
+def matching_logs(logs: DataFrame, level: str | None = None, source: str | None = None,
+                  search: str | None = None) -> DataFrame:
+    """Logs that pass the filters. An empty filter is no filter; equality filters reach the file scan."""
+    if level:
+        logs = logs.where(F.col("log_level") == level)
+    if source:
+        logs = logs.where(F.col("source_host") == source)
+    if search:
+        pattern = f"%{search}%"
+        logs = logs.where(F.col("raw_message").ilike(pattern) | F.col("parsed_template").ilike(pattern))
+    return logs
+
+
 def explore_logs(logs: DataFrame, level: str | None = None, source: str | None = None,
                  search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of logs, newest first. An empty filter is no filter.
@@ -34,16 +49,33 @@ def explore_logs(logs: DataFrame, level: str | None = None, source: str | None =
     before the limit, so equality filters reach the file scan.
     """
     check_page(limit, offset)
-    if level:
-        logs = logs.where(F.col("log_level") == level)
-    if source:
-        logs = logs.where(F.col("source_host") == source)
-    if search:
-        pattern = f"%{search}%"
-        logs = logs.where(F.col("raw_message").ilike(pattern) | F.col("parsed_template").ilike(pattern))
+    logs = matching_logs(logs, level, source, search)
     return log_entry(logs).orderBy(F.desc("timestamp"), F.desc("id")).offset(offset).limit(limit)
 
 
+def explore_stored(logs: DataFrame, dates: list[date], level: str | None = None, source: str | None = None,
+                   search: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The same page of logs stored by date (``dt``), from the newest dates that fill it.
+
+    ``dates`` are those of the table (``tables.stored_dates``). Matches are counted in the newest date,
+    then in the two before it, the four before those and so on, until the page is full; the page is then
+    read from these folders alone. A page that is never full reads the whole table.
+    """
+    check_page(limit, offset)
+    newest, done, some, found = sorted(dates, reverse=True), 0, 1, 0
+    pages = matching_logs(logs, level, source, search)
+    while done + some < len(newest):
+        days = F.col("dt") >= F.lit(newest[done + some - 1])
+        if done:
+            days = days & (F.col("dt") < F.lit(newest[done - 1]))
+        found += pages.where(days).count()
+        done, some = done + some, some * 2
+        if found >= offset + limit:
+            logs = logs.where(F.col("dt") >= F.lit(newest[done - 1]))
+            break
+    return explore_logs(logs, level, source, search, limit, offset)
+
+
 def list_incidents(incidents: DataFrame, status: str | None = None, severity: str | None = None,
                    limit: int = 20) -> DataFrame:
     check_incident_page(limit)

@@ -82,6 +82,31 @@ def lines_as_logs(spark, d):
     return ln.lines_as_logs(lines, fx.NOW).select("id", "source_host", "log_level", "raw_message")
 
 
+def line_files(spark, d):
+    """The lines as text files whose names follow their order."""
+    path, order = new_path(spark, "line_files"), ["file", "block_start", "line_no"]
+    fx.log_lines(spark, d).withColumn("value", F.translate("value", "\r", " ")).repartitionByRange(
+        16, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    return path
+
+
+PLAIN_SQL = CLEAN_SQL.replace("trim(value,", "trim(translate(value, chr(13), ' '),") + """,
+plain AS (SELECT row_number() OVER (ORDER BY file, block_start, line_no) AS pos, value FROM clean WHERE length(value) > 0)"""
+
+
+@query(f"WITH {PLAIN_SQL} SELECT pos, value FROM plain WHERE pos <= 3000")
+def read_head(spark, d):
+    return ln.read_head(spark, line_files(spark, d), 3000).select("pos", "value")
+
+
+@query(f"""WITH {PLAIN_SQL} SELECT pos AS id, 'hdfs-datanode-01' AS source_host,
+  CASE WHEN upper(value) LIKE '%ERROR%' OR upper(value) LIKE '%FATAL%' THEN 'ERROR'
+    WHEN upper(value) LIKE '%WARN%' THEN 'WARN' ELSE 'INFO' END AS log_level, value AS raw_message FROM plain""")
+def files_as_logs(spark, d):
+    lines = ln.number_lines(ln.read_log_lines(spark, line_files(spark, d)))
+    return ln.lines_as_logs(lines, fx.NOW).select("id", "source_host", "log_level", "raw_message")
+
+
 @query(f"""WITH {CLEAN_SQL} SELECT 'app-server-01' AS source_host, 'app' AS service,
   CASE WHEN upper(value) LIKE '%ERROR%' OR upper(value) LIKE '%FAIL%' OR upper(value) LIKE '%EXCEPTION%' THEN 'ERROR'
     WHEN upper(value) LIKE '%WARN%' OR upper(value) LIKE '%SLOW%' THEN 'WARN' ELSE 'INFO' END AS log_level,
@@ -147,6 +172,25 @@ def save_vectors(spark, d):
     )
 
 
+@query("""SELECT vec_id AS runbook_id, cast(len(embedding) AS bigint) AS dim,
+  round(cast(embedding[1] AS double), 6) + 0.0 AS first_value FROM embeddings""")
+def compact_vectors(spark, d):
+    """Later vectors win before, between and after compactions."""
+    path = new_path(spark, "vectors")
+    fresh = fx.vectors(spark, d)
+    old = fresh.withColumn("embedding", F.transform("embedding", lambda x: -x))
+    tables.save_vectors(old, path, 1)
+    tables.compact_vectors(spark, path)
+    tables.save_vectors(fresh.where("runbook_id % 2 = 0"), path, 2)
+    tables.save_vectors(fresh.where("runbook_id % 2 <> 0"), path, 3)
+    tables.compact_vectors(spark, path)
+    tables.save_vectors(old.where("runbook_id % 3 = 0"), path, 1)
+    return tables.load_vectors(spark, path).select(
+        "runbook_id", big(F.size("embedding"), "dim"),
+        (F.round(F.element_at("embedding", 1).cast("double"), 6) + 0.0).alias("first_value"),
+    )
+
+
 # --- projections, filters, predicates ------------------------------------
 
 @query(f"""WITH {fx.REQUESTS_SQL} SELECT id, source_host, log_level, raw_message FROM requests
@@ -241,6 +285,17 @@ def explore_logs_wildcard(spark, d):
     )
 
 
+@query(f"""WITH {fx.LOGS_SQL}, page AS (SELECT *, cast(NULL AS bigint) AS template_id, cast(NULL AS varchar) AS parsed_template
+  FROM logs WHERE log_level = 'ERROR' AND raw_message ILIKE '%disk full%' ORDER BY timestamp DESC, id DESC LIMIT 40 OFFSET 30) {PAGE_SQL}""")
+def explore_stored(spark, d):
+    path = new_path(spark, "logs")
+    tables.append_logs(fx.logs(spark, d), path)
+    logs = tables.load_logs(spark, path)
+    return explore.explore_stored(
+        logs, tables.stored_dates(logs), level="ERROR", search="disk full", limit=40, offset=30
+    ).withColumn("timestamp", ts("timestamp"))
+
+
 @query(f"""WITH {fx.LOGS_SQL}, page AS (SELECT *, cast(NULL AS bigint) AS template_id, cast(NULL AS varchar) AS parsed_template
   FROM logs ORDER BY timestamp DESC, id DESC LIMIT 50) {PAGE_SQL}""")
 def log_page(spark, d):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from datetime import date
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T, functions as F
 
@@ -33,10 +38,69 @@ def load_runbooks(spark: SparkSession, path: str) -> DataFrame:
     return load_table(spark, path, RUNBOOKS)
 
 
+def stored_dates(logs: DataFrame) -> list[date]:
+    """The dates of logs as loaded, from the names of their folders; no file is opened."""
+    found = {re.search(r"/dt=(\d{4}-\d\d-\d\d)/", f) for f in logs.inputFiles()}
+    return sorted({date.fromisoformat(m[1]) for m in found if m})
+
+
+VERSIONED = T.StructType([*VECTORS.fields, T.StructField("version", T.LongType())])
+# Folders below the table; Spark passes over them when it reads the table.
+COMPACTED, CURRENT = "_compacted", "_compacted/current"
+
+
+def _latest(stored: DataFrame) -> DataFrame:
+    last = F.max_by(F.struct("embedding", "version"), "version").alias("last")
+    return stored.groupBy("runbook_id").agg(last).select("runbook_id", "last.embedding", "last.version")
+
+
+def _compaction(spark: SparkSession, path: str) -> tuple[DataFrame, set[str]]:
+    """The rows of the latest compaction and the files it covers; none and no files without one."""
+    pointers = load_table(spark, f"{path}/{CURRENT}", T.StructType(
+        [T.StructField("number", T.LongType()), T.StructField("folder", T.StringType())]))
+    last = pointers.orderBy(F.desc("number"), "folder").first()
+    if last is None:
+        return spark.createDataFrame([], VERSIONED), set()
+    base = f"{path}/{COMPACTED}/{last.folder}"
+    covered = {r.file for r in spark.read.schema("file string").parquet(f"{base}/files").collect()}
+    return spark.read.schema(VERSIONED).parquet(f"{base}/vectors"), covered
+
+
+def _versions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Compacted rows, the rows stored since (``None`` without any), and all files of the table."""
+    compacted, covered = _compaction(spark, path)
+    files = load_table(spark, path, VERSIONED).inputFiles()
+    fresh = [unquote(f) for f in files if f not in covered]
+    return compacted, spark.read.schema(VERSIONED).parquet(*fresh) if fresh else None, files
+
+
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The latest vector of each runbook; an absent table is empty."""
-    stored = load_table(spark, path, T.StructType([*VECTORS.fields, T.StructField("version", T.LongType())]))
-    return stored.groupBy("runbook_id").agg(F.max_by("embedding", "version").alias("embedding"))
+    """The latest vector of each runbook; an absent table is empty.
+
+    Right after ``compact_vectors`` this is a plain scan; only vectors stored since then are grouped
+    with the compacted ones.
+    """
+    compacted, fresh, _ = _versions(spark, path)
+    return (compacted if fresh is None else _latest(compacted.unionByName(fresh))).select("runbook_id", "embedding")
+
+
+def compact_vectors(spark: SparkSession, path: str) -> None:
+    """Keep one row a runbook beside the table, so that reading needs no grouping.
+
+    It covers the files there are when it begins; vectors stored meanwhile stay fresh. Rows and the list of covered files are
+    written to a new folder first; a pointer of one row, the last write, makes them current, so a reader
+    sees the state before or after. Without new files nothing is written.
+    """
+    compacted, fresh, files = _versions(spark, path)
+    if fresh is None:
+        return
+    folder = uuid.uuid4().hex
+    base = f"{path}/{COMPACTED}/{folder}"
+    _latest(compacted.unionByName(fresh)).write.parquet(f"{base}/vectors")
+    spark.createDataFrame([(f,) for f in files], "file string").coalesce(1).write.parquet(f"{base}/files")
+    number = load_table(spark, f"{path}/{CURRENT}", T.StructType([T.StructField("number", T.LongType())])).count() + 1
+    spark.createDataFrame([(number, folder)], "number long, folder string").coalesce(1).write.mode("append").parquet(
+        f"{path}/{CURRENT}")
 
 
 def append_logs(valid: DataFrame, path: str, batch_id: int | None = None) -> None:

@@ -1,10 +1,11 @@
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from opslog.operators import analytics, explore, incidents as inc, sequences, templates, training, validate
-from opslog.schema import INCIDENTS, LOGS, RUNBOOKS, STATUS_UPDATES
+from opslog.schema import INCIDENTS, LOGS, RUNBOOKS, STATUS_UPDATES, VECTORS
 from opslog.sources import lines, models, tables
 
 T0 = datetime(2024, 1, 1, 10)
@@ -121,6 +122,84 @@ def test_log_lines(spark, tmp_path):
     assert len(everything) == 54 and everything[-1]["value"] == "small"
 
 
+def moved_columns(df):
+    """The columns that go through any exchange of rows; a broadcast is none."""
+    text = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return " ".join(re.findall(r"\) Exchange[^\n]*\nInput \[\d+\]: \[([^\]]*)\]", text))
+
+
+def test_lines_are_numbered_in_place(spark, tmp_path):
+    """Many splits a file, several files a task, blank lines; with and without the broadcast."""
+    want = []
+    for f in range(6):
+        rows = ["" if i % 7 == 3 else f"{f} {i} " + "x" * (i % 50) for i in range(300 if f % 2 else 5)]
+        (tmp_path / f"{f} log.txt").write_text("\n".join(rows) + "\n")
+        want += [r.strip() for r in rows if r]
+    (tmp_path / "7 empty.txt").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for sent in (1_000_000, 0):
+            found = lines.number_lines(lines.read_log_lines(spark, str(tmp_path)), sent=sent)
+            rows = found.orderBy("pos").collect()
+            assert [r["value"] for r in rows] == want and [r["pos"] for r in rows] == list(range(1, len(want) + 1))
+            assert len({(r["file"], r["block_start"]) for r in rows}) > 10
+            if sent:
+                assert "value#" not in moved_columns(found)
+        logs = lines.lines_as_logs(found, T0).orderBy("id").collect()
+        assert [r["raw_message"] for r in logs] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for n in (0, 1, 5, 6, 300, 700, 10**6):
+        head = lines.read_head(spark, str(tmp_path), n).orderBy("pos").collect()
+        assert [r["value"] for r in head] == want[:n]
+    assert lines.last_file_of_head(spark, str(tmp_path), 3).endswith("0%20log.txt")
+    assert lines.last_file_of_head(spark, str(tmp_path), 10**6) is None
+    first = lines.read_log_lines(spark, str(tmp_path), last=lines.last_file_of_head(spark, str(tmp_path), 3))
+    assert [r["file"].rsplit("/", 1)[1] for r in first.select("file").distinct().collect()] == ["0%20log.txt"]
+    assert len(first.collect()) == 5 - 1 and first.rdd.getNumPartitions() == 1  # other files are not opened
+    with pytest.raises(ValueError):
+        lines.read_head(spark, str(tmp_path), -1)
+
+
+def test_newest_dates_fill_a_page(spark, tmp_path):
+    rows = [(i, T0 + timedelta(days=i // 4), "h", "ERROR" if i % 3 == 0 else "INFO", f"message {i}", None, None) for i in range(80)]
+    logs = spark.createDataFrame(rows, LOGS)
+    path = str(tmp_path / "logs")
+    tables.append_logs(logs, path)
+    stored = tables.load_logs(spark, path)
+    dates = tables.stored_dates(stored)
+    assert len(dates) == 20 and dates == sorted(dates)
+    for case in ({"limit": 3}, {"limit": 5, "offset": 20}, {"limit": 10, "level": "ERROR"}, {"limit": 20, "search": "message 7"},
+                 {"limit": 50, "offset": 70}, {"level": "WARN"}):
+        want = explore.explore_logs(logs, **case).collect()
+        assert explore.explore_stored(stored, dates, **case).collect() == want
+    page = explore.explore_stored(stored, dates, limit=4)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*dt#\d+ >= ", plan)
+    assert explore.explore_stored(tables.load_logs(spark, str(tmp_path / "none")), []).count() == 0
+
+
+def test_compacted_vectors_need_no_grouping(spark, tmp_path):
+    path = str(tmp_path / "some vectors")
+    tables.compact_vectors(spark, path)  # nothing stored yet
+    one = spark.createDataFrame([(i, [float(i)]) for i in range(20)], VECTORS)
+    tables.save_vectors(one, path, 1)
+    assert "value" not in moved_columns(tables.load_vectors(spark, path)) and moved_columns(tables.load_vectors(spark, path))
+    tables.compact_vectors(spark, path)
+    compact = tables.load_vectors(spark, path)
+    assert moved_columns(compact) == "" and sorted(compact.collect()) == sorted(one.collect())
+    # an older version that arrives late does not win, a newer one does
+    tables.save_vectors(spark.createDataFrame([(3, [30.0]), (99, [9.0])], VECTORS), path, 2)
+    tables.save_vectors(spark.createDataFrame([(4, [40.0])], VECTORS), path, 0)
+    want = {**{i: [float(i)] for i in range(20)}, 3: [30.0], 99: [9.0]}
+    assert {r[0]: r[1] for r in tables.load_vectors(spark, path).collect()} == want
+    tables.compact_vectors(spark, path)
+    tables.compact_vectors(spark, path)
+    last = tables.load_vectors(spark, path)
+    assert moved_columns(last) == "" and {r[0]: r[1] for r in last.collect()} == want
+
+
 def test_training_from_stored_lines(spark, tmp_path):
     """File to model: lines, blocks, labels and the best of a small grid."""
     rows = [f"{verb} blk_{b}" for b in range(30) for verb in (["panic", "drop"] if b % 10 == 0 else ["open", "close"])]
