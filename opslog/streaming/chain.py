@@ -26,6 +26,7 @@ from opslog.operators.skew import SPLIT_ROWS, skew_join
 from opslog.operators.templates import DEPTH, SIM_THRESHOLD, coded, leaf_key, masked_tokens
 from opslog.operators.validate import validate_logs
 from opslog.schema import HISTORY_CAP
+from opslog.session import rocksdb_state
 from opslog.sources.models import Model
 from opslog.sources.tables import append_logs, load_table, write_batch
 from opslog.streaming.history import AVAILABLE
@@ -236,7 +237,7 @@ def request_chain(requests: DataFrame, model: Model, paths: dict[str, str], chec
         done = spark.read.parquet(f"{paths['scored']}/batch_id={batch_id}")
         write_batch(incident_rows(done, F.col("timestamp")), paths["incidents"], batch_id)
 
-    return (
-        both.writeStream.foreachBatch(on_batch).outputMode("append").option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or AVAILABLE)).start()
-    )
+    writer = both.writeStream.foreachBatch(on_batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(
+        **(trigger or AVAILABLE))
+    with rocksdb_state(requests.sparkSession):
+        return writer.start()

@@ -114,3 +114,15 @@ def test_a_batch_appends_to_the_history():
     assert put(4) == [3, 4, 5, 9] and state.entries.rewritten == 1
     assert put(20, 30) == [3, 4, 5, 9] and state.entries.appended == 2 and state.entries.rewritten == 1
     assert put(1, 40) == [1, 3, 4, 5] and state.last.value == (4, 5, 5)
+
+
+def test_chain_runs_in_a_session_without_rocksdb(spark, logs, model, tmp_path):
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before, plain = spark.conf.get(store), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(store, plain)
+    try:
+        where = run(spark, logs.select(*COLUMNS), model, str(tmp_path), [F.col("id") < 30, F.col("id") >= 30])
+        assert spark.conf.get(store) == plain
+    finally:
+        spark.conf.set(store, before)
+    assert spark.read.parquet(where["scored"]).count() == logs.count()
