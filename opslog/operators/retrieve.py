@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opslog.functions import text
 from opslog.operators.ranking import top_k_per_query
-from opslog.operators.skew import SPLIT_ROWS, hot_keys, skew_join
+from opslog.operators.skew import SPLIT_ROWS, hot_of, skew_join
 from opslog.operators.vectors import DIGITS, hashed_bag, knn_l2
 from opslog.session import stage
 
@@ -39,8 +39,8 @@ def search_runbooks(queries: DataFrame, runbooks: DataFrame, vectors: DataFrame,
     """Best runbooks of every incident: query_id, runbook_id, distance, score, rank.
 
     ``queries`` holds query_id, sequence and raw_message, and may bring its own
-    embedding. Incidents repeat messages, so each different pair of words and
-    embedding is searched and ranked once. The candidates meet only the token
+    embedding. Incidents repeat messages, so each different embedding is searched
+    once and each different pair of words and embedding ranked once. The candidates meet only the token
     sets of the runbooks; their texts are never shuffled here.
     """
     queries = queries.withColumn("_query", text.query_text(F.col("sequence"), F.col("raw_message")))
@@ -53,15 +53,22 @@ def search_runbooks(queries: DataFrame, runbooks: DataFrame, vectors: DataFrame,
         "queries",
     )
     points = stage(
-        asked.groupBy("_key", "query_tokens", "embedding").agg(F.min("query_id").alias("point")), "points"
+        asked.groupBy("_key", "query_tokens", "embedding").agg(F.min("query_id").alias("point")).withColumn(
+            "_place", F.xxhash64("embedding")), "points"
     )
-    near = stage(knn_l2(points.select("point", "embedding"), vectors, WIDEN * top_k, "point").drop("rank"), "near")
-    candidates = near.join(points.select("point", "query_tokens"), "point").withColumnRenamed("point", "query_id")
+    places = stage(points.groupBy("_place", "embedding").agg(F.min("point").alias("place"), F.count("*").alias("n")), "places")
+    near = stage(knn_l2(places.select("place", "embedding"), vectors, WIDEN * top_k, "place").drop("rank"), "near")
+    lists = near.groupBy("place").agg(F.collect_list(F.struct("runbook_id", "distance")).alias("near")).join(
+        places.select("place", "_place", F.col("embedding").alias("_embedding")), "place")
+    # an embedding may serve many questions, so its list of bounded length is given to each
+    candidates = skew_join(points, lists, "_place", "point", "inner", split_rows).where(
+        F.col("embedding") == F.col("_embedding")).select(F.col("point").alias("query_id"), "query_tokens", F.inline("near"))
     tokens = runbooks.select(
         "id",
         text.tokenize(text.runbook_text(F.col("title"), F.col("category"), F.col("content"))).alias("tokens"),
     )
-    hot = hot_keys(near, "runbook_id", split_rows)
+    asks = near.join(places.select("place", "n"), "place").groupBy("runbook_id").agg(F.sum("n").alias("_n"))
+    hot = hot_of(asks, "runbook_id", "_n", split_rows)
     best = rerank(attach_runbooks(candidates, tokens, split_rows, hot), top_k)
     lists = best.groupBy("query_id").agg(
         F.collect_list(F.struct("runbook_id", "distance", "score", "rank")).alias("best")  # top_k entries

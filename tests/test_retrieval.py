@@ -117,3 +117,33 @@ def test_prompt_cuts_the_runbook(spark, books):
     found = retrieve.search_runbooks(queries(spark), long, vec.index_runbooks(long), top_k=1)
     got = rca.prompts(queries(spark), found, long).collect()
     assert all(("pool " * 160) in r["text"] and ("pool " * 161) not in r["text"] for r in got)
+
+
+def test_the_index_is_not_broadcast(spark, points):
+    _, df = points
+    plan = vec.knn_l2(df.withColumnRenamed("runbook_id", "query_id"), df, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "collect_list" not in plan
+
+
+def test_each_embedding_is_searched_once(spark, books, monkeypatch):
+    asked, knn = [], retrieve.knn_l2
+    monkeypatch.setattr(retrieve, "knn_l2", lambda q, *more: (asked.append(q.count()), knn(q, *more))[1])
+    one = queries(spark).withColumn("embedding", F.array(F.lit(1.0).cast("float"), F.lit(0.5).cast("float")))
+    index = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0]), (12, [5.0, 5.0])], "runbook_id long, embedding array<float>")
+    got = {(r["query_id"], r["runbook_id"]): r["distance"] for r in retrieve.search_runbooks(one, books, index, top_k=3).collect()}
+    assert asked == [1]  # two different questions, three incidents
+    assert len(got) == 9 and got[1, 10] == got[2, 10] == 0.25
+
+
+def test_the_block_order_does_not_matter():
+    rng = np.random.default_rng(2)
+    q, v = rng.normal(size=(40, 6)).round(1), rng.normal(size=(500, 6)).round(1)
+    v[7:30] = v[0]
+    v[99, 2] = np.nan
+    ids, k = rng.permutation(500), 9
+    best = vec._Nearest(q, k)
+    for i in range(0, 500, 61):
+        best.add(ids[i:i + 61], np.zeros(len(ids[i:i + 61]), dtype=bool), v[i:i + 61])
+    d = np.round(((q[:, None] - v[None]) ** 2).sum(axis=2), 6)
+    want = [ids[np.lexsort((ids, row))[:k]].tolist() for row in d]
+    assert best.id.reshape(40, k).tolist() == want and best.filled.all()
