@@ -56,13 +56,27 @@ def search_runbooks(queries: DataFrame, runbooks: DataFrame, vectors: DataFrame,
         asked.groupBy("_key", "query_tokens", "embedding").agg(F.min("query_id").alias("point")).withColumn(
             "_place", F.xxhash64("embedding")), "points"
     )
-    places = stage(points.groupBy("_place", "embedding").agg(F.min("point").alias("place"), F.count("*").alias("n")), "places")
+    places = stage(points.groupBy("_place", "embedding").agg(F.count("*").alias("n")).withColumn(
+        "place", F.monotonically_increasing_id()), "places")
     near = stage(knn_l2(places.select("place", "embedding"), vectors, WIDEN * top_k, "place").drop("rank"), "near")
     lists = near.groupBy("place").agg(F.collect_list(F.struct("runbook_id", "distance")).alias("near")).join(
         places.select("place", "_place", F.col("embedding").alias("_embedding")), "place")
-    # an embedding may serve many questions, so its list of bounded length is given to each
-    candidates = skew_join(points, lists, "_place", "point", "inner", split_rows).where(
-        F.col("embedding") == F.col("_embedding")).select(F.col("point").alias("query_id"), "query_tokens", F.inline("near"))
+
+    def found(rows: DataFrame) -> DataFrame:
+        """An embedding may serve many questions, so its list of bounded length is given to each."""
+        return skew_join(rows, lists, "_place", "point", "inner", split_rows).where(
+            F.col("embedding") == F.col("_embedding")).select(F.col("point").alias("query_id"), "query_tokens", F.inline("near"))
+
+    # a query id that comes with several questions has the nearest of all of them
+    repeated = stage(points.groupBy("point").agg(F.count("*").alias("n")).where("n > 1").select("point"), "repeated")
+    if repeated.isEmpty():
+        candidates = found(points)
+    else:
+        several = points.join(repeated, "point", "left_semi")
+        shared = top_k_per_query(found(several), "query_id", [F.col("distance"), F.col("runbook_id")], WIDEN * top_k)
+        candidates = found(points.join(repeated, "point", "left_anti")).unionByName(
+            shared.select("query_id", "runbook_id", "distance").join(
+                several.select(F.col("point").alias("query_id"), "query_tokens"), "query_id"))
     tokens = runbooks.select(
         "id",
         text.tokenize(text.runbook_text(F.col("title"), F.col("category"), F.col("content"))).alias("tokens"),

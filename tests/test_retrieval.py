@@ -147,3 +147,12 @@ def test_the_block_order_does_not_matter():
     d = np.round(((q[:, None] - v[None]) ** 2).sum(axis=2), 6)
     want = [ids[np.lexsort((ids, row))[:k]].tolist() for row in d]
     assert best.id.reshape(40, k).tolist() == want and best.filled.all()
+
+
+def test_a_repeated_query_id_does_not_change_others(spark, books):
+    rows = [(1, "alpha", [0.0, 0.0]), (1, "alpha", [5.0, 5.0]), (2, "beta", [5.0, 5.0])]
+    asked = spark.createDataFrame([(i, "", t, e) for i, t, e in rows],
+                                  "query_id long, sequence string, raw_message string, embedding array<float>")
+    index = spark.createDataFrame([(10, [0.0, 0.0]), (11, [5.0, 5.0]), (12, [9.0, 9.0])], "runbook_id long, embedding array<float>")
+    got = retrieve.search_runbooks(asked, books, index, top_k=3).where("query_id = 2").collect()
+    assert {r["runbook_id"]: r["distance"] for r in got} == {10: 50.0, 11: 0.0, 12: 32.0} and len(got) == 3
