@@ -21,6 +21,8 @@ from opslog.sources.models import Model
 #: A vocabulary of more terms is joined instead of being sent to the tasks.
 SHARED_TERMS = 200_000
 MATRIX_CELLS = 4_000_000
+#: Template ids and cells of the matrix that a task works on at a time.
+PART_CELLS = 500_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,7 +124,18 @@ class SequenceScorer:
             out[rows[hit], at[hit]] = values[hit]
 
     def score(self, sequences: list[np.ndarray]) -> np.ndarray:
-        return self.detector.scorer.score_matrix(*self.matrix(sequences))
+        """In parts of bounded size; sequences of equal features are judged once."""
+        held = np.cumsum([len(s) + len(self.detector.scorer.columns) for s in sequences]) // PART_CELLS
+        bounds = [*np.flatnonzero(np.diff(held, prepend=-1)), len(sequences)]
+        return np.concatenate([np.empty(0), *(self._score(sequences[a:b]) for a, b in zip(bounds[:-1], bounds[1:]))])
+
+    def _score(self, sequences: list[np.ndarray]) -> np.ndarray:
+        matrix, squares = self.matrix(sequences)
+        rows = np.column_stack([matrix, squares])
+        codes, keys = pd.factorize(pd.Series([r.tobytes() for r in rows], dtype=object))
+        first = np.full(len(keys), len(codes))
+        np.minimum.at(first, codes, np.arange(len(codes)))
+        return self.detector.scorer.score_matrix(matrix[first], squares[first])[codes]
 
 
 def _code(ids: list[int]) -> int:

@@ -408,3 +408,33 @@ def test_unlike_messages_of_one_leaf_take_one_round(spark, make_logs, monkeypatc
     monkeypatch.setattr(tpl, "stage", lambda df, name: staged.append(name) or true(df, name))
     assert tpl.mine_templates(logs).agg(F.countDistinct("template_id")).first()[0] == 2500
     assert staged.count("head") == 1
+
+
+def test_sequences_are_scored_in_parts_and_equal_features_once(monkeypatch):
+    class Sums:
+        columns, seen = np.arange(3), []
+
+        def score_matrix(self, matrix, squares):
+            self.seen.append(len(matrix))
+            return matrix.sum(axis=1) + squares
+
+    codes = np.array([scoring._code([i]) for i in range(3)])
+    order = np.argsort(codes)
+    scorer = scoring.SequenceScorer(codes[order], np.arange(3)[order], np.ones(3)[order], 1,
+                                    np.array([[0.0, 1.0], [0.0, 1.0]]), scoring.Detector(Sums(), 0.0))
+    rng = np.random.default_rng(4)
+    sequences = [rng.integers(0, 3, size=n) for n in rng.integers(1, 6, size=200)]
+    whole = Sums().score_matrix(*scorer.matrix(sequences))
+    Sums.seen.clear()
+    monkeypatch.setattr(scoring, "PART_CELLS", 100)
+    assert np.allclose(scorer.score(sequences), whole, atol=1e-12)
+    assert max(Sums.seen) <= 34 and sum(Sums.seen) < 200
+
+
+def test_mining_stores_messages_without_their_tokens(spark, make_logs, monkeypatch):
+    stored, stage = [], tpl.stage
+    monkeypatch.setattr(tpl, "stage", lambda df, name: (stored.append((name, df.columns)), stage(df, name))[1])
+    logs = texts(spark, make_logs, [f"start here user {chr(97 + i)} end" for i in range(9)])
+    assert tpl.mine_templates(logs, round_rows=2).select("template").distinct().count() == 1
+    assert {name for name, _ in stored} >= {"masks", "head", "found", "members"}
+    assert not any({"tokens", "head"} & set(columns) for _, columns in stored)
