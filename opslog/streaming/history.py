@@ -54,13 +54,13 @@ def block_firsts(logs: DataFrame, cap: int = HISTORY_CAP, idle_ms: int | None =
         if state.hasTimedOut:
             state.remove()
             return
-        old = [np.asarray(a, dtype=np.int64) for a in state.get] if state.exists else [np.empty(0, np.int64)] * 3
-        kept = pd.DataFrame(dict(zip(["micros", "id", "template_id"], old)))
+        kept = [np.asarray(a, dtype=np.int64) for a in state.get] if state.exists else [np.empty(0, np.int64)] * 3
         for pdf in batches:
-            pdf = pdf[pdf["template_id"] != NO_TEMPLATE]
-            kept = pd.concat([kept, pdf[["micros", "id", "template_id"]]])
-            kept = kept.sort_values(["micros", "id"], kind="stable").head(cap)
-        lists = tuple(kept[c].astype("int64").tolist() for c in ["micros", "id", "template_id"])
+            new = [pdf[c].to_numpy(dtype=np.int64) for c in ["micros", "id", "template_id"]]
+            kept = [np.concatenate(pair) for pair in zip(kept, [c[new[2] != NO_TEMPLATE] for c in new])]
+            order = np.lexsort((kept[1], kept[0]))[:cap]
+            kept = [c[order] for c in kept]
+        lists = tuple(c.tolist() for c in kept)
         state.update(lists)
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
