@@ -53,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode what is left: ``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
-    return queries.digest_tokens(docs)
+    return queries.digest_tokens(docs, staged=True)
 
 
 STAGES = [

@@ -329,16 +329,9 @@ class Encoder:
         return ids, arrays.row_sums(count, np.searchsorted(starts, at))
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder(vocabulary: Vocabulary) -> Encoder:
     """The worker's encoder; one is kept."""
-    key = hash((len(vocabulary.sizes), vocabulary.pool.tobytes()))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary)
-    return _ENCODERS[key]
+    return arrays.kept(hash((len(vocabulary.sizes), vocabulary.pool.tobytes())), lambda: Encoder(vocabulary))
 
 
 def binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:

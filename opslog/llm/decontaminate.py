@@ -275,23 +275,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     schema = f"key {kinds[0]}, item {kinds[1]}, distance int"
     source = docs.where(F.col(key).isNotNull()).select(
         F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    found = spark.createDataFrame([], schema)
+    # without items; of the JVM, as rows of this process would start further Python workers beside those of the operators
+    found = spark.range(0).select(*(F.lit(None).cast(k).alias(c) for k, c in zip((*kinds, "int"), ("key", "item", "distance"))))
     for names, words, first in _indexed(items, item_key, item_text):
         sent = spark.sparkContext.broadcast((names, words, first))
         found = found.union(arrays.map_batches(source, _finder(sent, item_type, uuid.uuid4().hex), schema))
     return found.groupBy(F.col("key").alias(key), F.col("item").alias(item_key)).agg(F.min("distance").alias("distance"))
 
 
-_INDEXES: dict[str, Index] = {}
-
-
 def _finder(sent, item_type, block: str):
     def run(batch: pa.RecordBatch):
         names, item_words, item_first = sent.value
-        if block not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[block] = Index(item_words, item_first)
-        index = _INDEXES[block]
+        index = arrays.kept(block, lambda: Index(item_words, item_first))
         data, at = arrays.buffers(batch.column(1))
         for a, b in arrays.pieces(at):
             words, first = words_of(data[at[a]:at[b]], at[a:b + 1] - at[a])

@@ -202,7 +202,8 @@ def _emit(docs: DataFrame, window: int, kind: str) -> DataFrame:
 
         def flush():
             doc = pa.concat_arrays([x[0] for x in held])
-            yield from _send(doc, *(np.concatenate([x[i] for x in held]) for i in range(1, 5)), window)
+            for batch in _send(doc, *(np.concatenate([x[i] for x in held]) for i in range(1, 5)), window):
+                yield from arrays.slices(batch)
 
         for batch in batches:
             data, at = arrays.buffers(batch.column(1))
@@ -216,6 +217,8 @@ def _emit(docs: DataFrame, window: int, kind: str) -> DataFrame:
                     held, rows = [], 0
         if rows:
             yield from flush()
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, ROW.format(k=kind))
 

@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from opslog.llm import bpe, queries
+from opslog.llm import arrays, bpe, queries
 
 ALPHABET = list("ab'sS tdrevlm  \n\t15!?é世　½🙂")
 DOCS = "doc_id long, text string, ids int"
@@ -115,3 +115,10 @@ def test_slices_of_one_fingerprint_stay_apart(library, monkeypatch):
     monkeypatch.setattr(bpe.arrays, "hashes", lambda *a: true(*a) & np.uint64(3))
     texts = ["these are some different words of one text", "and of another text, with words"] * 3
     assert encode(own, texts) == [library.encode_ordinary(x) for x in texts]
+
+
+def test_a_worker_keeps_one_prepared_thing():
+    made = []
+    for key in ("one", "one", "other", "one"):
+        assert arrays.kept(key, lambda: made.append(key) or key) == key
+    assert made == ["one", "other", "one"] and len(arrays._KEPT) == 1

@@ -97,3 +97,11 @@ def test_no_item_within_the_allowed_edits_is_missed(n):
     text, item, _, away = dc.confirm(index, words, first, *index.candidates(words, first))
     assert sorted(set(zip(text.tolist(), item.tolist()))) == [(i, i) for i in range(300)]
     assert (away == k).all()
+
+
+def test_no_rows_of_the_driver_start_other_python_workers(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", "'some words' AS text")
+    items = spark.range(0).selectExpr("id AS item_id", "'x' AS text")
+    found = dc.find_leaks(docs, items)
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert found.dtypes == [("doc_id", "bigint"), ("item_id", "bigint"), ("distance", "int")] and found.isEmpty()

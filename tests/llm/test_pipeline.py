@@ -78,3 +78,9 @@ def test_run_and_empty_tables(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_task_of_the_encoding_has_one_python_worker(spark, tables):
+    root, _, _ = tables
+    plan = corpus_pipeline.encode(spark, queries.table(spark, root, "documents"), root)._jdf.queryExecution().toString()
+    assert plan.partition("Physical Plan")[2].count("MapInArrow") == 1

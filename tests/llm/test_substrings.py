@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from opslog.llm import arrays, substrings
@@ -110,3 +111,10 @@ def test_words_of_one_hash_do_not_make_windows_equal(monkeypatch):
     data = np.frombuffer(text, np.uint8)
     marks = substrings.segments(data, np.array([0, len(data)]), 20)[4]
     assert len(set(marks.tolist())) == len(marks) == 41
+
+
+def test_batches_are_sent_on_in_bounded_parts(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_001))], names=["x"])
+    parts = list(arrays.slices(batch))
+    assert max(p.num_rows for p in parts) <= 8 * arrays.BATCH_ROWS
+    assert pa.Table.from_batches(parts).column("x").to_pylist() == list(range(20_001))
