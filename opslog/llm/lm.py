@@ -30,9 +30,13 @@ WIDTH = 16
 #: One of so many tokens of a document is a target in each round of training, and so many rounds take all of them.
 EVERY = ROUNDS = 2
 BATCH, RATE = 2048, 0.08
+#: First bits of a fingerprint by which it is looked up.
+LEAD = 16
 PART = 1 << 16
 #: Symbols of a spelling are the bytes and the end of the word, which also stands for what is before it.
 SYMBOLS, EDGE = 257, 256
+#: In a spelling the end is written as the byte 0, which stands in no word.
+END = 0
 #: A byte is spelled by the three before it, which fall into so many rows, as far as those were met, else by the one before it.
 ROWS, BACK = 1 << 14, 4.0
 SHAPES = {"embed": (len(PLACES), SIZE + 1, WIDTH), "bend": (WIDTH,), "klass": (WIDTH, CLASSES), "klass_bias": (CLASSES,),
@@ -42,12 +46,19 @@ SHAPES = {"embed": (len(PLACES), SIZE + 1, WIDTH), "bend": (WIDTH,), "klass": (W
 def symbols(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of spelled words, the one before each, and the row that the three before each fall into."""
     size = ends - starts + 1
+    close = np.cumsum(size)
     at = arrays.ragged(starts, size)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-    symbol = np.where(at < np.repeat(ends, size), low[np.minimum(at, len(low) - 1)], EDGE)
-    before, *more = (np.where(place >= k, low[np.maximum(at - k, 0)], EDGE).astype(np.int64) for k in (1, 2, 3))
-    key = (before | (more[0] << 9) | (more[1] << 18)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return symbol.astype(np.int64), before, (key >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.int64)
+    symbol = low[np.minimum(at, len(low) - 1)].astype(np.int64)
+    symbol[close - 1] = END
+    # a place earlier is one further back in the row of all symbols, until the word before ends
+    ahead = np.concatenate([np.full(3, END), symbol])[:len(at) + 2]
+    before, *more = (ahead[3 - k:3 - k + len(at)].copy() for k in (1, 2, 3))
+    begin = close - size
+    for k, values in enumerate(more, 1):
+        for i in range(k + 1):
+            values[(begin + i)[size > i]] = END
+    key = (before | (more[0] << 9) | (more[1] << 18)).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return symbol, before, (key >> np.uint64(64 - ROWS.bit_length() + 1)).view(np.int64)
 
 
 class Spelling:
@@ -80,11 +91,21 @@ class Words:
     ids: np.ndarray
     spelling: Spelling | None = None
 
+    def __post_init__(self):
+        #: How many prints have smaller first bits; few prints share theirs, so from there it is rarely a step to a print's place.
+        self.leads = np.searchsorted(self.prints, np.arange(1 << LEAD, dtype=np.uint64) << np.uint64(64 - LEAD)).astype(np.int16)
+
     def of(self, found: np.ndarray, lead: np.ndarray) -> np.ndarray:
         rare = SIZE - RARE + lead.astype(np.int64) % RARE
         if not len(self.prints):
             return rare
-        at = np.minimum(np.searchsorted(self.prints, found), len(self.prints) - 1)
+        last = len(self.prints) - 1
+        at = np.minimum(self.leads[found >> np.uint64(64 - LEAD)], last)
+        left = np.flatnonzero(self.prints[at] < found)
+        while len(left):
+            left = left[at[left] < last]
+            at[left] += 1
+            left = left[self.prints[at[left]] < found[left]]
         return np.where(self.prints[at] == found, self.ids[at], rare)
 
 
@@ -102,15 +123,21 @@ def targets(first: np.ndarray, turn: int) -> np.ndarray:
     return np.flatnonzero(place % EVERY == 0)
 
 
-def windows(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ids around the tokens ``at``; beyond a text's ends stands an id of its own."""
-    text = np.searchsorted(first, at, "right") - 1
-    out = np.empty((len(at), len(PLACES)), np.int64)
+def apart(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids with gaps as wide as a window around the texts, filled by an id of its own, and where each token stands there."""
+    gap = max(PLACES)
+    where = np.arange(len(ids)) + np.repeat(np.arange(1, len(first)) * gap, np.diff(first))
+    out = np.full(len(ids) + len(first) * gap, SIZE)
+    out[where] = ids
+    return out, where
+
+
+def windows(spread: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Ids around the tokens that stand at ``where`` among those of ``apart``, one column for each place."""
+    out = np.empty((len(PLACES), len(where)), np.int64)
     for k, place in enumerate(PLACES):
-        spot = at + place
-        inside = (spot >= first[text]) & (spot < first[text + 1])
-        out[:, k] = np.where(inside, ids[np.clip(spot, 0, len(ids) - 1)], SIZE)
-    return out
+        np.take(spread, where + place, out=out[k], mode="clip")
+    return out.T
 
 
 def start(seed: int = 5) -> dict[str, np.ndarray]:
@@ -132,42 +159,58 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _log_softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each column: the values less the largest, and the logarithm of the sum of their exponentials.
+
+    A column is added as numpy adds a short row: eight sums side by side, then these by pairs.
+    """
+    z = z - np.maximum.reduce(z, axis=0)
+    each = np.exp(z)
+    total = each[:8]
+    for i in range(8, len(each), 8):
+        total = total + each[i:i + 8]
+    while len(total) > 1:
+        total = total[::2] + total[1::2]
+    return z, np.log(total[0])
 
 
 def _forward(w, around, target):
-    total = w["bend"] + w["embed"][0][around[:, 0]]
+    """What a batch brings forth; values of classes and members have a column for each target."""
+    total = w["bend"] + w["embed"][0].take(around[:, 0], axis=0)
     for k in range(1, len(PLACES)):
-        total += w["embed"][k][around[:, k]]
+        total += w["embed"][k].take(around[:, k], axis=0)
     hidden = np.tanh(total)
     klass, member = target // MEMBERS, target % MEMBERS
-    first = _log_softmax(hidden @ w["klass"] + w["klass_bias"])
-    gate = w["gate"][klass]
-    second = _log_softmax((hidden * gate) @ w["member"] + w["member_bias"][klass])
-    return hidden, klass, member, gate, first, second
+    first = w["klass"].T @ hidden.T
+    first += w["klass_bias"][:, None]
+    gate = w["gate"].take(klass, axis=0)
+    second = w["member"].T @ (hidden * gate).T
+    second += w["member_bias"].T.take(klass, axis=1)
+    return hidden, klass, member, gate, _log_softmax(first), _log_softmax(second)
 
 
 def log_chances(w: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Logarithm of the chance of every token given those around it."""
     out = np.empty(len(ids))
-    for a in range(0, len(ids), PART):
-        at = np.arange(a, min(a + PART, len(ids)))
-        _, klass, member, _, one, two = _forward(w, windows(ids, first, at), ids[at])
-        out[at] = one[np.arange(len(at)), klass] + two[np.arange(len(at)), member]
+    spread, where = apart(ids, first)
+    for a in range(0, len(ids), BATCH):
+        now = slice(a, min(a + BATCH, len(ids)))
+        _, klass, member, _, one, two = _forward(w, windows(spread, where[now]), ids[now])
+        rows = np.arange(len(klass))
+        out[now] = (one[0][klass, rows] - one[1]) + (two[0][member, rows] - two[1])
     return out
 
 
 def gradient(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of a batch and its gradient."""
-    hidden, klass, member, gate, first, second = _forward(w, around, target)
+    hidden, klass, member, gate, one, two = _forward(w, around, target)
     n, rows = len(target), np.arange(len(target))
-    loss = -(first[rows, klass] + second[rows, member]).mean()
+    first, second = (z - total for z, total in (one, two))
+    loss = -(first[klass, rows] + second[member, rows]).mean()
     d1, d2 = np.exp(first), np.exp(second)
-    d1[rows, klass] -= 1
-    d2[rows, member] -= 1
-    d1, d2 = d1 / np.float32(n), d2 / np.float32(n)
+    d1[klass, rows] -= 1
+    d2[member, rows] -= 1
+    d1, d2 = (np.ascontiguousarray(d.T) / np.float32(n) for d in (d1, d2))
     back = d2 @ w["member"].T
     g = {"klass": hidden.T @ d1, "klass_bias": d1.sum(axis=0), "member": (hidden * gate).T @ d2}
     pick = np.zeros((n, CLASSES), np.float32)
@@ -177,10 +220,11 @@ def gradient(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray) -
     g["bend"] = inner.sum(axis=0)
     g["embed"] = np.zeros_like(w["embed"])
     for k in range(len(PLACES)):
-        order = np.argsort(around[:, k], kind="stable")
-        ids = around[order, k]
+        ids = around[:, k].astype(np.uint16)  # numpy sorts short integers by their digits
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
         heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        g["embed"][k][ids[heads]] = np.add.reduceat(inner[order], heads, axis=0)
+        g["embed"][k][ids[heads]] = np.add.reduceat(inner.take(order, axis=0), heads, axis=0)
     return float(loss), g
 
 
@@ -258,10 +302,11 @@ def improve(docs: DataFrame, words: Words, weights: np.ndarray, turn: int, text:
             for a, b in arrays.pieces(at):
                 found, first, low, starts, _ = tokens(data[at[a]:at[b]], at[a:b + 1] - at[a])
                 ids = known.of(found, low[starts])
+                spread, where = apart(ids, first)
                 target = np.random.default_rng(len(ids)).permutation(targets(first, turn))
                 for i in range(0, len(target), BATCH):
                     now = target[i:i + BATCH]
-                    steps.take(windows(ids, first, now), ids[now])
+                    steps.take(windows(spread, where[now]), ids[now])
                 seen += len(target)
         if seen:
             moved = (flat(steps.w) - begin).astype(np.float64) * seen

@@ -100,3 +100,35 @@ def test_every_token_is_a_target_once(spark):
     assert sorted(met.tolist()) == list(range(first[-1]))
     docs = spark.createDataFrame([(i, "word", 0) for i in range(20)], DOCS)
     assert (lm.learn(docs)[1] != lm.flat(lm.start())).any()
+
+
+def test_windows_against_brute_force_and_in_batches(monkeypatch):
+    rng = np.random.default_rng(6)
+    first = np.concatenate([[0], np.cumsum([0, 1, 2, 0, 0, 3, 7, 4000, 1, 0])])
+    ids = rng.integers(0, lm.SIZE, first[-1])
+    around = lm.windows(*lm.apart(ids, first))
+    for a, b in zip(first, first[1:]):
+        for i in range(a, min(b, a + 50)):
+            assert around[i].tolist() == [ids[i + p] if a <= i + p < b else lm.SIZE for p in lm.PLACES]
+    sizes, true = [], lm._forward
+    monkeypatch.setattr(lm, "_forward", lambda w, around, target: sizes.append(len(target)) or true(w, around, target))
+    lm.log_chances(lm.start(), ids, first)
+    assert sum(sizes) == len(ids) and max(sizes) <= lm.BATCH
+
+
+def test_words_that_share_the_first_bits_of_their_prints():
+    rng = np.random.default_rng(7)
+    near = (np.uint64(9) << np.uint64(60)) + rng.integers(0, 2000, 200).astype(np.uint64)
+    prints = np.unique(np.concatenate([near, rng.integers(0, 2**64, 700, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    ids = rng.permutation(len(prints))
+    found = np.concatenate([prints, prints + np.uint64(1), prints - np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)])
+    known = dict(zip(prints.tolist(), ids.tolist()))
+    got = lm.Words(prints, ids).of(found, np.full(len(found), 97, np.uint8)).tolist()
+    assert got == [known.get(x, lm.SIZE - lm.RARE + 97 % lm.RARE) for x in found.tolist()]
+
+
+def test_softmax_adds_each_column_as_numpy_adds_a_row():
+    z = np.random.default_rng(8).normal(0, 3, (lm.CLASSES, 500)).astype(np.float32)
+    less, total = lm._log_softmax(z)
+    rows = np.ascontiguousarray(less.T)
+    assert (np.log(np.exp(rows).sum(axis=1)) == total).all()
