@@ -44,10 +44,11 @@ def snippet(content: Column, limit: int = SNIPPET_CHARS) -> Column:
 
 
 def mask_template(message: Column) -> Column:
-    """Replace block ids, addresses and numbers by the wildcard."""
+    """Replace block ids, addresses and numbers by the wildcard; all of them have a digit."""
+    masked = message
     for pattern in MASKS:
-        message = F.regexp_replace(message, pattern, WILDCARD)
-    return message
+        masked = F.regexp_replace(masked, pattern, WILDCARD)
+    return F.when(message.rlike("[0-9]"), masked).otherwise(message)
 
 
 def tokenize(text: Column) -> Column:

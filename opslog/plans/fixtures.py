@@ -193,8 +193,7 @@ updates AS (SELECT id AS incident_id, 'INVESTIGATING' AS status, created_at + IN
   UNION ALL SELECT cast(-1 AS bigint), 'RESOLVED', max(created_at) FROM incidents)"""
 
 
-@stored
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the documents: file, block_start (the document), line_no and value."""
     return table(spark, sf_dir, "documents").select(
         F.col("source").alias("file"), F.col("doc_id").alias("block_start"),
@@ -202,6 +201,15 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+log_lines = stored(split_lines)
+
+
+def lines_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines as the documents' files give them, without a copy on disk if the files have a part for every core."""
+    lines = split_lines(spark, sf_dir)
+    return lines if lines.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism else log_lines(spark, sf_dir)
+
+
 LINES_SQL = """
 lines AS (SELECT source AS file, doc_id AS block_start, unnest(range(len(parts))) AS line_no, unnest(parts) AS value
   FROM (SELECT source, doc_id, string_split(text, chr(10)) AS parts FROM documents))"""

@@ -814,7 +814,7 @@ catalog AS (SELECT masked, n, row_number() OVER (ORDER BY block_start, line_no)
 SELECT masked, template_id, template, n, leader FROM mined""")
 def mine_templates_lines(spark, d):
     """Mining free text, where leaves are many and wide."""
-    lines = ln.clean_lines(fx.log_lines(spark, d)).select(
+    lines = ln.clean_lines(fx.lines_in_place(spark, d)).select(
         F.timestamp_seconds("block_start").alias("timestamp"), F.col("line_no").cast("long").alias("id"),
         F.col("value").alias("raw_message"),
     )

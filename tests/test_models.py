@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opslog.operators import evaluate, features as feat, iforest, ocsvm, scoring, templates as tpl, training
+from opslog.operators import evaluate, features as feat, iforest, ocsvm, ranking, scoring, templates as tpl, training
 from opslog.operators import sequences as sq
 from opslog.sources import models
 
@@ -438,3 +438,44 @@ def test_mining_stores_messages_without_their_tokens(spark, make_logs, monkeypat
     assert tpl.mine_templates(logs, round_rows=2).select("template").distinct().count() == 1
     assert {name for name, _ in stored} >= {"masks", "head", "found", "members"}
     assert not any({"tokens", "head"} & set(columns) for _, columns in stored)
+
+
+def test_mining_stores_no_text_of_a_leafs_only_message(spark, make_logs, monkeypatch):
+    stored, true = [], tpl.stage
+
+    def stage(df, name):
+        out = true(df, name)
+        stored.append((name, out.where(F.col("masked").isNotNull()).count() if "masked" in df.columns else 0))
+        return out
+
+    monkeypatch.setattr(tpl, "stage", stage)
+    monkeypatch.setattr(ranking, "stage", stage)
+    lone = [f"{chr(97 + i // 26)}{chr(97 + i % 26)} is alone" for i in range(300)]
+    logs = texts(spark, make_logs, [*lone, *lone, "start here user a end", "start here user b end"])
+    got = {r["masked"]: r for r in tpl.mine_templates(logs).collect()}
+    assert len(got) == 302 and all(got[m]["leader"] == got[m]["template"] == m and got[m]["n"] == 2 for m in lone)
+    assert [got[m]["template_id"] for m in lone] == list(range(1, 301))
+    assert {got[f"start here user {c} end"]["template"] for c in "ab"} == {"start here user <*> end"}
+    assert max(n for _, n in stored) < 30  # a message in a thousand passes the bitmap by chance
+
+
+def test_messages_first_seen_in_the_same_place_go_by_text(spark, make_logs):
+    messages = ["go on z a", "alone", "go on c b", "go on b b", "other here", "only"]
+    logs = texts(spark, make_logs, messages).withColumn("timestamp", F.lit(None).cast("timestamp")).withColumn(
+        "id", F.when(F.col("id") < 5, 7).cast("long"))
+    got = [(r["template_id"], r["masked"], r["template"], r["leader"]) for r in tpl.mine_templates(logs).collect()]
+    assert sorted(got) == [
+        (1, "only", "only", "only"), (2, "alone", "alone", "alone"), (3, "go on b b", "go on <*> <*>", "go on b b"),
+        (3, "go on c b", "go on <*> <*>", "go on b b"), (3, "go on z a", "go on <*> <*>", "go on b b"),
+        (4, "other here", "other here", "other here")]
+
+
+def test_bitmap_lets_all_members_pass(spark, monkeypatch):
+    rows = spark.range(20_000).withColumn("hash", F.xxhash64("id"))
+    some = rows.where("id % 9 = 0").select("hash")
+    for bits in (1 << 27, 1 << 15):
+        monkeypatch.setattr(tpl, "MAX_BITS", bits)
+        passed = tpl._among(rows, some)
+        assert passed.join(some, "hash").count() == some.count() and passed.columns == ["id", "hash"]
+    monkeypatch.setattr(tpl, "MAX_BITS", 1 << 27)
+    assert tpl._among(rows, some).count() < 1.5 * some.count() and tpl._among(rows, some.limit(0)).count() == 0
