@@ -204,3 +204,67 @@ def test_blocks_that_a_host_carries(spark, element):
     assert {r.page_id: r.text for r in found} == want
     gone = [i for i, _, ps in rows if want[i] != " ".join(ps)]
     assert len(gone) > 100 and all(i < 400 for i in gone)
+
+
+def test_suffix_ranks_by_sorting():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n, run in ((0, 3), (2, 3), (3, 3), (90, 1), (90, 2), (90, 5), (200, 8)):
+        tokens = rng.integers(0, 3, n).astype(np.uint32)
+        cut = [tuple(tokens[i:i + run]) for i in range(n - run + 1)]
+        places = {c: k for k, c in enumerate(sorted(set(cut)))}
+        assert pages.suffix_ranks(tokens, run).tolist() == [places[c] for c in cut]
+
+
+def framed(rows, run=8):
+    """Texts of pages whose articles are plain paragraphs, by counting runs of words on the pages of a host."""
+    hosts = {}
+    for i, host, parts in rows:
+        hosts.setdefault(host, {})[i] = [p.split() for p in parts]
+
+    def cover(parts, frame):
+        return [{q + k for q in range(len(p)) if tuple(p[q:q + run]) in frame for k in range(run)} for p in parts]
+
+    def own(parts, frame):
+        return 2 * sum(map(len, cover(parts, frame))) < sum(map(len, parts))
+
+    want = {}
+    for on in hosts.values():
+        frame = {tuple(p[q:q + run]) for ps in on.values() for p in ps for q in range(len(p) - run + 1)}
+        shows = {i: {tuple(p[q:q + run]) for p in ps for q in range(len(p) - run + 1)} for i, ps in on.items()}
+        often = {r for r in frame if sum(r in s for s in shows.values()) >= max(3, len(on) / 2)}
+        frame = {r for r in often if sum(r in s and own(on[i], often) for i, s in shows.items()) >= max(3, len(on) / 2)}
+        for i, ps in on.items():
+            gone = cover(ps, frame) if own(ps, frame) else [()] * len(ps)
+            want[i] = " ".join(w for p, off in zip(ps, gone) for k, w in enumerate(p) if k not in off)
+    return want
+
+
+@pytest.mark.parametrize("words", [1 << 18, 200])
+def test_runs_within_blocks_that_a_host_carries(spark, monkeypatch, words):
+    import random
+
+    monkeypatch.setattr(pages, "GROUP_WORDS", words)  # the smaller one deals hosts into many groups
+    rng = random.Random(11)
+    shared = [" ".join(f"s{k}x{j}" for j in range(n)) for k, n in enumerate([7, 8, 14, 11, 9])]
+    rows = []
+    for i in range(240):
+        parts = []
+        for k, p in enumerate(shared):
+            if rng.random() < (0.9, 0.9, 0.7, 0.3, 0.55)[k]:  # in a block, at its begin, within it or at its end
+                ahead, after = (" ".join(f"u{i}x{rng.randrange(99)}" for _ in range(rng.randint(0, 9))) for _ in "ab")
+                parts.append(f"{ahead} {p} {after}".strip())
+        parts += [" ".join(f"u{i}x{rng.randrange(99)}" for _ in range(rng.randint(1, 50)))]
+        rng.shuffle(parts)
+        rows.append((i, rng.choice("aaaabbc"), parts))
+    rows += [(300 + i, "d", [f"{shared[2]} and {shared[3]}"]) for i in range(5)]                        # copies
+    rows += [(310 + i, "e", [f"here {shared[2]} " + " ".join(f"v{i}x{j}" for j in range(30))]) for i in range(2)]  # too few
+    rows += [(320 + i, "f", [f"n{i} {shared[1]} " + " ".join(f"v{i}x{j}" for j in range(30))]) for i in range(4)]
+    given = [(i, f"http://{h}.example/{i}", "<article>" + "".join(f"<p>{p}</p>" for p in ps) + "</article>", "") for i, h, ps in rows]
+    given += [given[-1]] * 3  # rows that come again are no further pages
+    found = pages.main_text(spark.createDataFrame(given, ROWS)).collect()
+    want = framed(rows)
+    assert len(found) == len(given) and {r.page_id: r.text for r in found} == want
+    assert sum(want[i] != " ".join(ps) for i, _, ps in rows) > 100 and want[300] == rows[240][2][0] and want[310] == rows[245][2][0]
+    assert want[320] == "n0 " + " ".join(f"v0x{j}" for j in range(30))
